@@ -30,16 +30,14 @@ def chunk_words(
     step = max_words - overlap
     if step <= 0:
         raise ValueError("overlap must be less than max_words")
-    words = T.usplit_words(F.col(text))
-    n = F.size(words)
-    windows = F.when(
-        n > 0,
-        F.transform(
-            F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")),
-            lambda i: F.array_join(F.slice(words, i * step + 1, max_words), " "),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return df.select(*keys, F.posexplode(windows).alias("chunk_pos", "chunk_text"))
+    # words live in their own column so the window lambda reads them, not re-splits
+    w = df.select(*keys, T.usplit_words(F.col(text)).alias("_w"))
+    n = F.size("_w")
+    windows = F.transform(
+        F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")),
+        lambda i: F.array_join(F.slice("_w", i * step + 1, max_words), " "),
+    )
+    return w.select(*keys, F.posexplode(F.when(n > 0, windows)).alias("chunk_pos", "chunk_text"))
 
 
 def sentence_spans(
@@ -48,10 +46,11 @@ def sentence_spans(
     counter: Callable[[Column], Column] | None = None,
 ) -> Column:
     """G3 core: greedy packing of sentences into chunks of at most ``limit``
-    tokens (a sentence counts at most ``limit``).  Returns the chunk texts.
+    tokens (a sentence counts at most ``limit``).
 
     The fold runs over an array of ints (token counts), so its state stays
-    small; texts are cut out afterwards with ``slice``.
+    small; texts are cut out afterwards with ``slice``.  Returns the chunk
+    number of every sentence (array<int>, non-decreasing).
     """
     count = counter or (lambda s: T.count_tokens(s, limit))
     lens = F.transform(sentences, lambda s: F.least(F.lit(limit), count(s)))
@@ -59,25 +58,26 @@ def sentence_spans(
 
     def step(acc, ln):
         new_chunk = (acc["no"] < 0) | (acc["cur"] + ln > limit)
+        no = F.when(new_chunk, acc["no"] + 1).otherwise(acc["no"])
         return F.struct(
             F.when(new_chunk, ln).otherwise(acc["cur"] + ln).alias("cur"),
-            F.when(new_chunk, acc["no"] + 1).otherwise(acc["no"]).alias("no"),
-            F.array_append(acc["ids"], F.when(new_chunk, acc["no"] + 1).otherwise(acc["no"])).alias("ids"),
+            no.alias("no"),
+            F.array_append(acc["ids"], no).alias("ids"),
         )
 
-    folded = F.aggregate(lens, init, step)
-    ids = folded["ids"]
-    last = folded["no"]
-    return F.when(
-        last >= 0,
-        F.transform(
-            F.sequence(F.lit(0), last),
-            lambda c: F.array_join(
-                F.slice(sentences, F.array_position(ids, c).cast("int"), F.size(F.filter(ids, lambda x: x == c))),
-                " ",
-            ),
+    return F.aggregate(lens, init, step)["ids"]
+
+
+def spans_to_chunks(sentences: Column, chunk_ids: Column) -> Column:
+    """Join the sentences of each chunk number (ids are non-decreasing)."""
+    last = F.coalesce(F.element_at(chunk_ids, -1), F.lit(-1))
+    return F.transform(
+        F.sequence(F.lit(0), last),
+        lambda c: F.array_join(
+            F.slice(sentences, F.array_position(chunk_ids, c).cast("int"), F.size(F.filter(chunk_ids, lambda x: x == c))),
+            " ",
         ),
-    ).otherwise(F.array().cast("array<string>"))
+    )
 
 
 def chunk_sentences(
@@ -93,9 +93,13 @@ def chunk_sentences(
     Returns ``keys + (chunk_pos int, chunk_text string)``; chunk texts are
     stripped and empty ones dropped.
     """
-    chunks = sentence_spans(splitter(F.col(text)), limit, counter)
+    # stage the arrays in their own projections: a lambda that reads a column
+    # does not re-run the splitter or the fold per chunk
+    st = df.select(*keys, splitter(F.col(text)).alias("_s"))
+    st = st.select(*keys, "_s", sentence_spans(F.col("_s"), limit, counter).alias("_ids"))
+    chunks = F.when(F.size("_s") > 0, spans_to_chunks(F.col("_s"), F.col("_ids")))
     return (
-        df.select(*keys, F.posexplode(chunks).alias("chunk_pos", "chunk_text"))
+        st.select(*keys, F.posexplode(chunks).alias("chunk_pos", "chunk_text"))
         .withColumn("chunk_text", T.ustrip(F.col("chunk_text")))
         .filter(F.col("chunk_text") != "")
     )

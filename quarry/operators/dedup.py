@@ -3,8 +3,7 @@
 Dedup is an aggregate, not a window: the partial (map-side) aggregate turns a
 boilerplate chunk that repeats on every page into one row per map task, so a
 hot hash never lands whole in one task.  Survivors are found with a semi join
-on ``(chunk_hash, order_key)``, a key that is unique per row, so that join has
-no hot key either.
+on the order key, which is unique per row, so that join has no hot key either.
 """
 
 from __future__ import annotations
@@ -45,8 +44,34 @@ def dedup_exact(
         h = h.withColumn("_ok", F.col(order_cols[0]).cast("long"))
     else:
         h = h.withColumn("_ok", order_key(order_cols[0], order_cols[1]))
-    first = h.groupBy("chunk_hash").agg(F.min("_ok").alias("_ok"))
-    return h.join(first, ["chunk_hash", "_ok"], "left_semi").drop("_ok")
+    return h.join(first_seen_keys(h), "_ok", "left_semi").drop("_ok")
+
+
+def first_seen_keys(h: DataFrame) -> DataFrame:
+    """Order keys of the first row of every hash (light: one long per hash)."""
+    return h.groupBy("chunk_hash").agg(F.min("_ok").alias("_ok")).select("_ok")
+
+
+def dedup_with_ids(
+    df: DataFrame,
+    text: str = "chunk_text",
+    order_cols: Sequence[str] = ("doc_id", "chunk_pos"),
+    start=0,
+    id_col: str = "id",
+) -> DataFrame:
+    """A1 + W1 in one heavy exchange.
+
+    Ids depend only on the order of the surviving order keys, so they are
+    numbered on that light table (8 bytes a row) and attached to the chunk
+    rows by one inner join on the unique order key.
+    """
+    from quarry.operators.ids import assign_ids
+
+    h = df if "chunk_hash" in df.columns else with_chunk_hash(df, text)
+    h = h.withColumn("_ok", order_key(order_cols[0], order_cols[1]) if len(order_cols) == 2
+                     else F.col(order_cols[0]).cast("long"))
+    numbered = assign_ids(first_seen_keys(h), ["_ok"], start, id_col)
+    return h.join(numbered, "_ok", "inner").drop("_ok")
 
 
 def new_chunks_only(new: DataFrame, existing: DataFrame, key: str = "chunk_hash") -> DataFrame:

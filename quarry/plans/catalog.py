@@ -132,7 +132,7 @@ def q_dedup_exact(spark, sf):
 @register("assign_ids", f"WITH {SQL_WORD_CHUNKS.strip()} SELECT id, doc_id, chunk_pos FROM store")
 def q_assign_ids(spark, sf):
     recs = jobs.documents_as_records(table(spark, sf, "documents"))
-    d = dedup.dedup_exact(jobs.word_chunks(recs, MAXW, OVERLAP))
+    d = dedup.dedup_exact(jobs.word_chunks(recs, MAXW, OVERLAP)).select("doc_id", "chunk_pos")
     return ids.assign_ids(d, ["doc_id", "chunk_pos"], 0).select("id", "doc_id", F.col("chunk_pos").cast("long"))
 
 

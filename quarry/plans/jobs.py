@@ -48,24 +48,24 @@ def skip_report(records: DataFrame, raw: str = "raw_text") -> DataFrame:
 
 def word_chunks(records: DataFrame, max_words: int = 150, overlap: int = 10) -> DataFrame:
     """F5-F7 + G1 on page records; chunk texts stripped and non-empty."""
-    kept, _ = prepare_text(records)
     keys = ["doc_id", *[c for c in RECORD_META if c in records.columns]]
-    ch = chunking.chunk_words(kept, "clean_text", keys, max_words, overlap)
-    return ch.withColumn("chunk_text", T.ustrip("chunk_text")).filter(F.col("chunk_text") != "")
+    # windows of non-empty words are already stripped and non-empty, and an
+    # empty text yields no window, so no extra filter is needed here
+    cleaned = records.withColumn("clean_text", T.clean_text(F.coalesce(F.col("raw_text"), F.lit(""))))
+    return chunking.chunk_words(cleaned, "clean_text", keys, max_words, overlap)
 
 
 def sentence_chunks(records: DataFrame, limit: int = 512) -> DataFrame:
     """F5-F7 + G2-G4 on page records."""
-    kept, _ = prepare_text(records)
     keys = ["doc_id", *[c for c in RECORD_META if c in records.columns]]
-    return chunking.chunk_sentences(kept, "clean_text", keys, limit)
+    cleaned = records.withColumn("clean_text", T.clean_text(F.coalesce(F.col("raw_text"), F.lit(""))))
+    return chunking.chunk_sentences(cleaned, "clean_text", keys, limit)
 
 
 def finish_chunks(chunks: DataFrame, start: int | Column = 0, with_embedding: bool = True,
                   dim: int = embed.DEFAULT_DIM, embedder=None) -> DataFrame:
     """A1 -> W1 -> F8 (-> E1/E2): dedup, dense ids, tags, embeddings."""
-    d = dedup.dedup_exact(chunks, "chunk_text", ("doc_id", "chunk_pos"))
-    with_ids = ids.assign_ids(d, ["doc_id", "chunk_pos"], start)
+    with_ids = dedup.dedup_with_ids(chunks, "chunk_text", ("doc_id", "chunk_pos"), start)
     tagged = with_ids.withColumn("tags", T.infer_tags(F.col("chunk_text")))
     if not with_embedding:
         return tagged

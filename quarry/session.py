@@ -66,6 +66,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table (parquet) from an sf directory."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an under-partitioned input over the cluster's cores.
+
+    A small parquet file with one row group scans as one task; the per-row
+    text work that follows (chunking, hashing, HTML extraction) would then run
+    on one core.  On a large input the scan already yields more partitions
+    than cores and this is a no-op (no shuffle is added).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, parallel: bool = True) -> DataFrame:
+    """One driver table (parquet) from an sf directory, spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if parallel else df
