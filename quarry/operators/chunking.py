@@ -70,7 +70,7 @@ def sentence_spans(
 
 def spans_to_chunks(sentences: Column, chunk_ids: Column) -> Column:
     """Join the sentences of each chunk number (ids are non-decreasing)."""
-    last = F.coalesce(F.element_at(chunk_ids, -1), F.lit(-1))
+    last = F.coalesce(F.try_element_at(chunk_ids, F.lit(-1)), F.lit(-1))
     return F.transform(
         F.sequence(F.lit(0), last),
         lambda c: F.array_join(

@@ -302,3 +302,268 @@ def q_search_topk(spark, sf):
     out = jobs.search_topk(table(spark, sf, "benchmark"), store, k=10, n=4, qid="item_id", text="text",
                            carry=("doc_id", "chunk_text"))
     return out.select("qid", F.col("rank").cast("long"), "id", "doc_id", "score", "chunk_text")
+
+
+# ================================================================ pages
+from quarry.functions import html as H  # noqa: E402
+from quarry.functions import urls as U  # noqa: E402
+from quarry.operators import links as L  # noqa: E402
+from quarry.plans import pages as PG  # noqa: E402
+
+SQL_ALLPAGES = f"allpages AS (SELECT page_id, url, html FROM pages UNION ALL SELECT * FROM {FX.PAGES_EXTRA.sql()})"
+
+
+def _allpages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", "url", "html").unionByName(FX.PAGES_EXTRA.df(spark))
+
+
+def _rows_sql(key_cols: str, list_expr: str, src: str, val: str) -> str:
+    return (f"SELECT {key_cols}, CAST(unnest(range(len(l))) AS BIGINT) AS pos, unnest(l) AS {val} "
+            f"FROM (SELECT {key_cols}, {list_expr} AS l FROM {src})")
+
+
+def _explode(df, key_cols, arr, val):
+    return df.select(*key_cols, F.posexplode(arr).alias("pos", val)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@register("page_title", f"WITH {SQL_ALLPAGES} SELECT page_id, {S.title('html')} AS title FROM allpages")
+def q_page_title(spark, sf):
+    return _allpages(spark, sf).select("page_id", H.page_title("html").alias("title"))
+
+
+@register("page_meta_description",
+          f"WITH {SQL_ALLPAGES} SELECT page_id, {S.meta('html', 'description')} AS description FROM allpages")
+def q_page_meta_description(spark, sf):
+    return _allpages(spark, sf).select("page_id", H.page_meta("html", "description").alias("description"))
+
+
+@register("page_meta_keywords",
+          f"WITH {SQL_ALLPAGES} SELECT page_id, {S.meta('html', 'keywords')} AS keywords FROM allpages")
+def q_page_meta_keywords(spark, sf):
+    return _allpages(spark, sf).select("page_id", H.page_meta("html", "keywords").alias("keywords"))
+
+
+@register("page_text_lines", f"WITH {SQL_ALLPAGES} " + _rows_sql("page_id", S.text_nodes(S.body("html")), "allpages", "line"))
+def q_page_text_lines(spark, sf):
+    return _explode(_allpages(spark, sf), ["page_id"], H.page_text_lines("html"), "line")
+
+
+@register("page_text_clean",
+          f"WITH {SQL_ALLPAGES} SELECT page_id, array_to_string({S.text_nodes(S.body('html'))}, chr(10)) AS text_clean FROM allpages")
+def q_page_text_clean(spark, sf):
+    return _allpages(spark, sf).select("page_id", H.page_text_clean("html").alias("text_clean"))
+
+
+@register("page_desc_divs",
+          f"WITH {SQL_ALLPAGES}, {S.element_texts_ctes('allpages', 'page_id', 'html', 'div', 'desc', 'dd')} "
+          + _rows_sql("page_id", "texts", "dd", "text"))
+def q_page_desc_divs(spark, sf):
+    df = H.with_desc_divs(_allpages(spark, sf), "html", "desc_divs", "desc")
+    return _explode(df, ["page_id"], "desc_divs", "text")
+
+
+@register("page_desc_divs_ad",
+          f"WITH {SQL_ALLPAGES}, {S.element_texts_ctes('allpages', 'page_id', 'html', 'div', 'ad', 'dd')} "
+          + _rows_sql("page_id", "texts", "dd", "text"))
+def q_page_desc_divs_ad(spark, sf):
+    df = H.with_desc_divs(_allpages(spark, sf), "html", "desc_divs", "ad")
+    return _explode(df, ["page_id"], "desc_divs", "text")
+
+
+@register("page_article_texts",
+          f"WITH {SQL_ALLPAGES}, {S.element_texts_ctes('allpages', 'page_id', 'html', 'article', None, 'ar')} "
+          + _rows_sql("page_id", "texts", "ar", "text"))
+def q_page_article_texts(spark, sf):
+    df = H.with_article_texts(_allpages(spark, sf), "html", "article_texts")
+    return _explode(df, ["page_id"], "article_texts", "text")
+
+
+@register("page_links_raw", f"WITH {SQL_ALLPAGES} " + _rows_sql("page_id", S.attr_list("html", "a", "href"), "allpages", "href"))
+def q_page_links_raw(spark, sf):
+    return _explode(_allpages(spark, sf), ["page_id"], H.page_links_raw("html"), "href")
+
+
+SQL_LINKS = f"""{SQL_ALLPAGES}, raw_links AS (
+  {_rows_sql("page_id, url", S.attr_list("html", "a", "href"), "allpages", "href")}
+), abs_links AS (
+  SELECT page_id, url AS src_url, pos, href, {S.url_join('url', 'href')} AS dst_url FROM raw_links
+)"""
+
+
+@register("page_links_abs", f"WITH {SQL_LINKS} SELECT page_id, pos, dst_url FROM abs_links")
+def q_page_links_abs(spark, sf):
+    df = _allpages(spark, sf)
+    return _explode(df, ["page_id", "url"], H.page_links_raw("html"), "href").select(
+        "page_id", "pos", U.url_join(F.col("url"), F.col("href")).alias("dst_url"))
+
+
+@register("page_images", f"WITH {SQL_ALLPAGES} " + _rows_sql("page_id", S.attr_list("html", "img", "src"), "allpages", "src"))
+def q_page_images(spark, sf):
+    return _explode(_allpages(spark, sf), ["page_id"], H.page_images("html"), "src")
+
+
+SQL_ROUTES = f"routes AS (SELECT url, NULL::VARCHAR AS content_type FROM pages UNION ALL SELECT * FROM {FX.ROUTES.sql()})"
+
+
+def _routes(spark, sf):
+    return table(spark, sf, "pages").select("url", F.lit(None).cast("string").alias("content_type")).unionByName(
+        FX.ROUTES.df(spark))
+
+
+@register("route_content_type", f"WITH {SQL_ROUTES} SELECT url, content_type, {S.route('url', 'content_type')} AS kind FROM routes")
+def q_route_content_type(spark, sf):
+    return _routes(spark, sf).select("url", "content_type", U.route_content_type("url", "content_type").alias("kind"))
+
+
+@register("page_slug",
+          f"WITH {SQL_ROUTES} SELECT url, content_type, {S.slug('url', S.route('url', 'content_type'))} AS slug FROM routes")
+def q_page_slug(spark, sf):
+    r = _routes(spark, sf)
+    return r.select("url", "content_type", U.page_slug("url", U.route_content_type("url", "content_type")).alias("slug"))
+
+
+SQL_PDF = f"""pdf_in AS (
+  SELECT 'doc-' || doc_id || '.pdf' AS url, CAST(0 AS BIGINT) AS page_no, text AS page_text, NULL::VARCHAR AS error FROM documents
+  UNION ALL SELECT * FROM {FX.PDF_PAGES.sql()}
+), pdf_pages AS (
+  SELECT url, page_no, error,
+         array_to_string(list_filter(list_transform({S.split_lines("coalesce(page_text, '')")}, lambda x: {S.ustrip('x')}),
+                                     lambda x: x <> ''), chr(10)) AS pj
+  FROM pdf_in
+)"""
+
+
+@register("pdf_line_normalize", f"""WITH {SQL_PDF}
+  SELECT url, CASE WHEN max(error) IS NOT NULL THEN 'Error extracting PDF text: ' || max(error)
+                   ELSE coalesce(string_agg(pj, chr(10) ORDER BY page_no) FILTER (WHERE pj <> ''), '') END AS content
+  FROM pdf_pages GROUP BY url""")
+def q_pdf_line_normalize(spark, sf):
+    docs = table(spark, sf, "documents").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("url"),
+        F.lit(0).cast("long").alias("page_no"), F.col("text").alias("page_text"),
+        F.lit(None).cast("string").alias("error"))
+    return PG.pdf_line_normalize(docs.unionByName(FX.PDF_PAGES.df(spark)))
+
+
+# ---------------------------------------------------------------- link predicates
+DOMAINS = ["example.com"]
+
+
+def _edges(spark, sf):
+    return L.page_edges(_allpages(spark, sf).select("url", "html"))
+
+
+def _flag_query(flag_sql: str, name: str) -> str:
+    return f"WITH {SQL_LINKS} SELECT src_url, pos, dst_url, {flag_sql} AS {name} FROM abs_links"
+
+
+def _same_host_sql():
+    return f"({S.url_part('dst_url', 2)} = {S.url_part('src_url', 2)})"
+
+
+def _subpath_sql():
+    p = S.url_part("dst_url", 3)
+    return f"({p} = '/' OR starts_with({p}, '/'))"
+
+
+@register("link_same_host", _flag_query(_same_host_sql(), "same_host"))
+def q_link_same_host(spark, sf):
+    e = _edges(spark, sf)
+    return e.select("src_url", F.col("pos").cast("long"), "dst_url", U.link_same_host("src_url", "dst_url").alias("same_host"))
+
+
+@register("link_allowed_subpath", _flag_query(_subpath_sql(), "allowed"))
+def q_link_allowed_subpath(spark, sf):
+    e = _edges(spark, sf)
+    return e.select("src_url", F.col("pos").cast("long"), "dst_url",
+                    U.link_allowed_subpath("src_url", "dst_url", ["/"]).alias("allowed"))
+
+
+@register("link_not_self", _flag_query("(dst_url <> src_url)", "not_self"))
+def q_link_not_self(spark, sf):
+    e = _edges(spark, sf)
+    return e.select("src_url", F.col("pos").cast("long"), "dst_url", U.link_not_self("src_url", "dst_url").alias("not_self"))
+
+
+def _domain_sql(domains):
+    host = f"lower(regexp_extract({S.url_part('dst_url', 2)}, '^(?:[^@]*@)?(\\[[^\\]]*\\]|[^:]*)', 1))"
+    return "(" + " OR ".join(f"{host} = {S.q(d)} OR ends_with({host}, {S.q('.' + d)})" for d in domains) + ")"
+
+
+@register("link_allowed_domain", _flag_query(_domain_sql(DOMAINS), "allowed_domain"))
+def q_link_allowed_domain(spark, sf):
+    e = _edges(spark, sf)
+    return e.select("src_url", F.col("pos").cast("long"), "dst_url",
+                    U.link_allowed_domain("dst_url", DOMAINS).alias("allowed_domain"))
+
+
+SQL_FOLLOW = f"""{SQL_LINKS}, follow AS (
+  SELECT src_url, dst_url FROM abs_links WHERE {_same_host_sql()} AND {_subpath_sql()} AND dst_url <> src_url
+)"""
+
+
+@register("link_frontier", f"""WITH {SQL_FOLLOW}
+  SELECT DISTINCT dst_url FROM follow WHERE dst_url NOT IN (SELECT url FROM allpages)""")
+def q_link_frontier(spark, sf):
+    pages = _allpages(spark, sf)
+    return L.link_frontier(L.follow_filter(L.page_edges(pages.select("url", "html"))), pages)
+
+
+@register("crawl_reach", f"""WITH RECURSIVE {SQL_FOLLOW}, ce AS (
+  SELECT DISTINCT src_url, dst_url FROM follow
+  WHERE src_url IN (SELECT url FROM allpages) AND dst_url IN (SELECT url FROM allpages)
+), starts AS (
+  SELECT DISTINCT url FROM allpages WHERE url NOT IN (SELECT dst_url FROM ce)
+), reach(url, depth) AS (
+  SELECT url, 0 FROM starts
+  UNION
+  SELECT ce.dst_url, reach.depth + 1 FROM reach JOIN ce ON ce.src_url = reach.url WHERE reach.depth < 16
+)
+SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM reach GROUP BY url""")
+def q_crawl_reach(spark, sf):
+    pages = _allpages(spark, sf)
+    edges = L.follow_filter(L.page_edges(pages.select("url", "html")))
+    return L.crawl_reach(edges, pages, max_depth=16).select("url", F.col("depth").cast("long"))
+
+
+# ---------------------------------------------------------------- page records
+def _records_sql() -> str:
+    return f"""{SQL_ALLPAGES},
+{S.element_texts_ctes('allpages', 'page_id', 'html', 'div', 'desc', 'dd')},
+{S.element_texts_ctes('allpages', 'page_id', 'html', 'article', None, 'ar')},
+recs AS (
+  SELECT p.page_id, p.url, {S.slug('p.url', "'html'")} AS slug, {S.title('p.html')} AS title,
+         {S.meta('p.html', 'description')} AS description, {S.meta('p.html', 'keywords')} AS keywords,
+         array_to_string({S.text_nodes(S.body('p.html'))}, chr(10)) AS text,
+         array_to_string(dd.texts, chr(10) || '--' || chr(10)) AS desc_divs,
+         array_to_string(ar.texts, chr(10) || '--' || chr(10)) AS article_texts,
+         array_to_string({S.attr_list('p.html', 'a', 'href')}, ' ') AS links_raw,
+         array_to_string({S.attr_list('p.html', 'img', 'src')}, ' ') AS images
+  FROM allpages p JOIN dd USING (page_id) JOIN ar USING (page_id)
+), latest AS (
+  SELECT * FROM recs QUALIFY page_id = max(page_id) OVER (PARTITION BY slug)
+)"""
+
+
+SEP = "\n--\n"
+
+
+def _flat_records(rec):
+    return rec.select(
+        "page_id", "url", "slug", "title", F.col("meta.description").alias("description"),
+        F.col("meta.keywords").alias("keywords"), F.array_join("text_lines", "\n").alias("text"),
+        F.array_join("desc_divs", SEP).alias("desc_divs"), F.array_join("article_texts", SEP).alias("article_texts"),
+        F.array_join("links_raw", " ").alias("links_raw"), F.array_join("images", " ").alias("images"),
+    )
+
+
+@register("extract_pages", f"WITH {_records_sql()} SELECT * FROM latest")
+def q_extract_pages(spark, sf):
+    return _flat_records(PG.extract_pages(_allpages(spark, sf)))
+
+
+@register("last_write_wins", f"WITH {SQL_ALLPAGES} SELECT {S.slug('url', chr(39) + 'html' + chr(39))} AS slug, "
+          "CAST(max(page_id) AS BIGINT) AS page_id FROM allpages GROUP BY 1")
+def q_last_write_wins(spark, sf):
+    p = _allpages(spark, sf).select("page_id", U.page_slug("url", F.lit("html")).alias("slug"))
+    return dedup.last_write_wins(p, ["slug"], "page_id").select("slug", "page_id")

@@ -48,3 +48,68 @@ TAG_TEXTS = Fixture(
         (-17, "Prevent bad events."),
     ],
 )
+
+_P1 = (
+    "<html><head><title>Fixture &amp; One</title>"
+    '<meta content="Desc first" name="description"><meta name=\'keywords\' content=\'k1, k2\'></head>'
+    '<body><p>Hello &nbsp; world</p><script>var t="</p>";</script><!-- a note -->'
+    '<div class="item desc"><p>Outer</p><div class="desc-inner">Inner <b>bold</b></div><p>tail</p></div>'
+    '<div class="desc"></div><div class="plain">no</div>'
+    "<article><p>A1</p><article><p>A2</p></article><p>A3</p></article>\n"
+    '<a href="https://other.example.org/x">abs</a><a href="//cdn.example.com/lib.js">proto</a>'
+    '<a href="../up/one">up</a><a href="?q=2">query</a><a href="#frag">frag</a><a href="">empty</a>'
+    '<a href="mailto:someone@example.com">mail</a>'
+    "<a href='http://fx.example.com/dir/sub/page.html?x=1#top'>self</a><a href=plain.html>plain</a>"
+    '<a href="./a/./b/../c">dots</a><a href="/c1">cycle</a><a name="anchor">no href</a>\n'
+    "<img src=\"/img/a.png\"><img alt=\"x\" src='/img/b.png'>\n"
+    "direct text under body</body></html>"
+)
+
+
+def _cycle_page(n: int) -> str:
+    return (f"<html><head><title>Cycle {n}</title><meta name=\"description\" content=\"\"></head><body>"
+            f"<main><p>Cycle page {n}</p><a href=\"/c{n % 4 + 1}\">next</a></main></body></html>")
+
+
+# P*, F1-F4, J6, C1, C7: pages the driver table lacks (meta tags, images,
+# nesting, every href form, a 4-page link cycle reached from a root page).
+PAGES_EXTRA = Fixture(
+    [("page_id", "BIGINT"), ("url", "VARCHAR"), ("html", "VARCHAR")],
+    [
+        (-101, "http://fx.example.com/dir/sub/page.html?x=1#top", _P1),
+        (-102, "http://fx.example.com/",
+         "<html><head><title></title><meta name=\"keywords\" content=\"\"></head><body><div><a href=\"c1\">start</a>"
+         "</div></body></html>"),
+        (-103, "http://fx.example.com/c1", _cycle_page(1)),
+        (-104, "http://fx.example.com/c2", _cycle_page(2)),
+        (-105, "http://fx.example.com/c3", _cycle_page(3)),
+        (-106, "http://fx.example.com/c4", _cycle_page(4)),
+        (-107, "http://fx.example.com/c1?dup=1", "<html><body><p>no title, no body close"),
+    ],
+)
+
+# Urls with content types.
+ROUTES = Fixture(
+    [("url", "VARCHAR"), ("content_type", "VARCHAR")],
+    [
+        ("http://fx.example.com/files/A.PDF", None),
+        ("http://fx.example.com/files/a.pdf?x=1", "text/html"),
+        ("http://fx.example.com/download", "application/pdf; charset=x"),
+        ("http://fx.example.com/", "Application/PDF"),
+        ("http://fx.example.com", None),
+        ("http://fx.example.com/a/b/?p=1&q=2", "text/html; charset=utf-8"),
+        ("http://fx.example.com//x//", None),
+    ],
+)
+
+# Extracted PDF page texts, out of order, blank lines, a failed file.
+PDF_PAGES = Fixture(
+    [("url", "VARCHAR"), ("page_no", "BIGINT"), ("page_text", "VARCHAR"), ("error", "VARCHAR")],
+    [
+        ("http://fx.example.com/r.pdf", 2, "third  \n\n  page", None),
+        ("http://fx.example.com/r.pdf", 0, "  first line\r\nsecond line  ", None),
+        ("http://fx.example.com/r.pdf", 1, "   \n ", None),
+        ("http://fx.example.com/bad.pdf", 0, None, "EOF marker not found"),
+        ("http://fx.example.com/empty.pdf", 0, "", None),
+    ],
+)

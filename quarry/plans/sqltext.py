@@ -93,3 +93,115 @@ def values(rows: Sequence[Sequence], cols: Sequence[tuple[str, str]]) -> str:
     body = ", ".join("(" + ", ".join(lit(v, t) for v, (_, t) in zip(r, cols)) + ")" for r in rows)
     names = ", ".join(c for c, _ in cols)
     return f"(SELECT * FROM (VALUES {body}) AS _v({names}))"
+
+
+# ---------------------------------------------------------------- HTML (RE2)
+TOKEN = r"(?is)<!--.*?-->|<script\b[^>]*>(.*?)</script\s*>|<style\b[^>]*>(.*?)</style\s*>|<[^>]*>"
+
+
+def text_nodes(e: str) -> str:
+    pieces = f"string_split(regexp_replace({e}, '{TOKEN}', chr(1) || '\\1\\2' || chr(1), 'g'), chr(1))"
+    return f"list_filter(list_transform({pieces}, lambda p: {ustrip(decode_entities('p'))}), lambda p: p <> '')"
+
+
+def body(e: str) -> str:
+    return f"regexp_replace(regexp_extract({e}, '(?is)<body\\b[^>]*>(.*)', 1), '(?is)</body\\s*>.*', '')"
+
+
+def title(e: str) -> str:
+    raw = f"regexp_extract({e}, {q('(?is)<title' + chr(92) + 'b[^>]*>([^<]*)')}, 1)"
+    return f"nullif({decode_entities(raw)}, '')"
+
+
+def attr(tag: str, name: str) -> str:
+    pat = q("\\s(?i:" + name + ")\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)")
+    raw = f"regexp_extract({tag}, {pat}, 1)"
+    val = (f"CASE WHEN {raw} = '' THEN NULL WHEN {raw}[1] IN ('\"', '''') "
+           f"THEN {raw}[2:length({raw}) - 1] ELSE {raw} END")
+    return decode_entities(val)
+
+
+def start_tags(e: str, tag: str) -> str:
+    return f"regexp_extract_all({e}, {q('(?is)<' + tag + chr(92) + 's[^>]*>')}, 0)"
+
+
+def meta(e: str, name: str) -> str:
+    pat = q(("\\s(?i:name)\\s*=\\s*(?:\"NAME\"|'NAME'|NAME[\\s/>])").replace("NAME", name))
+    first = f"list_filter({start_tags(e, 'meta')}, lambda m: regexp_matches(m, {pat}))[1]"
+    return attr(first, "content")
+
+
+def attr_list(e: str, tag: str, name: str) -> str:
+    return f"list_filter(list_transform({start_tags(e, tag)}, lambda t: {attr('t', name)}), lambda v: v IS NOT NULL)"
+
+
+def element_texts_ctes(src: str, key: str, html: str, tag: str, class_substr: str | None, name: str) -> str:
+    """CTEs producing ``name(key, texts list)`` for P6/P7."""
+    tag_re = q("(?is)(<" + tag + "\\b[^>]*>|</" + tag + "\\s*>)")
+    cls = f" AND coalesce(contains({attr('tags[j]', 'class')}, {q(class_substr)}), false)" if class_substr else ""
+    return f"""{name}_a AS (
+  SELECT {key}, regexp_extract_all({html}, {tag_re}, 1) AS tags, string_split_regex({html}, {tag_re}) AS segs FROM {src}
+), {name}_b AS (
+  SELECT *, list_transform(tags, lambda t: CASE WHEN starts_with(t, '</') THEN -1
+                                                WHEN regexp_matches(t, '/\\s*>\\z') THEN 0 ELSE 1 END) AS d FROM {name}_a
+), {name}_c AS (
+  SELECT *, list_transform(range(1, len(d) + 1), lambda i: list_sum(d[1:i])) AS depth FROM {name}_b
+), {name} AS (
+  SELECT {key}, list_filter(list_transform(
+      list_filter(range(1, len(tags) + 1), lambda j: d[j] = 1{cls}),
+      lambda j: array_to_string(flatten(list_transform(
+          segs[j + 1 : coalesce(list_filter(range(j + 1, len(tags) + 1), lambda x: depth[x] = depth[j] - 1)[1], len(tags) + 1)],
+          lambda s: {text_nodes('s')})), chr(10))),
+    lambda x: x <> '') AS texts
+  FROM {name}_c
+)"""
+
+
+# ---------------------------------------------------------------- URLs (RE2)
+URL_RE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def url_part(e: str, i: int) -> str:
+    return f"regexp_extract({e}, {q(URL_RE)}, {i})"
+
+
+def suffix(query: str, frag: str) -> str:
+    return f"(CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END || CASE WHEN {frag} <> '' THEN '#' || {frag} ELSE '' END)"
+
+
+def url_join(b: str, h: str) -> str:
+    bs, bn, bp, bq = f"lower({url_part(b, 1)})", url_part(b, 2), url_part(b, 3), url_part(b, 4)
+    hs, hn, hp, hq, hf = f"lower({url_part(h, 1)})", url_part(h, 2), url_part(h, 3), url_part(h, 4), url_part(h, 5)
+    base_parts = f"string_split({bp}, '/')"
+    base_dir = f"(CASE WHEN {base_parts}[-1] <> '' THEN {base_parts}[1:len({base_parts}) - 1] ELSE {base_parts} END)"
+    rel = f"list_concat({base_dir}, string_split({hp}, '/'))"
+    rel_clean = (f"(CASE WHEN len({rel}) >= 2 THEN list_concat(list_concat({rel}[1:1], "
+                 f"list_filter({rel}[2:len({rel}) - 1], lambda x: x <> '')), {rel}[len({rel}):len({rel})]) ELSE {rel} END)")
+    segs = f"(CASE WHEN starts_with({hp}, '/') THEN string_split({hp}, '/') ELSE {rel_clean} END)"
+    fold = (f"list_reduce(list_prepend('.', {segs}), lambda acc, s: CASE WHEN s = '..' THEN acc[1:len(acc) - 1] "
+            f"WHEN s = '.' THEN acc ELSE list_append(acc, s) END, []::VARCHAR[])")
+    resolved = f"(CASE WHEN {segs}[-1] IN ('.', '..') THEN list_append({fold}, '') ELSE {fold} END)"
+    path0 = f"array_to_string({resolved}, '/')"
+    path1 = f"(CASE WHEN {path0} = '' THEN '/' ELSE {path0} END)"
+    path = f"(CASE WHEN starts_with({path1}, '/') THEN {path1} ELSE '/' || {path1} END)"
+    prefix = f"{bs} || '://'"
+    has_netloc = f"regexp_matches({h}, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//')"
+    foreign = f"({hs} <> '' AND ({hs} <> {bs} OR {hs} NOT IN ('http', 'https', 'ftp', 'file', '')))"
+    return f"""(CASE WHEN {h} IS NULL OR {b} IS NULL THEN NULL
+      WHEN {h} = '' THEN {b}
+      WHEN {foreign} THEN {h}
+      WHEN {has_netloc} AND {hn} <> '' THEN {prefix} || {hn} || {hp} || {suffix(hq, hf)}
+      WHEN {hp} = '' THEN {prefix} || {bn} || {bp} || {suffix(f"(CASE WHEN {hq} <> '' THEN {hq} ELSE {bq} END)", hf)}
+      ELSE {prefix} || {bn} || {path} || {suffix(hq, hf)} END)"""
+
+
+def slug(url: str, kind: str) -> str:
+    path = f"regexp_replace({url_part(url, 3)}, '^/+|/+$', '', 'g')"
+    query = f"translate({url_part(url, 4)}, '=&', '__')"
+    base = f"(CASE WHEN {path} = '' THEN (CASE WHEN {kind} = 'pdf' THEN 'pdf_root' ELSE 'root' END) ELSE replace({path}, '/', '_') END)"
+    return f"(CASE WHEN {query} <> '' THEN {base} || '_' || {query} ELSE {base} END)"
+
+
+def route(url: str, ct: str) -> str:
+    return (f"(CASE WHEN contains(lower(coalesce({ct}, '')), 'application/pdf') OR ends_with(lower({url}), '.pdf') "
+            f"THEN 'pdf' ELSE 'html' END)")
