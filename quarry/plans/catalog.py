@@ -567,3 +567,231 @@ def q_extract_pages(spark, sf):
 def q_last_write_wins(spark, sf):
     p = _allpages(spark, sf).select("page_id", U.page_slug("url", F.lit("html")).alias("slug"))
     return dedup.last_write_wins(p, ["slug"], "page_id").select("slug", "page_id")
+
+
+# ================================================================ dialog
+from quarry.operators import dialog as D  # noqa: E402
+
+SQL_CONV = f"conv AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM {FX.CONV_EXTRA.sql()})"
+
+
+def _conv(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(FX.CONV_EXTRA.df(spark))
+
+
+_INTENT_SQL, _RESPONSE_SQL = S.intent_case("text")
+
+
+@register("detect_intent", f"""WITH {SQL_CONV}
+  SELECT conv_id, turn, {_INTENT_SQL} AS intent, {_RESPONSE_SQL} AS response FROM conv WHERE role = 'user'""")
+def q_detect_intent(spark, sf):
+    c = _conv(spark, sf).filter(F.col("role") == "user")
+    it = T.detect_intent(F.col("text"))
+    return c.select("conv_id", "turn", it["intent"].alias("intent"), it["response"].alias("response"))
+
+
+@register("clean_qa_lines", f"""WITH {SQL_CONV}
+  SELECT conv_id, turn, {S.clean_qa('text')} AS cleaned FROM conv WHERE role = 'assistant'""")
+def q_clean_qa_lines(spark, sf):
+    c = _conv(spark, sf).filter(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", T.clean_qa_lines("text").alias("cleaned"))
+
+
+@register("validate_prompts", f"""WITH {SQL_CONV}
+  SELECT conv_id, turn, {S.ustrip("coalesce(text, '')")} AS prompt_clean,
+         CASE WHEN {S.ustrip("coalesce(text, '')")} <> '' THEN 'ok' ELSE 'error' END AS status,
+         CASE WHEN {S.ustrip("coalesce(text, '')")} <> '' THEN NULL ELSE 'Empty prompt' END AS error
+  FROM conv WHERE role = 'user'""")
+def q_validate_prompts(spark, sf):
+    c = _conv(spark, sf).filter(F.col("role") == "user")
+    return D.validate_prompts(c, "text").select("conv_id", "turn", "prompt_clean", "status", "error")
+
+
+def _prompt_sql(ctx: str, query: str) -> str:
+    pre, rest = T.DEFAULT_PROMPT_TEMPLATE.split("{context}", 1)
+    mid, post = rest.split("{query}", 1)
+    return f"({S.q(pre)} || {ctx} || {S.q(mid)} || {query} || {S.q(post)})"
+
+
+@register("build_prompt", f"""WITH {SQL_CONV}
+  SELECT u.conv_id, u.turn, {_prompt_sql("coalesce(" + S.clean_qa('a.text') + ", '')", 'u.text')} AS prompt
+  FROM conv u LEFT JOIN conv a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user' AND u.text IS NOT NULL""")
+def q_build_prompt(spark, sf):
+    c = _conv(spark, sf)
+    u = c.filter((F.col("role") == "user") & F.col("text").isNotNull()).select("conv_id", "turn", "text")
+    a = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), T.clean_qa_lines("text").alias("ctx"))
+    j = u.join(a, ["conv_id", "turn"], "left")
+    return j.select("conv_id", "turn", T.build_prompt(F.coalesce(F.col("ctx"), F.lit("")), F.col("text")).alias("prompt"))
+
+
+@register("truncate_at_stop", f"""WITH {SQL_CONV}
+  SELECT conv_id, turn, {S.truncate_at_stop('text')} AS text FROM conv WHERE role = 'assistant'""")
+def q_truncate_at_stop(spark, sf):
+    c = _conv(spark, sf).filter(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", T.truncate_at_stop(F.col("text")).alias("text"))
+
+
+@register("assemble_stream", f"""WITH {SQL_CONV}
+  SELECT conv_id, turn, t AS text FROM (SELECT conv_id, turn, {S.truncate_at_stop('text')} AS t FROM conv
+  WHERE role = 'assistant') WHERE t <> ''""")
+def q_assemble_stream(spark, sf):
+    c = _conv(spark, sf).filter(F.col("role") == "assistant")
+    t = c.select("conv_id", "turn", T.truncate_at_stop(F.col("text")).alias("t"))
+    pieces = D.stream_pieces(t, ["conv_id", "turn"], "t")
+    return D.assemble_stream(pieces, ["conv_id", "turn"], "seq", "piece")
+
+
+@register("transcript", f"""WITH {SQL_CONV}
+  SELECT conv_id, turn, CASE role WHEN 'user' THEN 'You' WHEN 'assistant' THEN 'Bot'
+         ELSE upper(left(coalesce(role, ''), 1)) || lower(substr(coalesce(role, ''), 2)) END AS sender,
+         (CASE role WHEN 'user' THEN 'You' WHEN 'assistant' THEN 'Bot'
+          ELSE upper(left(coalesce(role, ''), 1)) || lower(substr(coalesce(role, ''), 2)) END) || ': ' || coalesce(text, '') AS line
+  FROM conv""")
+def q_transcript(spark, sf):
+    return D.transcript(_conv(spark, sf)).select("conv_id", "turn", "sender", "line")
+
+
+@register("take_while_session", f"""WITH {SQL_CONV}, firsts AS (
+    SELECT conv_id, min(turn) AS fe FROM conv WHERE role = 'user' AND lower(text) IN ('exit', 'quit') GROUP BY conv_id)
+  SELECT c.conv_id, c.turn FROM conv c LEFT JOIN firsts f USING (conv_id) WHERE f.fe IS NULL OR c.turn < f.fe""")
+def q_take_while_session(spark, sf):
+    return D.take_while_session(_conv(spark, sf)).select("conv_id", "turn")
+
+
+# ================================================================ sentences, incremental ingest, audit
+def _clean_docs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.clean_text("text").alias("text"))
+
+
+SQL_SENT_ROWS = f"""sent_rows AS (
+  SELECT doc_id, CAST(unnest(range(len(s))) AS BIGINT) AS sent_pos, unnest(s) AS sentence
+  FROM (SELECT doc_id, {S.sentences(S.clean('text'))} AS s FROM documents)
+)"""
+
+
+@register("split_sentences", f"WITH {SQL_SENT_ROWS} SELECT * FROM sent_rows")
+def q_split_sentences(spark, sf):
+    return chunking.explode_sentences(_clean_docs(spark, sf)).withColumn("sent_pos", F.col("sent_pos").cast("long"))
+
+
+@register("count_tokens", f"""WITH {SQL_SENT_ROWS}
+  SELECT doc_id, sent_pos, CAST(least(512, len({S.words('sentence')})) AS BIGINT) AS n_tokens FROM sent_rows""")
+def q_count_tokens(spark, sf):
+    s = chunking.explode_sentences(_clean_docs(spark, sf))
+    return s.select("doc_id", F.col("sent_pos").cast("long"), T.count_tokens(F.col("sentence"), 512).cast("long").alias("n_tokens"))
+
+
+@register("chunk_sentences", f"WITH {S.sentence_chunk_ctes('documents', 'sc')} SELECT * FROM sc")
+def q_chunk_sentences(spark, sf):
+    recs = jobs.documents_as_records(table(spark, sf, "documents"))
+    return jobs.sentence_chunks(recs).select("doc_id", F.col("chunk_pos").cast("long"), "chunk_text")
+
+
+BENCH_DOC_OFFSET = 1_000_000_000
+
+SQL_INC = f"""docs2 AS (
+  SELECT doc_id, text FROM documents UNION ALL SELECT {BENCH_DOC_OFFSET} + item_id, text FROM benchmark
+  UNION ALL SELECT * FROM {FX.BLANK_DOCS.sql()}
+), {S.sentence_chunk_ctes('documents', 'c1')}, {S.sentence_chunk_ctes('docs2', 'c2')},
+r1_first AS (
+  SELECT doc_id, chunk_pos, chunk_text, md5(chunk_text) AS chunk_hash
+  FROM c1 QUALIFY row_number() OVER (PARTITION BY md5(chunk_text) ORDER BY doc_id, chunk_pos) = 1
+), r1 AS (
+  SELECT CAST(row_number() OVER (ORDER BY doc_id, chunk_pos) - 1 AS BIGINT) AS id, * FROM r1_first
+), c2_new AS (
+  SELECT *, md5(chunk_text) AS chunk_hash FROM c2 WHERE md5(chunk_text) NOT IN (SELECT chunk_hash FROM r1)
+), r2_first AS (
+  SELECT * FROM c2_new QUALIFY row_number() OVER (PARTITION BY chunk_hash ORDER BY doc_id, chunk_pos) = 1
+), r2 AS (
+  SELECT CAST((SELECT coalesce(max(id) + 1, 0) FROM r1) + row_number() OVER (ORDER BY doc_id, chunk_pos) - 1 AS BIGINT) AS id,
+         doc_id, chunk_pos, chunk_text, chunk_hash
+  FROM r2_first
+), final_store AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2)"""
+
+
+def _inc_inputs(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    bench = table(spark, sf, "benchmark").select((F.lit(BENCH_DOC_OFFSET) + F.col("item_id")).alias("doc_id"), "text")
+    more = docs.unionByName(bench).unionByName(FX.BLANK_DOCS.df(spark))
+    return jobs.documents_as_records(docs), jobs.documents_as_records(more)
+
+
+def _inc_runs(spark, sf):
+    first, second = _inc_inputs(spark, sf)
+    run1 = jobs.ingest_incremental(first, None, with_embedding=False).checkpoint()
+    run2 = jobs.ingest_incremental(second, run1, with_embedding=False)
+    return first, second, run1, run2
+
+
+@register("ingest_incremental", f"""WITH {SQL_INC}
+  SELECT id, doc_id, chunk_pos, chunk_hash, {S.tags('chunk_text')} AS tags FROM final_store""")
+def q_ingest_incremental(spark, sf):
+    _, _, run1, run2 = _inc_runs(spark, sf)
+    return run1.unionByName(run2).select("id", "doc_id", F.col("chunk_pos").cast("long"), "chunk_hash",
+                                         F.array_join("tags", ",").alias("tags"))
+
+
+@register("new_chunks_only", f"WITH {SQL_INC} SELECT doc_id, chunk_pos, chunk_hash FROM c2_new")
+def q_new_chunks_only(spark, sf):
+    first, second = _inc_inputs(spark, sf)
+    old = dedup.with_chunk_hash(jobs.sentence_chunks(first))
+    new = dedup.with_chunk_hash(jobs.sentence_chunks(second))
+    return dedup.new_chunks_only(new, old).select("doc_id", F.col("chunk_pos").cast("long"), "chunk_hash")
+
+
+@register("union_increment", f"WITH {SQL_INC} SELECT id, chunk_hash FROM final_store")
+def q_union_increment(spark, sf):
+    from quarry.operators import audit
+
+    _, _, run1, run2 = _inc_runs(spark, sf)
+    return audit.union_increment(run1, run2).select("id", "chunk_hash")
+
+
+@register("ingest_report", f"""WITH {SQL_INC}
+  SELECT (SELECT CAST(count(*) AS BIGINT) FROM r1) AS existing, (SELECT CAST(count(*) AS BIGINT) FROM r2) AS new_chunks,
+         (SELECT CAST(count(*) AS BIGINT) FROM docs2 WHERE {S.clean("coalesce(text, '')")} = '') AS skipped_docs,
+         (SELECT CAST(count(*) AS BIGINT) FROM r2) AS vectors_added""")
+def q_ingest_report(spark, sf):
+    from quarry.operators import audit
+
+    _, second, run1, run2 = _inc_runs(spark, sf)
+    return audit.ingest_report(run1, run2, second)
+
+
+def _store_sql_with_files() -> str:
+    return SQL_WORD_CHUNKS.strip()
+
+
+@register("distinct_sources", f"WITH {SQL_WORD_CHUNKS.strip()} SELECT DISTINCT 'doc-' || doc_id || '.json' AS file FROM store")
+def q_distinct_sources(spark, sf):
+    from quarry.operators import audit
+
+    return audit.distinct_sources(_store(spark, sf, with_embedding=False))
+
+
+@register("xref_missing_sources", f"""WITH {SQL_WORD_CHUNKS.strip()}
+  SELECT 'doc-' || doc_id || '.json' AS file FROM documents
+  EXCEPT SELECT 'doc-' || doc_id || '.json' FROM store""")
+def q_xref_missing_sources(spark, sf):
+    from quarry.operators import audit
+
+    recs = jobs.documents_as_records(table(spark, sf, "documents"))
+    return audit.xref_missing_sources(recs.select("file"), _store(spark, sf, with_embedding=False))
+
+
+@register("audit_id_consistency", f"""WITH {SQL_WORD_CHUNKS.strip()}, {S.sparse_embedding_cte('semb', 'store', 'id', 'chunk_text')},
+  m AS (SELECT DISTINCT id FROM store), v AS (SELECT DISTINCT id FROM semb)
+  SELECT (SELECT CAST(count(*) AS BIGINT) FROM m) AS meta_entries, (SELECT CAST(count(*) AS BIGINT) FROM v) AS vector_entries,
+         (SELECT CAST(count(*) AS BIGINT) FROM m WHERE id NOT IN (SELECT id FROM v)) AS missing_in_vectors,
+         (SELECT CAST(count(*) AS BIGINT) FROM v WHERE id NOT IN (SELECT id FROM m)) AS missing_in_meta,
+         (SELECT count(*) FROM m WHERE id NOT IN (SELECT id FROM v)) = 0
+           AND (SELECT count(*) FROM v WHERE id NOT IN (SELECT id FROM m)) = 0 AS consistent""")
+def q_audit_id_consistency(spark, sf):
+    from quarry.functions import vectors as VV
+    from quarry.operators import audit
+
+    st = _store(spark, sf)
+    vecs = st.filter(VV.norm("embedding") > 0).select("id")
+    return audit.audit_id_consistency(st.select("id"), vecs)

@@ -113,3 +113,29 @@ PDF_PAGES = Fixture(
         ("http://fx.example.com/empty.pdf", 0, "", None),
     ],
 )
+
+# Dialog turns the driver table lacks.
+CONV_EXTRA = Fixture(
+    [("conv_id", "BIGINT"), ("turn", "BIGINT"), ("role", "VARCHAR"), ("text", "VARCHAR")],
+    [
+        (-1, 0, "user", "Hello there"),
+        (-1, 1, "assistant", "Question: what?\nAnswer: this\n  What is z?\nReal content here.\n\nWhat now？\nWhat"),
+        (-1, 2, "user", "exit"),
+        (-1, 3, "user", "after exit"),
+        (-2, 0, "user", "QUIT"),
+        (-2, 1, "user", "never seen"),
+        (-3, 0, "user", "  WHO ARE YOU and how can you help  "),
+        (-3, 1, "user", "What can you do?"),
+        (-3, 2, "user", "exit now"),
+        (-3, 3, "assistant", "Sure.\nYou: stop here###more</s>"),
+        (-3, 4, "user", "I need help"),
+        (-3, 5, "user", "please assist me"),
+        (-4, 0, "user", None),
+        (-4, 1, "user", "   "),
+        (-4, 2, "user", NBSP),
+        (-4, 3, "user", ""),
+        (-4, 4, "assistant", "###starts with stop"),
+        (-4, 5, "assistant", "no stop at all \nThe user asked: x"),
+        (-4, 6, "system", "be brief"),
+    ],
+)

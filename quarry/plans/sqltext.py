@@ -205,3 +205,58 @@ def slug(url: str, kind: str) -> str:
 def route(url: str, ct: str) -> str:
     return (f"(CASE WHEN contains(lower(coalesce({ct}, '')), 'application/pdf') OR ends_with(lower({url}), '.pdf') "
             f"THEN 'pdf' ELSE 'html' END)")
+
+
+# ---------------------------------------------------------------- dialog / sentences
+def intent_case(e: str, intents=None) -> tuple[str, str]:
+    from quarry.functions.text import DEFAULT_INTENTS
+
+    intents = intents or DEFAULT_INTENTS
+    qx = f"lower({ustrip(e)})"
+    name, resp = [], []
+    for n, phrases, r in intents:
+        cond = " OR ".join(f"contains({qx}, {q(p)})" for p in phrases)
+        name.append(f"WHEN {cond} THEN {q(n)}")
+        resp.append(f"WHEN {cond} THEN {q(r)}")
+    return "(CASE " + " ".join(name) + " END)", "(CASE " + " ".join(resp) + " END)"
+
+
+def clean_qa(e: str) -> str:
+    keep = (f"list_filter({split_lines(e)}, lambda ln: NOT (regexp_matches({ustrip('ln')}, '^(Question:|Answer:)') "
+            f"OR regexp_matches({ustrip('ln')}, '^What .*[?？]$')))")
+    return ustrip(f"array_to_string({keep}, ' ')")
+
+
+def truncate_at_stop(e: str, max_tokens: int = 1024) -> str:
+    from quarry.functions.text import DEFAULT_STOPS
+
+    pos = "least(" + ", ".join(f"nullif(instr({e}, {q(s)}), 0)" for s in DEFAULT_STOPS) + ")"
+    cut = f"(CASE WHEN {pos} IS NULL THEN {e} ELSE left({e}, {pos} - 1) END)"
+    return (f"(CASE WHEN len({words(cut)}) > {max_tokens} THEN array_to_string({words(cut)}[1:{max_tokens}], ' ') "
+            f"ELSE {cut} END)")
+
+
+def sentences(e: str) -> str:
+    marked = f"regexp_replace({e}, '([.!?]){WS}+', '\\1' || chr(1), 'g')"
+    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda x: {ustrip('x')}), lambda x: x <> '')"
+
+
+def sentence_chunk_ctes(src: str, name: str, limit: int = 512) -> str:
+    """``name(doc_id, chunk_pos, chunk_text)``: greedy sentence packing."""
+    return f"""{name}_s AS (
+  SELECT doc_id, {sentences(clean('text'))} AS s FROM {src}
+), {name}_l AS (
+  SELECT doc_id, s, list_transform(s, lambda x: CAST(least({limit}, len({words('x')})) AS BIGINT)) AS lens FROM {name}_s
+), {name}_i AS (
+  SELECT doc_id, s, list_reduce(lens, lambda acc, l: CASE WHEN acc.no < 0 OR acc.cur + l > {limit}
+        THEN {{'cur': l, 'no': acc.no + 1, 'ids': list_append(acc.ids, acc.no + 1)}}
+        ELSE {{'cur': acc.cur + l, 'no': acc.no, 'ids': list_append(acc.ids, acc.no)}} END,
+      {{'cur': CAST(0 AS BIGINT), 'no': CAST(-1 AS BIGINT), 'ids': CAST([] AS BIGINT[])}}).ids AS ids FROM {name}_l
+), {name}_c AS (
+  SELECT doc_id, list_transform(range(0, coalesce(ids[-1] + 1, 0)),
+           lambda c: array_to_string(list_filter(s, lambda x, i: ids[i] = c), ' ')) AS cs FROM {name}_i
+), {name} AS (
+  SELECT doc_id, chunk_pos, chunk_text FROM (
+    SELECT doc_id, CAST(unnest(range(len(cs))) AS BIGINT) AS chunk_pos, unnest(cs) AS chunk_text FROM {name}_c)
+  WHERE chunk_text <> ''
+)"""
