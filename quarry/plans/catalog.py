@@ -240,9 +240,11 @@ SQL_DOC_SEARCH = f"""
 {SQL_WORD_CHUNKS.strip()},
 {S.sparse_embedding_cte('cemb', 'store', 'id', 'chunk_text')},
 {S.sparse_embedding_cte('qemb', 'benchmark', 'item_id', 'text')},
-doc_scores AS (
-  SELECT qemb.item_id AS qid, cemb.id, CAST(floor(sum(qemb.w * cemb.w) * 1000000 + 0.5) AS BIGINT) AS k
-  FROM qemb JOIN cemb USING (bucket) GROUP BY 1, 2
+doc_dots AS (
+  SELECT qemb.item_id AS qid, cemb.id, sum(qemb.w * cemb.w) AS ip FROM qemb JOIN cemb USING (bucket) GROUP BY 1, 2
+), doc_scores AS (
+  SELECT q.item_id AS qid, s.id, CAST(floor(coalesce(d.ip, 0) * 1000000 + 0.5) AS BIGINT) AS k
+  FROM benchmark q CROSS JOIN store s LEFT JOIN doc_dots d ON d.qid = q.item_id AND d.id = s.id
 ), doc_ranked AS (
   SELECT qid, id, k, row_number() OVER (PARTITION BY qid ORDER BY k DESC, id) AS rank FROM doc_scores
 ), doc_hits AS (
@@ -795,3 +797,103 @@ def q_audit_id_consistency(spark, sf):
     st = _store(spark, sf)
     vecs = st.filter(VV.norm("embedding") > 0).select("id")
     return audit.audit_id_consistency(st.select("id"), vecs)
+
+
+# ================================================================ cache, rerank, RAG
+from quarry.operators import cache as CA  # noqa: E402
+from quarry.operators import rerank as RR  # noqa: E402
+
+ADMISSION_CAP = 500  # below the distinct-key count of the log, so the cap is exercised
+
+
+@register("cache_admission", f"""WITH lg AS (SELECT event_id, event_type || '/' || user_id AS key FROM events),
+  firsts AS (SELECT key, min(event_id) AS fst FROM lg GROUP BY key),
+  adm AS (SELECT key FROM firsts ORDER BY fst, key LIMIT {ADMISSION_CAP})
+  SELECT l.event_id, l.key, (a.key IS NOT NULL) AS admitted, (a.key IS NOT NULL AND l.event_id > f.fst) AS hit
+  FROM lg l JOIN firsts f USING (key) LEFT JOIN adm a USING (key)""")
+def q_cache_admission(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("key"))
+    return CA.cache_admission(ev, "key", "event_id", ADMISSION_CAP).select("event_id", "key", "admitted", "hit")
+
+
+@register("cache_lookup", """WITH qs AS (
+    SELECT 'bench' AS src, item_id AS qid, text AS query FROM benchmark
+    UNION ALL SELECT 'user', conv_id * 100000 + turn, text FROM conversations WHERE role = 'user')
+  SELECT src, qid, EXISTS (SELECT 1 FROM benchmark b WHERE b.text = qs.query) AS hit FROM qs""")
+def q_cache_lookup(spark, sf):
+    b = table(spark, sf, "benchmark")
+    users = table(spark, sf, "conversations").filter(F.col("role") == "user")
+    qs = b.select(F.lit("bench").alias("src"), F.col("item_id").alias("qid"), F.col("text").alias("query")).unionByName(
+        users.select(F.lit("user").alias("src"), (F.col("conv_id") * 100000 + F.col("turn")).alias("qid"),
+                     F.col("text").alias("query")))
+    cache = embed.embed_text(b.select(F.col("text").alias("query")), "query", "embedding")
+    return CA.cache_lookup(qs, cache, "query").select("src", "qid", "hit")
+
+
+def _doc_candidates(spark, sf):
+    store = _store(spark, sf)
+    qv = jobs.query_vectors(table(spark, sf, "benchmark"), "item_id", "text")
+    hits = search.topk_inner_product(qv, store, k=10, carry=["embedding", "chunk_text"])
+    return store, qv, hits
+
+
+SQL_MMR = f"""{SQL_DOC_SEARCH.strip()}, qe AS (SELECT item_id AS qk, bucket, w FROM qemb),
+{S.mmr_ctes('doc_hits', 'qe', 'cemb')}"""
+
+
+@register("candidate_self_join", f"""WITH {SQL_MMR}
+  SELECT c.qid, CAST(c.r AS BIGINT) AS rank, (SELECT max(cos) FROM pc WHERE pc.qid = c.qid AND pc.r1 = c.r AND pc.r2 <> c.r) AS max_cos
+  FROM cands c""")
+def q_candidate_self_join(spark, sf):
+    _, qv, hits = _doc_candidates(spark, sf)
+    cands = RR.with_query_similarity(hits, qv)
+    return RR.candidate_self_join(cands).select("qid", F.col("rank").cast("long"), "max_cos")
+
+
+@register("mmr_rerank", f"WITH {SQL_MMR} SELECT qid, pick, CAST(rank AS BIGINT) AS rank, id FROM mmr_picks")
+def q_mmr_rerank(spark, sf):
+    _, qv, hits = _doc_candidates(spark, sf)
+    cands = RR.with_query_similarity(hits, qv)
+    return RR.mmr_rerank(cands, 4, 0.5).select("qid", "pick", F.col("rank").cast("long"), "id")
+
+
+@register("search_mmr", f"""WITH {SQL_MMR}
+  SELECT p.qid, p.pick, CAST(p.rank AS BIGINT) AS rank, p.id, s.chunk_text FROM mmr_picks p JOIN store s USING (id)""")
+def q_search_mmr(spark, sf):
+    store = _store(spark, sf)
+    out = jobs.search_mmr(table(spark, sf, "benchmark"), store, 10, 4, 0.5, qid="item_id", text="text")
+    return out.select("qid", "pick", F.col("rank").cast("long"), "id", "chunk_text")
+
+
+def _rag_sql() -> str:
+    pc = S.ustrip("coalesce(text, '')")
+    _, resp = S.intent_case("pc")
+    return f"""WITH {SQL_CONV}, {SQL_WORD_CHUNKS.strip()},
+req AS (SELECT conv_id, turn, {pc} AS pc FROM conv WHERE role = 'user'),
+req2 AS (SELECT *, {resp} AS intent_resp FROM req),
+ask AS (SELECT conv_id * 100000 + turn AS qid, conv_id, turn, pc FROM req2 WHERE pc <> '' AND intent_resp IS NULL),
+{S.sparse_embedding_cte('cemb', 'store', 'id', 'chunk_text')},
+{S.sparse_embedding_cte('qemb', 'ask', 'qid', 'pc')},
+dots AS (SELECT qemb.qid, cemb.id, sum(qemb.w * cemb.w) AS ip FROM qemb JOIN cemb USING (bucket) GROUP BY 1, 2),
+scores AS (
+  SELECT a.qid, s.id, CAST(floor(coalesce(d.ip, 0) * 1000000 + 0.5) AS BIGINT) AS k
+  FROM ask a CROSS JOIN store s LEFT JOIN dots d ON d.qid = a.qid AND d.id = s.id
+), rk AS (SELECT qid, id, k, row_number() OVER (PARTITION BY qid ORDER BY k DESC, id) AS rank FROM scores),
+doc_hits AS (SELECT * FROM rk WHERE rank <= 10),
+qe AS (SELECT qid AS qk, bucket, w FROM qemb),
+{S.mmr_ctes('doc_hits', 'qe', 'cemb')},
+ctx AS (
+  SELECT p.qid, string_agg({S.clean_qa('s.chunk_text')}, chr(10) || chr(10) ORDER BY p.pick) AS context
+  FROM mmr_picks p JOIN store s USING (id) GROUP BY p.qid
+)
+SELECT conv_id, turn, 'error' AS kind, 'Empty prompt' AS text FROM req2 WHERE pc = ''
+UNION ALL SELECT conv_id, turn, 'intent', intent_resp FROM req2 WHERE pc <> '' AND intent_resp IS NOT NULL
+UNION ALL SELECT a.conv_id, a.turn, 'prompt', {_prompt_sql("coalesce(ctx.context, '')", 'a.pc')}
+FROM ask a LEFT JOIN ctx USING (qid)"""
+
+
+@register("rag_prompts", _rag_sql())
+def q_rag_prompts(spark, sf):
+    store = _store(spark, sf)
+    req = _conv(spark, sf).filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    return jobs.rag_prompts(req, store, key=("conv_id", "turn"))

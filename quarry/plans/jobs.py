@@ -104,3 +104,46 @@ def search_topk(queries: DataFrame, store: DataFrame, k: int = 10, n: int = 4,
     qv = query_vectors(queries, qid, text)
     hits = search.topk_inner_product(qv, store, k=k, carry=list(carry))
     return search.retrieve_best(hits, n)
+
+
+def search_mmr(queries: DataFrame, store: DataFrame, k: int = 10, rerank_k: int = 4, lambda_param: float = 0.5,
+               qid: str = "qid", text: str = "qtext", qvecs: DataFrame | None = None) -> DataFrame:
+    """E1 -> T1 (k candidates, carrying their vectors and texts) -> query
+    cosine -> T3 MMR picks ``rerank_k``.  Returns ``qid, pick, rank, id, chunk_text``."""
+    from quarry.operators import rerank
+
+    qv = qvecs if qvecs is not None else query_vectors(queries, qid, text)
+    hits = search.topk_inner_product(qv, store, k=k, carry=["embedding", "chunk_text"])
+    cands = rerank.with_query_similarity(hits, qv)
+    picks = rerank.mmr_rerank(cands, rerank_k, lambda_param)
+    texts = hits.select("qid", "rank", "chunk_text")
+    return picks.join(texts, ["qid", "rank"])
+
+
+def rag_prompts(requests: DataFrame, store: DataFrame, key: Sequence[str] = ("request_id",), prompt: str = "prompt",
+                k: int = 10, rerank_k: int = 4, lambda_param: float = 0.5) -> DataFrame:
+    """F11 -> F9 (short-circuit) -> C5 -> F10 -> A6 -> F12 for a table of
+    requests.  Returns ``key..., kind in {error, intent, prompt}, text``.
+
+    The intent and empty-prompt checks run before retrieval, so only the
+    remaining requests are embedded and scored."""
+    from quarry.operators import dialog
+
+    key = list(key)
+    v = dialog.validate_prompts(requests.select(*key, prompt), prompt)
+    it = T.detect_intent(F.col("prompt_clean"))
+    v = v.withColumn("_intent", it["response"])
+    errors = v.filter(F.col("status") == "error").select(*key, F.lit("error").alias("kind"), F.col("error").alias("text"))
+    intents = v.filter((F.col("status") == "ok") & F.col("_intent").isNotNull()).select(
+        *key, F.lit("intent").alias("kind"), F.col("_intent").alias("text"))
+    qid_expr = F.xxhash64(*key) if len(key) != 2 else (F.col(key[0]) * 100000 + F.col(key[1]))
+    ask = v.filter((F.col("status") == "ok") & F.col("_intent").isNull()).withColumn(
+        "qid", qid_expr).select(*key, "qid", "prompt_clean")
+    qv = query_vectors(ask, "qid", "prompt_clean")
+    picks = search_mmr(None, store, k, rerank_k, lambda_param, qvecs=qv)
+    ctx = dialog.context_concat(
+        picks.select("qid", F.col("pick").alias("rank"), T.clean_qa_lines("chunk_text").alias("chunk_text")))
+    prompts = ask.join(ctx, "qid", "left").select(
+        *key, F.lit("prompt").alias("kind"),
+        T.build_prompt(F.coalesce(F.col("context"), F.lit("")), F.col("prompt_clean")).alias("text"))
+    return errors.unionByName(intents).unionByName(prompts)

@@ -260,3 +260,43 @@ def sentence_chunk_ctes(src: str, name: str, limit: int = 512) -> str:
     SELECT doc_id, CAST(unnest(range(len(cs))) AS BIGINT) AS chunk_pos, unnest(cs) AS chunk_text FROM {name}_c)
   WHERE chunk_text <> ''
 )"""
+
+
+def mmr_ctes(hits: str, qemb: str, cemb: str, k: int = 4, lam: float = 0.5) -> str:
+    """MMR oracle, unrolled: ``hits(qid, rank, id)``, sparse query / chunk
+    weights ``qemb(qk, bucket, w)`` and ``cemb(id, bucket, w)``; ends with
+    ``mmr_picks(qid, pick, rank, id)``."""
+    mu = 1.0 - lam
+    parts = [f"""cnorm AS (SELECT id, sqrt(sum(w * w)) AS n FROM {cemb} GROUP BY id
+), qnorm AS (SELECT qk, sqrt(sum(w * w)) AS n FROM {qemb} GROUP BY qk
+), cands AS (
+  SELECT h.qid, h.rank AS r, h.id,
+         round(coalesce((SELECT sum(q.w * c.w) FROM {qemb} q JOIN {cemb} c USING (bucket) WHERE q.qk = h.qid AND c.id = h.id), 0)
+               / ((SELECT n FROM qnorm WHERE qk = h.qid) * (SELECT n FROM cnorm WHERE cnorm.id = h.id)), 6) AS sim
+  FROM {hits} h
+), pc AS (
+  SELECT a.qid, a.r AS r1, b.r AS r2,
+         round(coalesce((SELECT sum(x.w * y.w) FROM {cemb} x JOIN {cemb} y USING (bucket) WHERE x.id = a.id AND y.id = b.id), 0)
+               / ((SELECT n FROM cnorm WHERE cnorm.id = a.id) * (SELECT n FROM cnorm WHERE cnorm.id = b.id)), 6) AS cos
+  FROM cands a JOIN cands b ON a.qid = b.qid
+), s1 AS (
+  SELECT qid, r AS p FROM cands QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sim DESC, r) = 1
+), sel1 AS (SELECT qid, p FROM s1
+), m1 AS (
+  SELECT c.qid, c.r, pc.cos AS ms FROM cands c JOIN s1 USING (qid) JOIN pc ON pc.qid = c.qid AND pc.r1 = c.r AND pc.r2 = s1.p
+)"""]
+    for t in range(2, k + 1):
+        parts.append(f""", s{t} AS (
+  SELECT c.qid, c.r AS p FROM cands c JOIN m{t-1} m USING (qid, r)
+  WHERE NOT EXISTS (SELECT 1 FROM sel{t-1} x WHERE x.qid = c.qid AND x.p = c.r)
+  QUALIFY row_number() OVER (PARTITION BY c.qid ORDER BY CAST({lam} AS DOUBLE) * c.sim - CAST({mu} AS DOUBLE) * m.ms DESC, c.r) = 1
+), sel{t} AS (SELECT qid, p FROM sel{t-1} UNION ALL SELECT qid, p FROM s{t}
+), m{t} AS (
+  SELECT m.qid, m.r, greatest(m.ms, pc.cos) AS ms FROM m{t-1} m JOIN s{t} USING (qid)
+  JOIN pc ON pc.qid = m.qid AND pc.r1 = m.r AND pc.r2 = s{t}.p
+)""")
+    union = " UNION ALL ".join(f"SELECT qid, CAST({t} AS BIGINT) AS pick, p FROM s{t}" for t in range(1, k + 1))
+    parts.append(f""", mmr_picks AS (
+  SELECT u.qid, u.pick, u.p AS rank, c.id FROM ({union}) u JOIN cands c ON c.qid = u.qid AND c.r = u.p
+)""")
+    return "".join(parts)
