@@ -540,7 +540,9 @@ recs AS (
          array_to_string(dd.texts, chr(10) || '--' || chr(10)) AS desc_divs,
          array_to_string(ar.texts, chr(10) || '--' || chr(10)) AS article_texts,
          array_to_string({S.attr_list('p.html', 'a', 'href')}, ' ') AS links_raw,
-         array_to_string({S.attr_list('p.html', 'img', 'src')}, ' ') AS images
+         array_to_string({S.attr_list('p.html', 'img', 'src')}, ' ') AS images,
+         array_to_string(list_transform({S.attr_list('p.html', 'a', 'href')}, lambda h: {S.url_join('p.url', 'h')}), ' ') AS links_abs,
+         {S.text_nodes(S.body('p.html'))} AS text_list, ar.texts AS article_list
   FROM allpages p JOIN dd USING (page_id) JOIN ar USING (page_id)
 ), latest AS (
   SELECT * FROM recs QUALIFY page_id = max(page_id) OVER (PARTITION BY slug)
@@ -559,7 +561,10 @@ def _flat_records(rec):
     )
 
 
-@register("extract_pages", f"WITH {_records_sql()} SELECT * FROM latest")
+REC_COLS = "page_id, url, slug, title, description, keywords, text, desc_divs, article_texts, links_raw, images"
+
+
+@register("extract_pages", f"WITH {_records_sql()} SELECT {REC_COLS} FROM latest")
 def q_extract_pages(spark, sf):
     return _flat_records(PG.extract_pages(_allpages(spark, sf)))
 
@@ -897,3 +902,108 @@ def q_rag_prompts(spark, sf):
     store = _store(spark, sf)
     req = _conv(spark, sf).filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
     return jobs.rag_prompts(req, store, key=("conv_id", "turn"))
+
+
+# ================================================================ sources and sinks (round trips)
+from quarry.session import scratch_path  # noqa: E402
+from quarry.sources import readers as RD  # noqa: E402
+from quarry.sources import writers as WR  # noqa: E402
+
+
+@register("write_page_json", f"""WITH {_records_sql()}
+  SELECT url, title, description, keywords, text, desc_divs, article_texts, links_abs AS links, images FROM latest""")
+def q_write_page_json(spark, sf):
+    path = scratch_path(spark, "pages-json")
+    WR.write_pages(PG.page_records(_allpages(spark, sf)), path)
+    back = RD.read_page_json(spark, path, multi_line=False)
+    return back.select(
+        "url", "title", F.col("meta.description").alias("description"), F.col("meta.keywords").alias("keywords"),
+        F.array_join("text_lines", "\n").alias("text"), F.array_join("desc_divs", SEP).alias("desc_divs"),
+        F.array_join("article_texts", SEP).alias("article_texts"), F.array_join("links", " ").alias("links"),
+        F.array_join("images", " ").alias("images"))
+
+
+@register("scan_page_json", f"""WITH {_records_sql()}
+  SELECT url, title, CAST(len(text_list) AS BIGINT) AS n_text_lines, true AS ok FROM latest""")
+def q_scan_page_json(spark, sf):
+    path = scratch_path(spark, "pages-json")
+    WR.write_pages(PG.page_records(_allpages(spark, sf)), path)
+    back = RD.read_page_json(spark, path, multi_line=False)
+    return back.select("url", "title", F.size("text_lines").cast("long").alias("n_text_lines"), "ok")
+
+
+@register("write_feed", f"""WITH {SQL_ALLPAGES}
+  SELECT url, {S.title('html')} AS title, {S.meta('html', 'description')} AS description,
+         {S.meta('html', 'keywords')} AS keywords, array_to_string({S.text_nodes(S.body('html'))}, chr(10)) AS text,
+         array_to_string({S.attr_list('html', 'a', 'href')}, ' ') AS links,
+         array_to_string({S.attr_list('html', 'img', 'src')}, ' ') AS images FROM allpages""")
+def q_write_feed(spark, sf):
+    path = scratch_path(spark, "feed")
+    WR.write_feed(PG.feed_records(_allpages(spark, sf)), path)
+    back = RD.read_page_json(spark, path, multi_line=False)
+    return back.select(
+        "url", "title", F.col("meta.description").alias("description"), F.col("meta.keywords").alias("keywords"),
+        F.array_join("text_lines", "\n").alias("text"), F.array_join("links", " ").alias("links"),
+        F.array_join("images", " ").alias("images"))
+
+
+@register("select_text_source", f"""WITH {_records_sql()}
+  SELECT 'page' AS src, page_id AS sid,
+         CASE WHEN len(article_list) > 0 THEN array_to_string(article_list, ' ')
+              WHEN len(text_list) > 0 THEN array_to_string(text_list, ' ') ELSE '' END AS raw_text FROM recs
+  UNION ALL SELECT 'doc', doc_id, text FROM documents""")
+def q_select_text_source(spark, sf):
+    rec = PG.page_records(_allpages(spark, sf))
+    pages = rec.select(F.lit("page").alias("src"), F.col("page_id").alias("sid"),
+                       T.select_text_source(F.col("article_texts"), F.col("text_lines"), F.lit(None).cast("string")).alias("raw_text"))
+    docs = table(spark, sf, "documents").select(F.lit("doc").alias("src"), F.col("doc_id").alias("sid"),
+                                                T.select_text_source(F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"),
+                                                                     F.col("text")).alias("raw_text"))
+    return pages.unionByName(docs)
+
+
+@register("scan_chunk_metadata", f"""WITH {SQL_WORD_CHUNKS.strip()}
+  SELECT id, 'doc-' || doc_id || '.json' AS file, chunk_text, {S.tags('chunk_text')} AS tags FROM store""")
+def q_scan_chunk_metadata(spark, sf):
+    path = scratch_path(spark, "chunks-json")
+    st = _store(spark, sf, with_embedding=False)
+    st.select("id", "file", "url", "title", "meta_description", "chunk_text", "tags").write.mode("overwrite").json(path)
+    back = RD.read_chunks(spark, path, fmt="json", multi_line=False)
+    return back.select("id", "file", "chunk_text", F.array_join("tags", ",").alias("tags"))
+
+
+@register("write_vector_store", f"WITH {SQL_INC} SELECT id, chunk_hash FROM final_store")
+def q_write_vector_store(spark, sf):
+    path = scratch_path(spark, "store")
+    _, _, run1, run2 = _inc_runs(spark, sf)
+    WR.write_store(run1, path, "overwrite")
+    WR.write_store(run2, path, "append")
+    return RD.read_chunks(spark, path).select("id", "chunk_hash")
+
+
+SQL_CACHE = f"""{S.sparse_embedding_cte('bemb', 'benchmark', 'text', 'text')}
+  SELECT text AS query, CAST(384 AS BIGINT) AS dims, CAST(count(*) AS BIGINT) AS nnz FROM bemb GROUP BY text"""
+
+
+def _bench_cache(spark, sf):
+    b = table(spark, sf, "benchmark").select(F.col("text").alias("query")).distinct()
+    return embed.embed_text(b, "query", "embedding")
+
+
+def _cache_out(df):
+    return df.select("query", F.size("embedding").cast("long").alias("dims"),
+                     F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("nnz"))
+
+
+@register("write_embedding_cache", f"WITH {SQL_CACHE}")
+def q_write_embedding_cache(spark, sf):
+    path = scratch_path(spark, "cache")
+    WR.write_cache(_bench_cache(spark, sf), path)
+    return _cache_out(spark.read.parquet(path))
+
+
+@register("scan_embedding_cache", f"WITH {SQL_CACHE}")
+def q_scan_embedding_cache(spark, sf):
+    path = scratch_path(spark, "cache-json")
+    WR.write_cache_json(_bench_cache(spark, sf), path)
+    return _cache_out(RD.read_embedding_cache(spark, path))
