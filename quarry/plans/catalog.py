@@ -1007,3 +1007,46 @@ def q_scan_embedding_cache(spark, sf):
     path = scratch_path(spark, "cache-json")
     WR.write_cache_json(_bench_cache(spark, sf), path)
     return _cache_out(RD.read_embedding_cache(spark, path))
+
+
+# ================================================================ streaming
+from quarry.streaming import jobs as SJ  # noqa: E402
+
+
+@register("stream_ingest", f"WITH {SQL_INC} SELECT id, chunk_hash FROM final_store")
+def q_stream_ingest(spark, sf):
+    """Records arrive in two deliveries (the corpus, then the benchmark
+    passages plus blank records); each run of the stream picks up only the
+    new files and appends only unseen chunks."""
+    src, store = scratch_path(spark, "ingest-src"), scratch_path(spark, "ingest-store")
+    ckpt = scratch_path(spark, "ckpt-ingest")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    more = table(spark, sf, "benchmark").select((F.lit(BENCH_DOC_OFFSET) + F.col("item_id")).alias("doc_id"), "text") \
+        .unionByName(FX.BLANK_DOCS.df(spark))
+    docs.write.mode("append").json(src)
+    SJ.stream_ingest(spark, src, store, ckpt, with_embedding=False)
+    more.write.mode("append").json(src)
+    SJ.stream_ingest(spark, src, store, ckpt, with_embedding=False)
+    return spark.read.parquet(store).select("id", "chunk_hash")
+
+
+STREAM_CAP = ADMISSION_CAP
+
+
+@register("stream_query_cache", f"""WITH lg AS (SELECT event_id, event_type || '/' || user_id AS key FROM events),
+  firsts AS (SELECT key, min(event_id) AS fst FROM lg GROUP BY key)
+  SELECT key AS query, fst AS first_arrival FROM firsts ORDER BY fst, key LIMIT {STREAM_CAP}""")
+def q_stream_query_cache(spark, sf):
+    """The request log is delivered in four arrival-ordered files and replayed
+    through the streaming cache, one file per micro-batch."""
+    src, cache = scratch_path(spark, "requests"), scratch_path(spark, "qcache")
+    ev = table(spark, sf, "events", parallel=False).select(
+        "event_id", F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("key"))
+    b = ev.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+    lo, hi, parts = int(b["lo"]), int(b["hi"]), 4
+    step = (hi - lo) // parts + 1
+    for i in range(parts):  # deliveries in arrival order; together they hold every request
+        ev.filter((F.col("event_id") >= lo + i * step) & (F.col("event_id") < lo + (i + 1) * step)) \
+            .coalesce(1).write.mode("append").parquet(src)
+    SJ.stream_query_cache(spark, src, cache, cap=STREAM_CAP, max_files_per_trigger=1)
+    return spark.read.parquet(cache).select("query", "first_arrival")
