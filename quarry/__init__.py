@@ -11,3 +11,19 @@ streaming/   Structured Streaming jobs (incremental ingest, query cache)
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Pickle this package's functions by value, so Python workers run the
+    Arrow-batched steps without the package being installed on executors."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001 - older cloudpickle: workers must import the package
+        pass
+
+
+_ship_by_value()

@@ -115,9 +115,7 @@ def search_mmr(queries: DataFrame, store: DataFrame, k: int = 10, rerank_k: int
     qv = qvecs if qvecs is not None else query_vectors(queries, qid, text)
     hits = search.topk_inner_product(qv, store, k=k, carry=["embedding", "chunk_text"])
     cands = rerank.with_query_similarity(hits, qv)
-    picks = rerank.mmr_rerank(cands, rerank_k, lambda_param)
-    texts = hits.select("qid", "rank", "chunk_text")
-    return picks.join(texts, ["qid", "rank"])
+    return rerank.mmr_rerank(cands, rerank_k, lambda_param, carry=["chunk_text"])
 
 
 def rag_prompts(requests: DataFrame, store: DataFrame, key: Sequence[str] = ("request_id",), prompt: str = "prompt",
