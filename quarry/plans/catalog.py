@@ -1050,3 +1050,13 @@ def q_stream_query_cache(spark, sf):
             .coalesce(1).write.mode("append").parquet(src)
     SJ.stream_query_cache(spark, src, cache, cap=STREAM_CAP, max_files_per_trigger=1)
     return spark.read.parquet(cache).select("query", "first_arrival")
+
+
+@register("context_concat", f"""WITH {SQL_DOC_SEARCH.strip()}
+  SELECT h.qid, string_agg({S.clean_qa('s.chunk_text')}, chr(10) || chr(10) ORDER BY h.rank) AS context
+  FROM doc_hits h JOIN store s USING (id) WHERE h.rank <= 4 GROUP BY h.qid""")
+def q_context_concat(spark, sf):
+    store = _store(spark, sf)
+    best = jobs.search_topk(table(spark, sf, "benchmark"), store, k=10, n=4, qid="item_id", text="text",
+                            carry=("chunk_text",))
+    return D.context_concat(best.select("qid", "rank", T.clean_qa_lines("chunk_text").alias("chunk_text")))
