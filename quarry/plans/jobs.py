@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +64,15 @@ def sentence_chunks(records: DataFrame, limit: int = 512) -> DataFrame:
 
 
 def finish_chunks(chunks: DataFrame, start: int | Column = 0, with_embedding: bool = True,
-                  dim: int = embed.DEFAULT_DIM, embedder=None) -> DataFrame:
-    """A1 -> W1 -> F8 (-> E1/E2): dedup, dense ids, tags, embeddings."""
+                  dim: int = embed.DEFAULT_DIM, embedder=None, persist: bool = True) -> DataFrame:
+    """A1 -> W1 -> F8 (-> E1/E2): dedup, dense ids, tags, embeddings.
+
+    The chunk rows feed two branches (the light first-seen aggregate and the
+    heavy join that attaches ids), so they are persisted once (memory, then
+    local disk) instead of re-running the chunker; a lost block is recomputed
+    from lineage, which is deterministic."""
+    if persist:
+        chunks = chunks.persist(StorageLevel.MEMORY_AND_DISK)
     with_ids = dedup.dedup_with_ids(chunks, "chunk_text", ("doc_id", "chunk_pos"), start)
     tagged = with_ids.withColumn("tags", T.infer_tags(F.col("chunk_text")))
     if not with_embedding:
@@ -113,6 +121,9 @@ def search_mmr(queries: DataFrame, store: DataFrame, k: int = 10, rerank_k: int
     from quarry.operators import rerank
 
     qv = qvecs if qvecs is not None else query_vectors(queries, qid, text)
+    # the query vectors are read three times (dimension probe, broadcast block,
+    # query cosine); keep them instead of re-running the embedder
+    qv = qv.persist(StorageLevel.MEMORY_AND_DISK)
     hits = search.topk_inner_product(qv, store, k=k, carry=["embedding", "chunk_text"])
     cands = rerank.with_query_similarity(hits, qv)
     return rerank.mmr_rerank(cands, rerank_k, lambda_param, carry=["chunk_text"])
