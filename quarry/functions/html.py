@@ -98,10 +98,11 @@ def with_element_texts(df, html: str, out: str, tag: str, class_substr: str | No
         "_et_d",
         F.transform("_et_tags", lambda t: F.when(t.startswith("</"), -1).when(t.rlike(r"/\s*>\z"), 0).otherwise(1)),
     )
+    # running depth after each tag: one pass over the (small) tag array
     st = st.withColumn(
         "_et_depth",
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size("_et_d"), F.lit(1))),
-                    lambda i: F.aggregate(F.slice("_et_d", 1, i), F.lit(0), lambda a, x: a + x)),
+        F.aggregate("_et_d", F.array().cast("array<int>"),
+                    lambda acc, d: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + d)),
     )
     tags, segs, deltas, depth = F.col("_et_tags"), F.col("_et_segs"), F.col("_et_d"), F.col("_et_depth")
     m = F.size(tags)

@@ -48,35 +48,34 @@ def sentence_spans(
     """G3 core: greedy packing of sentences into chunks of at most ``limit``
     tokens (a sentence counts at most ``limit``).
 
-    The fold runs over an array of ints (token counts), so its state stays
-    small; texts are cut out afterwards with ``slice``.  Returns the chunk
-    number of every sentence (array<int>, non-decreasing).
+    The fold runs over an array of ints (token counts) and its state keeps only
+    the 1-based start position of every chunk, so a long text costs a step per
+    sentence and an array append per chunk.  Returns the start positions
+    (array<int>, increasing).
     """
     count = counter or (lambda s: T.count_tokens(s, limit))
     lens = F.transform(sentences, lambda s: F.least(F.lit(limit), count(s)))
-    init = F.struct(F.lit(0).alias("cur"), F.lit(-1).alias("no"), F.array().cast("array<int>").alias("ids"))
+    init = F.struct(F.lit(0).alias("cur"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc, ln):
-        new_chunk = (acc["no"] < 0) | (acc["cur"] + ln > limit)
-        no = F.when(new_chunk, acc["no"] + 1).otherwise(acc["no"])
+        pos = acc["pos"] + 1
+        new_chunk = (F.size(acc["starts"]) == 0) | (acc["cur"] + ln > limit)
         return F.struct(
             F.when(new_chunk, ln).otherwise(acc["cur"] + ln).alias("cur"),
-            no.alias("no"),
-            F.array_append(acc["ids"], no).alias("ids"),
+            pos.alias("pos"),
+            F.when(new_chunk, F.array_append(acc["starts"], pos)).otherwise(acc["starts"]).alias("starts"),
         )
 
-    return F.aggregate(lens, init, step)["ids"]
+    return F.aggregate(lens, init, step)["starts"]
 
 
-def spans_to_chunks(sentences: Column, chunk_ids: Column) -> Column:
-    """Join the sentences of each chunk number (ids are non-decreasing)."""
-    last = F.coalesce(F.try_element_at(chunk_ids, F.lit(-1)), F.lit(-1))
+def spans_to_chunks(sentences: Column, starts: Column) -> Column:
+    """Join the sentences of each chunk (chunk c spans starts[c] .. starts[c+1]-1)."""
+    n = F.size(sentences)
     return F.transform(
-        F.sequence(F.lit(0), last),
-        lambda c: F.array_join(
-            F.slice(sentences, F.array_position(chunk_ids, c).cast("int"), F.size(F.filter(chunk_ids, lambda x: x == c))),
-            " ",
-        ),
+        starts,
+        lambda st, i: F.array_join(
+            F.slice(sentences, st, F.coalesce(F.try_element_at(starts, i + 2), n + 1) - st), " "),
     )
 
 
@@ -96,8 +95,8 @@ def chunk_sentences(
     # stage the arrays in their own projections: a lambda that reads a column
     # does not re-run the splitter or the fold per chunk
     st = df.select(*keys, splitter(F.col(text)).alias("_s"))
-    st = st.select(*keys, "_s", sentence_spans(F.col("_s"), limit, counter).alias("_ids"))
-    chunks = F.when(F.size("_s") > 0, spans_to_chunks(F.col("_s"), F.col("_ids")))
+    st = st.select(*keys, "_s", sentence_spans(F.col("_s"), limit, counter).alias("_starts"))
+    chunks = F.when(F.size("_s") > 0, spans_to_chunks(F.col("_s"), F.col("_starts")))
     return (
         st.select(*keys, F.posexplode(chunks).alias("chunk_pos", "chunk_text"))
         .withColumn("chunk_text", T.ustrip(F.col("chunk_text")))
