@@ -38,7 +38,11 @@ def assign_ids(
     ``order_cols`` must be unique per row (ids are then deterministic across
     retries).  ``start`` may be an int or a scalar Column (e.g. a subquery).
     """
-    parts = df.repartitionByRange(num_partitions, *order_cols) if num_partitions else df.repartitionByRange(*order_cols)
+    # An explicit partition count: AQE never coalesces a user-specified
+    # repartition, so both consumers of the exchange (row numbering and the
+    # per-partition counts) see the same partition ids.
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(n, *order_cols)
     ranked = (
         parts.sortWithinPartitions(*order_cols)
         .withColumn("_pid", F.spark_partition_id())

@@ -156,3 +156,18 @@ def rag_prompts(requests: DataFrame, store: DataFrame, key: Sequence[str] = ("re
         *key, F.lit("prompt").alias("kind"),
         T.build_prompt(F.coalesce(F.col("context"), F.lit("")), F.col("prompt_clean")).alias("text"))
     return errors.unionByName(intents).unionByName(prompts)
+
+
+def records_from_page_json(pages: DataFrame) -> DataFrame:
+    """Page-record JSON rows (``read_page_json``) -> ingest records.
+
+    Unparsable files are dropped (callers count ``ok = false`` as skipped).
+    Sources are numbered in file-name order (the first-seen order of the
+    dedup) with the same range-partitioned dense numbering as chunk ids."""
+    good = pages.filter(F.col("ok"))
+    files = ids.assign_ids(good.select("file").distinct(), ["file"], 0, "doc_id")
+    rec = good.select(
+        "file", "url", "title", F.col("meta.description").alias("meta_description"),
+        T.select_text_source(F.col("article_texts"), F.col("text_lines"), F.col("content")).alias("raw_text"),
+    )
+    return rec.join(files, "file").select("doc_id", "file", "url", "title", "meta_description", "raw_text")

@@ -29,17 +29,30 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def stream_ingest(spark: SparkSession, src: str, store: str, checkpoint: str | None = None,
                   schema: T.StructType = DOC_RECORD_SCHEMA, max_files_per_trigger: int | None = None,
-                  with_embedding: bool = True, limit: int = 512) -> None:
+                  with_embedding: bool = True, limit: int = 512, page_records: bool = False) -> None:
     """Pick up new record files, add only unseen chunks, continue ids.
 
-    Runs until the files available now are processed (``availableNow``)."""
+    ``page_records=True`` reads crawler output (one pretty-printed page record
+    per ``*.json`` file, any of the HTML/PDF/feed shapes); otherwise JSON
+    lines ``(doc_id, text)``.  Runs until the files available now are
+    processed (``availableNow``)."""
+    if page_records:
+        from quarry.sources.readers import PAGE_RECORD_SCHEMA
+
+        schema = PAGE_RECORD_SCHEMA
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.json(src)
+    if page_records:
+        reader = reader.option("multiLine", True).option("pathGlobFilter", "*.json")
+        from quarry.sources.readers import record_ok
+
+        stream = reader.json(src).select(F.col("_metadata.file_name").alias("file"), "*").withColumn("ok", record_ok())
+    else:
+        stream = reader.json(src)
 
     def process(batch: DataFrame, epoch_id: int) -> None:
-        recs = jobs.documents_as_records(batch)
+        recs = jobs.records_from_page_json(batch) if page_records else jobs.documents_as_records(batch)
         existing = spark.read.parquet(store) if _exists(spark, store) else None
         new = jobs.ingest_incremental(recs, existing, limit, with_embedding=with_embedding)
         new.write.mode("append").parquet(store)

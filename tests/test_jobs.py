@@ -63,3 +63,32 @@ def test_crawl_with_start_urls(spark):
     assert got == {"http://h.example.com/": 0, "http://h.example.com/a": 1, "http://h.example.com/b": 2}
     frontier = {r.dst_url for r in links.link_frontier(links.page_edges(pages), pages).collect()}
     assert frontier == {"http://other.example.com/x"}
+
+
+def test_stream_ingest_page_records(spark):
+    import json
+    import os
+    import tempfile
+
+    src = tempfile.mkdtemp(prefix="quarry-crawl-")
+    recs = {
+        "root.json": {"url": "http://h.example.com/", "title": "Home", "meta": {"description": "d", "keywords": None},
+                      "text_lines": ["Welcome to the campus library.", "Apply now."], "article_texts": []},
+        "news.json": {"url": "http://h.example.com/news", "title": "News", "meta": {"description": None},
+                      "text_lines": ["nav"], "article_texts": ["A club event this week. Join us!"]},
+        "doc.json": {"url": "http://h.example.com/a.pdf", "type": "pdf", "content": "Course one.\nModule two."},
+        "empty.json": {"url": "http://h.example.com/e", "text_lines": [], "article_texts": []},
+    }
+    for name, rec in recs.items():
+        with open(os.path.join(src, name), "w", encoding="utf-8") as f:
+            json.dump(rec, f, indent=2)
+    with open(os.path.join(src, "broken.json"), "w") as f:
+        f.write("{oops")
+    store = scratch_path(spark, "t-crawl-store")
+    SJ.stream_ingest(spark, src, store, scratch_path(spark, "t-crawl-ckpt"), with_embedding=True, page_records=True)
+    rows = spark.read.parquet(store).orderBy("id").collect()
+    texts = {r.file: r.chunk_text for r in rows}
+    assert texts == {"doc.json": "Course one. Module two.", "news.json": "A club event this week. Join us!",
+                     "root.json": "Welcome to the campus library. Apply now."}
+    assert [r.id for r in rows] == [0, 1, 2] and [r.file for r in rows] == ["doc.json", "news.json", "root.json"]
+    assert rows[2].tags == ["admissions", "facilities"] and len(rows[0].embedding) == 384

@@ -48,3 +48,10 @@ def test_assign_ids_dense(spark):
     out = ids.assign_ids(df, ["k"], start=100)
     rows = out.orderBy("k").collect()
     assert [r.id for r in rows] == list(range(100, 100 + len(rows)))
+
+
+def test_assign_ids_tiny_inputs(spark):
+    # regression: tiny inputs once lost rows when AQE coalesced the range exchange
+    for n in (1, 2, 3, 17):
+        df = spark.range(0, n).select(((F.col("id") * 7919) % 100003).alias("k"))
+        assert sorted(r.id for r in ids.assign_ids(df, ["k"], 5).collect()) == list(range(5, 5 + n))
