@@ -2,8 +2,9 @@
 
 ``row_number() over (order by k)`` without ``partitionBy`` runs in one task.
 Instead: range-partition on the order key, number rows inside each partition,
-and add per-partition offsets.  The offsets table has one row per partition,
-so broadcasting it is bounded by the partition count, not by the data.
+materialise that once (reliable checkpoint), and add per-partition offsets.
+The offsets table has one row per partition, so broadcasting it is bounded by
+the partition count, not by the data.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import checkpoint_root
+
 _LOCAL_MASK = (1 << 33) - 1
 
 
@@ -38,15 +41,18 @@ def assign_ids(
     ``order_cols`` must be unique per row (ids are then deterministic across
     retries).  ``start`` may be an int or a scalar Column (e.g. a subquery).
     """
-    # An explicit partition count: AQE never coalesces a user-specified
-    # repartition, so both consumers of the exchange (row numbering and the
-    # per-partition counts) see the same partition ids.
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = df.repartitionByRange(n, *order_cols)
+    # Partition ids and positions are materialised once (reliable checkpoint in
+    # the shared checkpoint folder): the per-partition counts and the rows then
+    # read the same copy.  Re-evaluating the range exchange could sample other
+    # boundaries from a differently ordered input and number rows twice.
+    checkpoint_root(df.sparkSession)
     ranked = (
         parts.sortWithinPartitions(*order_cols)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_MASK)))
+        .checkpoint()
     )
     counts = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
