@@ -3,7 +3,8 @@
 Runs the headline jobs at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on
 ``local[$BENCH_CPUS]`` and prints one JSON line.  Each query is executed in
 full through the ``noop`` sink (no collect to the driver); the reported time
-is the best of ``$BENCH_REPEAT`` runs after one warm-up run of the session.
+is the best of ``$BENCH_REPEAT`` runs after one warm-up run of the session;
+the cache is cleared before every run, so no run reuses persisted blocks.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ def main():
     for n in names:
         best = None
         for _ in range(repeat):
+            spark.catalog.clearCache()  # no run may reuse blocks persisted by an earlier one
             t0 = time.time()
             QUERIES[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
             dt = time.time() - t0
