@@ -858,8 +858,7 @@ def q_candidate_self_join(spark, sf):
 @register("mmr_rerank", f"WITH {SQL_MMR} SELECT qid, pick, CAST(rank AS BIGINT) AS rank, id FROM mmr_picks")
 def q_mmr_rerank(spark, sf):
     _, qv, hits = _doc_candidates(spark, sf)
-    cands = RR.with_query_similarity(hits, qv)
-    return RR.mmr_rerank(cands, 4, 0.5).select("qid", "pick", F.col("rank").cast("long"), "id")
+    return RR.mmr_select(hits, qv, 4, 0.5).select("qid", "pick", F.col("rank").cast("long"), "id")
 
 
 @register("search_mmr", f"""WITH {SQL_MMR}

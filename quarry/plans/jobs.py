@@ -125,8 +125,7 @@ def search_mmr(queries: DataFrame, store: DataFrame, k: int = 10, rerank_k: int
     # query cosine); keep them instead of re-running the embedder
     qv = qv.persist(StorageLevel.MEMORY_AND_DISK)
     hits = search.topk_inner_product(qv, store, k=k, carry=["embedding", "chunk_text"])
-    cands = rerank.with_query_similarity(hits, qv)
-    return rerank.mmr_rerank(cands, rerank_k, lambda_param, carry=["chunk_text"])
+    return rerank.mmr_select(hits, qv, rerank_k, lambda_param, carry=["chunk_text"])
 
 
 def rag_prompts(requests: DataFrame, store: DataFrame, key: Sequence[str] = ("request_id",), prompt: str = "prompt",

@@ -271,13 +271,13 @@ def mmr_ctes(hits: str, qemb: str, cemb: str, k: int = 4, lam: float = 0.5) -> s
 ), qnorm AS (SELECT qk, sqrt(sum(w * w)) AS n FROM {qemb} GROUP BY qk
 ), cands AS (
   SELECT h.qid, h.rank AS r, h.id,
-         round(coalesce((SELECT sum(q.w * c.w) FROM {qemb} q JOIN {cemb} c USING (bucket) WHERE q.qk = h.qid AND c.id = h.id), 0)
-               / ((SELECT n FROM qnorm WHERE qk = h.qid) * (SELECT n FROM cnorm WHERE cnorm.id = h.id)), 6) AS sim
+         floor(coalesce((SELECT sum(q.w * c.w) FROM {qemb} q JOIN {cemb} c USING (bucket) WHERE q.qk = h.qid AND c.id = h.id), 0)
+               / ((SELECT n FROM qnorm WHERE qk = h.qid) * (SELECT n FROM cnorm WHERE cnorm.id = h.id)) * 1000000 + 0.5) / 1000000 AS sim
   FROM {hits} h
 ), pc AS (
   SELECT a.qid, a.r AS r1, b.r AS r2,
-         round(coalesce((SELECT sum(x.w * y.w) FROM {cemb} x JOIN {cemb} y USING (bucket) WHERE x.id = a.id AND y.id = b.id), 0)
-               / ((SELECT n FROM cnorm WHERE cnorm.id = a.id) * (SELECT n FROM cnorm WHERE cnorm.id = b.id)), 6) AS cos
+         floor(coalesce((SELECT sum(x.w * y.w) FROM {cemb} x JOIN {cemb} y USING (bucket) WHERE x.id = a.id AND y.id = b.id), 0)
+               / ((SELECT n FROM cnorm WHERE cnorm.id = a.id) * (SELECT n FROM cnorm WHERE cnorm.id = b.id)) * 1000000 + 0.5) / 1000000 AS cos
   FROM cands a JOIN cands b ON a.qid = b.qid
 ), s1 AS (
   SELECT qid, r AS p FROM cands QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sim DESC, r) = 1

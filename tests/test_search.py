@@ -55,3 +55,16 @@ def test_assign_ids_tiny_inputs(spark):
     for n in (1, 2, 3, 17):
         df = spark.range(0, n).select(((F.col("id") * 7919) % 100003).alias("k"))
         assert sorted(r.id for r in ids.assign_ids(df, ["k"], 5).collect()) == list(range(5, 5 + n))
+
+
+def test_mmr_numpy_matches_jvm_fold(spark):
+    corpus, m = _vecs(spark, 80, 6, 5)
+    rng = np.random.default_rng(9)
+    q = rng.normal(size=(6, 6))
+    qdf = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(q)], "qid long, qvec array<double>")
+    hits = search.topk_inner_product(qdf, corpus, k=10, carry=["embedding"])
+    for lam in (0.5, 0.2, 1.0):
+        a = rerank.mmr_select(hits, qdf, k=4, lambda_param=lam).collect()
+        b = rerank.mmr_rerank(rerank.with_query_similarity(hits, qdf), k=4, lambda_param=lam).collect()
+        key = lambda r: (r.qid, r.pick)
+        assert [(r.qid, r.pick, r.id) for r in sorted(a, key=key)] == [(r.qid, r.pick, r.id) for r in sorted(b, key=key)]
