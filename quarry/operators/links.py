@@ -57,6 +57,7 @@ def crawl_reach(edges: DataFrame, pages: DataFrame, start_urls: DataFrame | None
         .join(known.withColumnRenamed("u", "src_url"), "src_url", "left_semi")
         .join(known.withColumnRenamed("u", "dst_url"), "dst_url", "left_semi")
         .distinct()
+        .repartition("src_url")  # kept by the checkpoint: rounds shuffle only the frontier
         .checkpoint()
     )
     if start_urls is None:

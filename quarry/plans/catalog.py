@@ -767,10 +767,6 @@ def q_ingest_report(spark, sf):
     return audit.ingest_report(run1, run2, second)
 
 
-def _store_sql_with_files() -> str:
-    return SQL_WORD_CHUNKS.strip()
-
-
 @register("distinct_sources", f"WITH {SQL_WORD_CHUNKS.strip()} SELECT DISTINCT 'doc-' || doc_id || '.json' AS file FROM store")
 def q_distinct_sources(spark, sf):
     from quarry.operators import audit
