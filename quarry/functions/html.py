@@ -71,14 +71,56 @@ def page_meta(html, name: str) -> Column:
     return attr_value(first, "content")
 
 
+# HTML void elements (they never contain text).
+VOID_ELEMENTS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
+                 "track", "wbr"]
+# Java regex: one token = comment | script/style element | tag | text run.
+BODY_TOKEN = (
+    r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[^>]*>|[^<]+"
+)
+
+
+def _token_delta(t: Column) -> Column:
+    name = F.lower(F.regexp_extract(t, r"^<([A-Za-z][A-Za-z0-9]*)", 1))
+    return (
+        F.when(~t.startswith("<"), 0)
+        .when(t.startswith("</"), -1)
+        .when(t.startswith("<!") | t.startswith("<?"), 0)
+        .when(t.rlike(r"(?is)^<(script|style)\b"), 0)
+        .when(name.isin(*VOID_ELEMENTS) | t.rlike(r"/\s*>\z"), 0)
+        .otherwise(1)
+    )
+
+
 def page_text_lines(html) -> Column:
-    """Text nodes below ``body``."""
+    """P4 (``body *::text``): text nodes inside an element below ``body`` --
+    text sitting directly under ``body`` is not included; script and style
+    contents count as text of their element."""
+    tokens = F.regexp_extract_all(body(html), F.lit(BODY_TOKEN), 0)
+    init = F.struct(F.lit(0).alias("d"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, t):
+        inner = F.regexp_extract(t, r"(?is)^<(?:script|style)\b[^>]*>(.*)</(?:script|style)\s*>\z", 1)
+        is_code = t.rlike(r"(?is)^<(script|style)\b")
+        keep = F.when(is_code, inner).when(~t.startswith("<") & (acc["d"] > 0), t)
+        return F.struct(
+            (acc["d"] + _token_delta(t)).alias("d"),
+            F.when(keep.isNotNull(), F.array_append(acc["out"], keep)).otherwise(acc["out"]).alias("out"),
+        )
+
+    raw = F.aggregate(tokens, init, step)["out"]
+    return F.filter(F.transform(raw, lambda p: T.ustrip(T.decode_entities(p))), lambda p: p != "")
+
+
+def body_text_nodes(html) -> Column:
+    """``body ::text``: every text node below ``body``, including text sitting
+    directly under it."""
     return text_nodes(body(html))
 
 
 def page_text_clean(html) -> Column:
-    """P5: the text lines joined by newlines."""
-    return F.array_join(page_text_lines(html), "\n")
+    """P5: the ``body ::text`` lines joined by newlines."""
+    return F.array_join(body_text_nodes(html), "\n")
 
 
 def with_element_texts(df, html: str, out: str, tag: str, class_substr: str | None = None):

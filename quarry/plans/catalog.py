@@ -345,7 +345,7 @@ def q_page_meta_keywords(spark, sf):
     return _allpages(spark, sf).select("page_id", H.page_meta("html", "keywords").alias("keywords"))
 
 
-@register("page_text_lines", f"WITH {SQL_ALLPAGES} " + _rows_sql("page_id", S.text_nodes(S.body("html")), "allpages", "line"))
+@register("page_text_lines", f"WITH {SQL_ALLPAGES} " + _rows_sql("page_id", S.element_text_lines(S.body("html")), "allpages", "line"))
 def q_page_text_lines(spark, sf):
     return _explode(_allpages(spark, sf), ["page_id"], H.page_text_lines("html"), "line")
 
@@ -536,13 +536,13 @@ def _records_sql() -> str:
 recs AS (
   SELECT p.page_id, p.url, {S.slug('p.url', "'html'")} AS slug, {S.title('p.html')} AS title,
          {S.meta('p.html', 'description')} AS description, {S.meta('p.html', 'keywords')} AS keywords,
-         array_to_string({S.text_nodes(S.body('p.html'))}, chr(10)) AS text,
+         array_to_string({S.element_text_lines(S.body('p.html'))}, chr(10)) AS text,
          array_to_string(dd.texts, chr(10) || '--' || chr(10)) AS desc_divs,
          array_to_string(ar.texts, chr(10) || '--' || chr(10)) AS article_texts,
          array_to_string({S.attr_list('p.html', 'a', 'href')}, ' ') AS links_raw,
          array_to_string({S.attr_list('p.html', 'img', 'src')}, ' ') AS images,
          array_to_string(list_transform({S.attr_list('p.html', 'a', 'href')}, lambda h: {S.url_join('p.url', 'h')}), ' ') AS links_abs,
-         {S.text_nodes(S.body('p.html'))} AS text_list, ar.texts AS article_list
+         {S.element_text_lines(S.body('p.html'))} AS text_list, ar.texts AS article_list
   FROM allpages p JOIN dd USING (page_id) JOIN ar USING (page_id)
 ), latest AS (
   SELECT * FROM recs QUALIFY page_id = max(page_id) OVER (PARTITION BY slug)
@@ -929,7 +929,7 @@ def q_scan_page_json(spark, sf):
 
 @register("write_feed", f"""WITH {SQL_ALLPAGES}
   SELECT url, {S.title('html')} AS title, {S.meta('html', 'description')} AS description,
-         {S.meta('html', 'keywords')} AS keywords, array_to_string({S.text_nodes(S.body('html'))}, chr(10)) AS text,
+         {S.meta('html', 'keywords')} AS keywords, array_to_string({S.element_text_lines(S.body('html'))}, chr(10)) AS text,
          array_to_string({S.attr_list('html', 'a', 'href')}, ' ') AS links,
          array_to_string({S.attr_list('html', 'img', 'src')}, ' ') AS images FROM allpages""")
 def q_write_feed(spark, sf):

@@ -104,6 +104,27 @@ def text_nodes(e: str) -> str:
     return f"list_filter(list_transform({pieces}, lambda p: {ustrip(decode_entities('p'))}), lambda p: p <> '')"
 
 
+VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
+BODY_TOKEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[^>]*>|[^<]+"
+
+
+def element_text_lines(body_e: str) -> str:
+    """P4 (text inside an element below body) as a fold over body tokens."""
+    void = ", ".join(q(v) for v in VOID)
+    name = r"lower(regexp_extract(t, '^<([A-Za-z][A-Za-z0-9]*)', 1))"
+    is_code = r"regexp_matches(t, '(?is)^<(script|style)\b')"
+    delta = (r"CASE WHEN NOT starts_with(t, '<') THEN 0 WHEN starts_with(t, '</') THEN -1 "
+             r"WHEN starts_with(t, '<!') OR starts_with(t, '<?') THEN 0 "
+             f"WHEN {is_code} THEN 0 "
+             f"WHEN {name} IN ({void}) OR " + r"regexp_matches(t, '/\s*>\z') THEN 0 ELSE 1 END")
+    inner = r"regexp_extract(t, '(?is)^<(?:script|style)\b[^>]*>(.*)</(?:script|style)\s*>\z', 1)"
+    keep = f"CASE WHEN {is_code} THEN {inner} WHEN NOT starts_with(t, '<') AND acc.d > 0 THEN t END"
+    fold = (f"list_reduce(list_prepend('<!---->', regexp_extract_all({body_e}, {q(BODY_TOKEN)}, 0)), "
+            f"lambda acc, t: {{'d': acc.d + ({delta}), 'out': CASE WHEN ({keep}) IS NOT NULL "
+            f"THEN list_append(acc.out, {keep}) ELSE acc.out END}}, {{'d': 0, 'out': []::VARCHAR[]}}).out")
+    return f"list_filter(list_transform({fold}, lambda p: {ustrip(decode_entities('p'))}), lambda p: p <> '')"
+
+
 def body(e: str) -> str:
     return f"regexp_replace(regexp_extract({e}, '(?is)<body\\b[^>]*>(.*)', 1), '(?is)</body\\s*>.*', '')"
 

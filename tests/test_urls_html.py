@@ -51,3 +51,11 @@ def test_html_fields(spark):
     d = H.with_article_texts(H.with_desc_divs(df, "html", "dd"), "html", "ar").first()
     assert d.dd == ["outer\ninner\nafter", "inner"]
     assert d.ar == ["A\nB", "B"]
+
+
+def test_direct_body_text_only_in_body_text(spark):
+    html = "<html><body>lead <p>in p<br>after br</p>tail<img src=x> end<div>d</div><script>s</script></body></html>"
+    r = spark.createDataFrame([(html,)], "html string").select(
+        H.page_text_lines("html").alias("p4"), H.page_text_clean("html").alias("p5")).first()
+    assert r.p4 == ["in p", "after br", "d", "s"]  # body *::text
+    assert r.p5 == "lead\nin p\nafter br\ntail\nend\nd\ns"  # body ::text
