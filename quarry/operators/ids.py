@@ -41,8 +41,8 @@ def assign_ids(
     ``order_cols`` must be unique per row (ids are then deterministic across
     retries).  ``start`` may be an int or a scalar Column (e.g. a subquery).
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order_cols)
+    # AQE may size the range exchange (partition ids are read after it)
+    parts = df.repartitionByRange(num_partitions, *order_cols) if num_partitions else df.repartitionByRange(*order_cols)
     # Partition ids and positions are materialised once (reliable checkpoint in
     # the shared checkpoint folder): the per-partition counts and the rows then
     # read the same copy.  Re-evaluating the range exchange could sample other
