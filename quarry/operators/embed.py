@@ -10,7 +10,9 @@ A neural model plugs in through ``embedder``: a callable taking a pyarrow
 string array and returning an ``(n, dim)`` float array.  It is called once per
 Arrow batch inside ``mapInArrow`` (set
 ``spark.sql.execution.arrow.maxRecordsPerBatch`` to the model batch size, e.g.
-512) and may load its model lazily once per Python worker.
+512) and may load its model lazily once per Python worker.  The callable is
+pickled to the executors: define it in a module the executors can import (or
+ship with ``--py-files``), or as a closure, which is shipped by value.
 """
 
 from __future__ import annotations
