@@ -4,13 +4,15 @@ Reachability is a breadth-first search written as repeated joins.  Each round
 joins the newly reached pages (a delta, not the whole visited set) with the
 edge table and anti-joins the visited set.  The edge table is checkpointed
 once to the session's checkpoint folder (reliable storage, survives executor
-loss) and the visited set every few rounds, so lineage stays short.
+loss), hash-partitioned on the source url; the visited set is checkpointed
+every few rounds, so lineage stays short.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,11 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     """``(src_url, pos, href, dst_url)`` for every ``a[href]`` of every page (P8 + P9)."""
     raw = pages.select(F.col(url).alias("src_url"), H.page_links_raw(F.col(html)).alias("_hrefs"))
     ex = raw.select("src_url", F.posexplode("_hrefs").alias("pos", "href"))
-    return ex.withColumn("dst_url", U.url_join(F.col("src_url"), F.col("href")))
+    # url_join runs in a code-generated projection (its repeated URL parts are
+    # computed once there); the one-element explode above it keeps later
+    # filters on dst_url from being inlined below, where they would re-run it
+    resolved = ex.select("src_url", "pos", "href", U.url_join(F.col("src_url"), F.col("href")).alias("_d"))
+    return resolved.select("src_url", "pos", "href", F.explode(F.array("_d")).alias("dst_url"))
 
 
 def follow_filter(edges: DataFrame, subpaths: Sequence[str] = ("/",), start_urls: Sequence[str] = ()) -> DataFrame:
@@ -75,7 +81,9 @@ def crawl_reach(edges: DataFrame, pages: DataFrame, start_urls: DataFrame | None
             .join(visited.select("url"), "url", "left_anti")
             .select("url", F.lit(d).alias("depth"))
         )
-        nxt = nxt.checkpoint()  # one small reliable write per round; later rounds read it back
+        # the frontier is read twice (emptiness test, next round): keep it; a
+        # lost block is recomputed from the last reliable checkpoint
+        nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
         if nxt.isEmpty():
             break
         visited = visited.unionByName(nxt)
