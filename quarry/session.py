@@ -7,7 +7,6 @@ created only when the session has none (local tests).
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -60,10 +59,8 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the checkpoint root (never reused)."""
     root = checkpoint_root(spark)
-    path = f"{root}/quarry-scratch/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-    return path
+    # no mkdir here: the root may be a URI (file:, hdfs:, s3a:); writers create it
+    return f"{root}/quarry-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def spread(df: DataFrame) -> DataFrame:
