@@ -14,13 +14,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import html as H
 from quarry.functions import text as T
+from quarry.functions import urls as U
 from quarry.functions import vectors as V
-from quarry.operators import chunking, dedup, embed, ids, search
+from quarry.operators import audit, chunking, dedup, embed, ids, search
+from quarry.operators import cache as CA
+from quarry.operators import dialog as D
+from quarry.operators import links as L
+from quarry.operators import rerank as RR
 from quarry.plans import fixtures as FX
 from quarry.plans import jobs
+from quarry.plans import pages as PG
 from quarry.plans import sqltext as S
-from quarry.session import table
+from quarry.session import scratch_path, table
+from quarry.sources import readers as RD
+from quarry.sources import writers as WR
+from quarry.streaming import jobs as SJ
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,9 +77,7 @@ def _store(spark: SparkSession, sf: str, with_embedding: bool = True) -> DataFra
 # ---------------------------------------------------------------- sources
 @register("scan_raw_pages", "SELECT page_id, url, html FROM pages")
 def q_scan_raw_pages(spark, sf):
-    from quarry.sources import readers
-
-    return readers.read_pages(spark, f"{sf}/pages.parquet")
+    return RD.read_pages(spark, f"{sf}/pages.parquet")
 
 
 @register(
@@ -79,9 +87,7 @@ def q_scan_raw_pages(spark, sf):
        FROM embeddings""",
 )
 def q_scan_vectors(spark, sf):
-    from quarry.sources import readers
-
-    v = readers.read_vectors(spark, f"{sf}/embeddings.parquet", id_col="vec_id")
+    v = RD.read_vectors(spark, f"{sf}/embeddings.parquet", id_col="vec_id")
     return v.select("id", F.size("embedding").cast("long").alias("dims"),
                     _r6(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("sq_norm"))
 
@@ -307,10 +313,6 @@ def q_search_topk(spark, sf):
 
 
 # ================================================================ pages
-from quarry.functions import html as H  # noqa: E402
-from quarry.functions import urls as U  # noqa: E402
-from quarry.operators import links as L  # noqa: E402
-from quarry.plans import pages as PG  # noqa: E402
 
 SQL_ALLPAGES = f"allpages AS (SELECT page_id, url, html FROM pages UNION ALL SELECT * FROM {FX.PAGES_EXTRA.sql()})"
 
@@ -577,7 +579,6 @@ def q_last_write_wins(spark, sf):
 
 
 # ================================================================ dialog
-from quarry.operators import dialog as D  # noqa: E402
 
 SQL_CONV = f"conv AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM {FX.CONV_EXTRA.sql()})"
 
@@ -750,8 +751,6 @@ def q_new_chunks_only(spark, sf):
 
 @register("union_increment", f"WITH {SQL_INC} SELECT id, chunk_hash FROM final_store")
 def q_union_increment(spark, sf):
-    from quarry.operators import audit
-
     _, _, run1, run2 = _inc_runs(spark, sf)
     return audit.union_increment(run1, run2).select("id", "chunk_hash")
 
@@ -761,16 +760,12 @@ def q_union_increment(spark, sf):
          (SELECT CAST(count(*) AS BIGINT) FROM docs2 WHERE {S.clean("coalesce(text, '')")} = '') AS skipped_docs,
          (SELECT CAST(count(*) AS BIGINT) FROM r2) AS vectors_added""")
 def q_ingest_report(spark, sf):
-    from quarry.operators import audit
-
     _, second, run1, run2 = _inc_runs(spark, sf)
     return audit.ingest_report(run1, run2, second)
 
 
 @register("distinct_sources", f"WITH {SQL_WORD_CHUNKS.strip()} SELECT DISTINCT 'doc-' || doc_id || '.json' AS file FROM store")
 def q_distinct_sources(spark, sf):
-    from quarry.operators import audit
-
     return audit.distinct_sources(_store(spark, sf, with_embedding=False))
 
 
@@ -778,8 +773,6 @@ def q_distinct_sources(spark, sf):
   SELECT 'doc-' || doc_id || '.json' AS file FROM documents
   EXCEPT SELECT 'doc-' || doc_id || '.json' FROM store""")
 def q_xref_missing_sources(spark, sf):
-    from quarry.operators import audit
-
     recs = jobs.documents_as_records(table(spark, sf, "documents"))
     return audit.xref_missing_sources(recs.select("file"), _store(spark, sf, with_embedding=False))
 
@@ -792,17 +785,12 @@ def q_xref_missing_sources(spark, sf):
          (SELECT count(*) FROM m WHERE id NOT IN (SELECT id FROM v)) = 0
            AND (SELECT count(*) FROM v WHERE id NOT IN (SELECT id FROM m)) = 0 AS consistent""")
 def q_audit_id_consistency(spark, sf):
-    from quarry.functions import vectors as VV
-    from quarry.operators import audit
-
     st = _store(spark, sf)
-    vecs = st.filter(VV.norm("embedding") > 0).select("id")
+    vecs = st.filter(V.norm("embedding") > 0).select("id")
     return audit.audit_id_consistency(st.select("id"), vecs)
 
 
 # ================================================================ cache, rerank, RAG
-from quarry.operators import cache as CA  # noqa: E402
-from quarry.operators import rerank as RR  # noqa: E402
 
 ADMISSION_CAP = 500  # below the distinct-key count of the log, so the cap is exercised
 
@@ -900,9 +888,6 @@ def q_rag_prompts(spark, sf):
 
 
 # ================================================================ sources and sinks (round trips)
-from quarry.session import scratch_path  # noqa: E402
-from quarry.sources import readers as RD  # noqa: E402
-from quarry.sources import writers as WR  # noqa: E402
 
 
 @register("write_page_json", f"""WITH {_records_sql()}
@@ -1005,7 +990,6 @@ def q_scan_embedding_cache(spark, sf):
 
 
 # ================================================================ streaming
-from quarry.streaming import jobs as SJ  # noqa: E402
 
 
 @register("stream_ingest", f"WITH {SQL_INC} SELECT id, chunk_hash FROM final_store")
