@@ -92,3 +92,13 @@ def test_stream_ingest_page_records(spark):
                      "root.json": "Welcome to the campus library. Apply now."}
     assert [r.id for r in rows] == [0, 1, 2] and [r.file for r in rows] == ["doc.json", "news.json", "root.json"]
     assert rows[2].tags == ["admissions", "facilities"] and len(rows[0].embedding) == 384
+
+
+def test_cache_admission_with_loaded_cache(spark):
+    log = spark.createDataFrame([(1, "a"), (2, "z"), (3, "b"), (4, "z"), (5, "c"), (6, "b")], "arrival long, key string")
+    initial = spark.createDataFrame([("z",)], "query string")
+    out = {r.arrival: (r.admitted, r.hit)
+           for r in cache.cache_admission(log, "key", "arrival", cap=2, initial=initial).collect()}
+    # z is cached from the start (room for one new key: a)
+    assert out == {1: (True, False), 2: (True, True), 3: (False, False), 4: (True, True), 5: (False, False),
+                   6: (False, False)}
