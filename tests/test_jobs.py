@@ -102,3 +102,17 @@ def test_cache_admission_with_loaded_cache(spark):
     # z is cached from the start (room for one new key: a)
     assert out == {1: (True, False), 2: (True, True), 3: (False, False), 4: (True, True), 5: (False, False),
                    6: (False, False)}
+
+
+def test_stream_query_cache_matches_batch(spark):
+    rows = [(i, f"k{(i * 7) % 11}") for i in range(1, 61)]
+    log = spark.createDataFrame(rows, "event_id long, key string")
+    src, cache_path, hits = scratch_path(spark, "t-req"), scratch_path(spark, "t-cache"), scratch_path(spark, "t-hits")
+    for lo in (1, 21, 41):  # three deliveries in arrival order
+        log.filter((F.col("event_id") >= lo) & (F.col("event_id") < lo + 20)).coalesce(1).write.mode("append").parquet(src)
+    SJ.stream_query_cache(spark, src, cache_path, cap=5, max_files_per_trigger=1, hits_log=hits)
+    batch = {r.event_id: r.hit for r in cache.cache_admission(log, "key", "event_id", cap=5).collect()}
+    streamed = {r.event_id: r.hit for r in spark.read.parquet(hits).collect()}
+    assert streamed == batch
+    admitted = {r.key for r in cache.cache_admission(log, "key", "event_id", cap=5).filter("admitted").collect()}
+    assert {r.query for r in spark.read.parquet(cache_path).collect()} == admitted
