@@ -32,6 +32,13 @@ DEFAULT_DIM = 384
 WORD_PATTERN = r"[\p{L}\p{N}]+"
 
 
+def model_id(embedder: Callable | None = None, dim: int = DEFAULT_DIM) -> str:
+    """Identifier of the model that fills a store; queries must use the same."""
+    if embedder is None:
+        return f"hashing-md5-{dim}"
+    return str(getattr(embedder, "model_id", getattr(embedder, "__name__", "plugin")))
+
+
 def hash_words(text: Column) -> Column:
     """Lowered letter/digit runs."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)

@@ -77,7 +77,8 @@ def finish_chunks(chunks: DataFrame, start: int | Column = 0, with_embedding: bo
     tagged = with_ids.withColumn("tags", T.infer_tags(F.col("chunk_text")))
     if not with_embedding:
         return tagged
-    return embed.embed_text(tagged, "chunk_text", "embedding", dim, embedder)
+    return embed.embed_text(tagged, "chunk_text", "embedding", dim, embedder).withColumn(
+        "model_id", F.lit(embed.model_id(embedder, dim)))
 
 
 def ingest_rebuild(records: DataFrame, max_words: int = 150, overlap: int = 10,
@@ -107,29 +108,30 @@ def query_vectors(queries: DataFrame, qid: str, text: str, dim: int = embed.DEFA
 
 
 def search_topk(queries: DataFrame, store: DataFrame, k: int = 10, n: int = 4,
-                qid: str = "qid", text: str = "qtext", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+                qid: str = "qid", text: str = "qtext", carry: Sequence[str] = ("doc_id",), embedder=None) -> DataFrame:
     """C4: J3/E1 -> T1 -> J2 -> T2 for a table of queries."""
-    qv = query_vectors(queries, qid, text)
-    hits = search.topk_inner_product(qv, store, k=k, carry=list(carry))
+    qv = query_vectors(queries, qid, text, embedder=embedder)
+    hits = search.topk_inner_product(qv, store, k=k, carry=list(carry), model_id=embed.model_id(embedder))
     return search.retrieve_best(hits, n)
 
 
 def search_mmr(queries: DataFrame, store: DataFrame, k: int = 10, rerank_k: int = 4, lambda_param: float = 0.5,
-               qid: str = "qid", text: str = "qtext", qvecs: DataFrame | None = None) -> DataFrame:
+               qid: str = "qid", text: str = "qtext", qvecs: DataFrame | None = None, embedder=None) -> DataFrame:
     """E1 -> T1 (k candidates, carrying their vectors and texts) -> query
     cosine -> T3 MMR picks ``rerank_k``.  Returns ``qid, pick, rank, id, chunk_text``."""
     from quarry.operators import rerank
 
-    qv = qvecs if qvecs is not None else query_vectors(queries, qid, text)
+    qv = qvecs if qvecs is not None else query_vectors(queries, qid, text, embedder=embedder)
     # the query vectors are read three times (dimension probe, broadcast block,
     # query cosine); keep them instead of re-running the embedder
     qv = qv.persist(StorageLevel.MEMORY_AND_DISK)
-    hits = search.topk_inner_product(qv, store, k=k, carry=["embedding", "chunk_text"])
+    hits = search.topk_inner_product(qv, store, k=k, carry=["embedding", "chunk_text"],
+                                     model_id=embed.model_id(embedder))
     return rerank.mmr_select(hits, qv, rerank_k, lambda_param, carry=["chunk_text"])
 
 
 def rag_prompts(requests: DataFrame, store: DataFrame, key: Sequence[str] = ("request_id",), prompt: str = "prompt",
-                k: int = 10, rerank_k: int = 4, lambda_param: float = 0.5) -> DataFrame:
+                k: int = 10, rerank_k: int = 4, lambda_param: float = 0.5, embedder=None) -> DataFrame:
     """F11 -> F9 (short-circuit) -> C5 -> F10 -> A6 -> F12 for a table of
     requests.  Returns ``key..., kind in {error, intent, prompt}, text``.
 
@@ -147,8 +149,8 @@ def rag_prompts(requests: DataFrame, store: DataFrame, key: Sequence[str] = ("re
     qid_expr = F.xxhash64(*key) if len(key) != 2 else (F.col(key[0]) * 100000 + F.col(key[1]))
     ask = v.filter((F.col("status") == "ok") & F.col("_intent").isNull()).withColumn(
         "qid", qid_expr).select(*key, "qid", "prompt_clean")
-    qv = query_vectors(ask, "qid", "prompt_clean")
-    picks = search_mmr(None, store, k, rerank_k, lambda_param, qvecs=qv)
+    qv = query_vectors(ask, "qid", "prompt_clean", embedder=embedder)
+    picks = search_mmr(None, store, k, rerank_k, lambda_param, qvecs=qv, embedder=embedder)
     ctx = dialog.context_concat(
         picks.select("qid", F.col("pick").alias("rank"), T.clean_qa_lines("chunk_text").alias("chunk_text")))
     prompts = ask.join(ctx, "qid", "left").select(

@@ -68,3 +68,25 @@ def test_mmr_numpy_matches_jvm_fold(spark):
         b = rerank.mmr_rerank(rerank.with_query_similarity(hits, qdf), k=4, lambda_param=lam).collect()
         key = lambda r: (r.qid, r.pick)
         assert [(r.qid, r.pick, r.id) for r in sorted(a, key=key)] == [(r.qid, r.pick, r.id) for r in sorted(b, key=key)]
+
+
+def test_store_refuses_other_model(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+    from py4j.protocol import Py4JJavaError
+
+    from quarry.plans import jobs
+
+    docs = spark.createDataFrame([(1, "alpha beta gamma. delta."), (2, "beta gamma")], "doc_id long, text string")
+    store = jobs.ingest_rebuild(jobs.documents_as_records(docs))
+    assert {r.model_id for r in store.collect()} == {"hashing-md5-384"}
+    q = spark.createDataFrame([(1, "beta")], "qid long, qtext string")
+    assert jobs.search_topk(q, store, k=2, n=2).count() == 2
+
+    def other(texts):
+        return np.ones((len(texts), 384))
+
+    other.model_id = "another-model"
+    with pytest.raises((PySparkException, Py4JJavaError)) as err:
+        jobs.search_topk(q, store, k=2, n=2, embedder=other).collect()
+    assert "another model" in str(err.value)
