@@ -8,6 +8,7 @@ are spelled out here and used through ``regexp_replace`` / ``split``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,20 +18,11 @@ WS = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205
 # Line boundaries of Python's str.splitlines() (Java regex syntax).
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
-# HTML entities decoded in page text; "&amp;" is applied last so
-# that "&amp;lt;" becomes "&lt;" and not "<".
-ENTITIES = [
-    ("&quot;", '"'),
-    ("&#34;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&nbsp;", "\u00a0"),
-    ("&copy;", "\u00a9"),
-    ("&middot;", "\u00b7"),
-    ("&amp;", "&"),
-]
+# HTML character references: the HTML 4 named entities of Python's standard
+# library table (plus &apos;), and numeric references &#NNN; / &#xHH;.
+ENTITY_CHARS = {**{name: chr(cp) for name, cp in name2codepoint.items()}, "apos": "'"}
+MAX_CODE_POINT = 0x10FFFF
+
 
 # Tag rules (tag, keywords), in declared order.
 DEFAULT_TAG_RULES = [
@@ -94,10 +86,30 @@ def split_lines(c) -> Column:
 
 
 def decode_entities(c) -> Column:
-    out = _col(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Decode character references in one pass over the ``&``-separated
+    pieces: a piece starting with ``name;``, ``#NNN;`` or ``#xHH;`` is a
+    reference (unknown names and invalid code points stay as written), so a
+    decoded ``&amp;`` is never decoded again."""
+    t = _col(c)
+    table = F.create_map(*[x for k, v in sorted(ENTITY_CHARS.items()) for x in (F.lit(k), F.lit(v))])
+    pieces = F.split(t, "&")
+
+    def piece(p):
+        name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+        dec = F.regexp_extract(p, r"^#([0-9]{1,7});", 1)
+        hx = F.regexp_extract(p, r"^#[xX]([0-9A-Fa-f]{1,6});", 1)
+        named = F.when(name != "", F.try_element_at(table, name))
+        cp = F.when(dec != "", dec.cast("int")).when(hx != "", F.conv(hx, 16, 10).cast("int"))
+        valid = cp.between(1, MAX_CODE_POINT) & ~cp.between(0xD800, 0xDFFF)
+        numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32"))
+        used = F.when(named.isNotNull(), F.length(name) + 2).when(
+            numeric.isNotNull(), F.when(dec != "", F.length(dec) + 3).otherwise(F.length(hx) + 4))
+        return F.when(used.isNotNull(), F.concat(F.coalesce(named, numeric), F.substring(p, used, 1 << 30))).otherwise(
+            F.concat(F.lit("&"), p))
+
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), piece)
+    decoded = F.array_join(F.concat(F.slice(pieces, 1, 1), rest), "")
+    return F.when(t.contains("&"), decoded).otherwise(t)
 
 
 def clean_text(c) -> Column:

@@ -52,7 +52,8 @@ TAG_TEXTS = Fixture(
 _P1 = (
     "<html><head><title>Fixture &amp; One</title>"
     '<meta content="Desc first" name="description"><meta name=\'keywords\' content=\'k1, k2\'></head>'
-    '<body><p>Hello &nbsp; world</p><script>var t="</p>";</script><!-- a note -->'
+    '<body><p>Hello &nbsp; world</p><p>Caf&#233; &rsquo;s &eacute;t&eacute; &#x27;q&#x27; &amp;lt; &bogus;</p>'
+    '<script>var t="</p>";</script><!-- a note -->'
     '<div class="item desc"><p>Outer</p><div class="desc-inner">Inner <b>bold</b></div><p>tail</p></div>'
     '<div class="desc"></div><div class="plain">no</div>'
     "<article><p>A1</p><article><p>A2</p></article><p>A3</p></article>\n"

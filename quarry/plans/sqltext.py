@@ -37,12 +37,22 @@ def split_lines(e: str) -> str:
 
 
 def decode_entities(e: str) -> str:
-    from quarry.functions.text import ENTITIES
-
-    out = e
-    for ent, ch in ENTITIES:
-        out = f"replace({out}, {q(ent)}, {q(ch)})"
-    return out
+    from quarry.functions.text import ENTITY_CHARS, MAX_CODE_POINT
+
+    table = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in sorted(ENTITY_CHARS.items())) + "}"
+    name = "regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)"
+    dec = "regexp_extract(p, '^#([0-9]{1,7});', 1)"
+    hx = "regexp_extract(p, '^#[xX]([0-9A-Fa-f]{1,6});', 1)"
+    named = f"(CASE WHEN {name} <> '' THEN {table}[{name}] END)"
+    cp = f"(CASE WHEN {dec} <> '' THEN CAST({dec} AS INTEGER) WHEN {hx} <> '' THEN CAST(('0x' || {hx}) AS INTEGER) END)"
+    valid = f"({cp} BETWEEN 1 AND {MAX_CODE_POINT} AND NOT {cp} BETWEEN 55296 AND 57343)"
+    numeric = f"(CASE WHEN {valid} THEN chr({cp}) END)"
+    used = (f"(CASE WHEN {named} IS NOT NULL THEN length({name}) + 2 WHEN {numeric} IS NOT NULL THEN "
+            f"(CASE WHEN {dec} <> '' THEN length({dec}) + 3 ELSE length({hx}) + 4 END) END)")
+    piece = f"(CASE WHEN {used} IS NOT NULL THEN coalesce({named}, {numeric}) || substr(p, {used}) ELSE '&' || p END)"
+    parts = f"string_split({e}, '&')"
+    decoded = (f"array_to_string(list_concat({parts}[1:1], list_transform({parts}[2:len({parts})], lambda p: {piece})), '')")
+    return f"(CASE WHEN contains({e}, '&') THEN {decoded} ELSE {e} END)"
 
 
 def tags(e: str, rules=None) -> str:

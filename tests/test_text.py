@@ -63,3 +63,15 @@ def test_truncate_at_stop(spark):
     assert got == ["a", "x", "no stop", ""]
     capped = spark.createDataFrame([("a b  c d",)], "t string").select(T.truncate_at_stop("t", max_tokens=2)).first()[0]
     assert capped == "a b"
+
+
+def test_decode_entities_matches_html_unescape(spark):
+    import html
+
+    samples = ["a &amp;lt; b", "x&rsquo;s &eacute;t&eacute; &#39;q&#39; &#x27;h&#X41; &#128512;", "&&& plain",
+               "&copy;&middot;&nbsp;end", "t&eacute;&#233;"]
+    df = spark.createDataFrame([(s,) for s in samples], "t string")
+    got = [r[0] for r in df.select(T.decode_entities("t")).collect()]
+    assert got == [html.unescape(s) for s in samples]
+    odd = spark.createDataFrame([("&bogus; &#0; &amp",)], "t string").select(T.decode_entities("t")).first()[0]
+    assert odd == "&bogus; &#0; &amp"  # malformed references stay as written
