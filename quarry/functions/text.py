@@ -95,16 +95,17 @@ def decode_entities(c) -> Column:
     pieces = F.split(t, "&")
 
     def piece(p):
-        name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1)
-        dec = F.regexp_extract(p, r"^#([0-9]{1,7});", 1)
-        hx = F.regexp_extract(p, r"^#[xX]([0-9A-Fa-f]{1,6});", 1)
-        named = F.when(name != "", F.try_element_at(table, name))
-        cp = F.when(dec != "", dec.cast("int")).when(hx != "", F.conv(hx, 16, 10).cast("int"))
+        # one regex per piece: the reference body (name, #NNN or #xHH) before ';'
+        ref = F.regexp_extract(p, r"^(#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        is_hex = ref.startswith("#x") | ref.startswith("#X")
+        is_dec = ref.startswith("#") & ~is_hex
+        named = F.when((ref != "") & ~ref.startswith("#"), F.try_element_at(table, ref))
+        cp = F.when(is_hex, F.conv(F.substring(ref, 3, 8), 16, 10).cast("int")).when(
+            is_dec, F.substring(ref, 2, 8).cast("int"))
         valid = cp.between(1, MAX_CODE_POINT) & ~cp.between(0xD800, 0xDFFF)
         numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32"))
-        used = F.when(named.isNotNull(), F.length(name) + 2).when(
-            numeric.isNotNull(), F.when(dec != "", F.length(dec) + 3).otherwise(F.length(hx) + 4))
-        return F.when(used.isNotNull(), F.concat(F.coalesce(named, numeric), F.substring(p, used, 1 << 30))).otherwise(
+        rep = F.coalesce(named, numeric)
+        return F.when(rep.isNotNull(), F.concat(rep, F.substring(p, F.length(ref) + 2, 1 << 30))).otherwise(
             F.concat(F.lit("&"), p))
 
     rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), piece)
