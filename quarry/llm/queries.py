@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, jaccard_join, langid, line_dedup, mtree, packing, sharding, suffix_dedup
+from quarry.llm import decontaminate, hpylm, jaccard_join, langid, line_dedup, mtree, packing, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -117,3 +117,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start", "n_words", "hamming", "similarity")
+
+
+@query("op7_hpylm_score")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(read(spark, sf_dir, "documents"))
