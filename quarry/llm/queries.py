@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, hpylm, jaccard_join, langid, line_dedup, mtree, packing, sharding, suffix_dedup
+from quarry.llm import decontaminate, hpylm, jaccard_join, langid, license_scan, line_dedup, mtree, packing, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -122,3 +122,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_hpylm_score")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.score(read(spark, sf_dir, "documents"))
+
+
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
