@@ -17,7 +17,7 @@ Queues are laid out by partition, so no document moves: only token counts per
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -38,38 +38,79 @@ MEMO_WORDS, MEMO_BYTES = 400_000, 64
 class WordIds:
     """Token ids of texts by words between ASCII white space, which the tokenizer drops; each new word is encoded once.
 
-    Values are little-endian 16- or 32-bit ids.
+    The tokenizer lowers letters and parts punctuation from letters and digits,
+    so words are remembered in lower case and without one full stop or comma at
+    their end.  Values are little-endian 16- or 32-bit ids.
     """
 
+    #: a word of its own, between words that are encoded together
+    BETWEEN = b"\x01"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tok.get_vocab_size() <= 0x10000 else "<u4"
         self.memo: dict[bytes, bytes] = {}
-
-    def encode(self, words: list[bytes]) -> Iterator[bytes]:
+        self.between = self.ids(self.BETWEEN.decode())
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        if suffix:
+            self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
+        self.stops = {c: self.ids(chr(c)).tobytes() for c in b".,"}
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+
+    def cut(self, words: list[str], glue: str, ends: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Iterator[bytes]:
+        """Ids of words that are encoded together; ``ends`` gives the stops and starts of their ids."""
+        width = np.dtype(self.kind).itemsize
         for lo in range(0, len(words), 512):
-            part = [w.decode("utf-8") for w in words[lo : lo + 512]]
-            enc = self.tok.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(enc.ids, dtype=self.kind)
-            starts = np.cumsum([0, *[len(w) + 1 for w in part]])
-            cut = np.searchsorted(np.array([a for a, _ in enc.offsets], dtype=np.int64), starts)
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                yield ids[a:b].tobytes()
+            part = words[lo : lo + 512]
+            ids = self.ids(glue.join(part))
+            stops, starts = ends(ids)
+            if len(starts) != len(part):
+                yield from (self.ids(w).tobytes() for w in part)
+                continue
+            raw = ids.tobytes()
+            yield from (raw[a:b] for a, b in zip((starts * width).tolist(), (stops * width).tolist(), strict=True))
+
+    def by_suffix(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        stops = np.flatnonzero(self.last[ids]) + 1
+        return stops, np.concatenate(([0], stops[:-1]))
+
+    def by_separator(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(ids == self.between[0])
+        return np.append(at, len(ids)), np.concatenate(([0], at + 1))
+
+    def learn(self, words: set[bytes]) -> None:
+        memo, stops = self.memo, self.stops
+        ends = {w: w[:-1] for w in words if w[-1] in stops and w[-2:-1].isalnum()}
+        cores = {w for w in {*(words - ends.keys()), *ends.values()} if w not in memo}
+        texts = {w: w.decode("utf-8") for w in cores}
+        # letters alone are one run, whose last id has the end-of-word suffix
+        letters = [w for w, x in texts.items() if x.isalpha()]
+        others = [w for w, x in texts.items() if not x.isalpha() and self.BETWEEN not in w]
+        memo.update(zip(letters, self.cut([texts[w] for w in letters], " ", self.by_suffix), strict=True))
+        memo.update(zip(others, self.cut([texts[w] for w in others], f" {self.BETWEEN.decode()} ", self.by_separator), strict=True))
+        memo.update((w, self.ids(x).tobytes()) for w, x in texts.items() if self.BETWEEN in w)
+        for w, core in ends.items():
+            memo[w] = memo[core] + stops[w[-1]]
 
     def texts(self, raws: list[bytes]) -> list[bytes]:
         """Ids of every text."""
-        split = [raw.split() for raw in raws]
+        split = [raw.lower().split() for raw in raws]
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        new = list({w for ws in split for w in ws if w not in self.memo})
-        long = {w for w in new if len(w) > MEMO_BYTES}
-        memo = self.memo
-        memo.update(zip(new, self.encode(new), strict=True))
-        out = [b"".join([memo[w] for w in ws]) for ws in split]
-        for w in long:
-            del memo[w]
+        new: set[bytes] = set()
+        for words in split:
+            new.update(words)
+        new = {w for w in new if w not in self.memo}
+        self.learn(new)
+        out = [b"".join(map(self.memo.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > MEMO_BYTES:
+                del self.memo[w]
         return out
 
 
