@@ -125,7 +125,7 @@ def predict(docs: DataFrame, protos: dict[str, np.ndarray], text_col: str = "tex
     get ``und`` with score 0.  Ties go to the first label by name.
     """
     base, at = positional(docs)
-    labels, matrix = list(protos), np.array(list(protos.values())).reshape(len(protos), -1)
+    labels, matrix = list(protos), np.array(list(protos.values()))
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields], "lang_pred string, score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
