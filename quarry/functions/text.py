@@ -49,16 +49,14 @@ DEFAULT_STOPS = ["\nYou:", "\nThe user asked:", "</s>", "###"]
 
 # Our own prompt template; {context} and {query} are the slots.
 DEFAULT_PROMPT_TEMPLATE = (
-    "You are a helpful assistant at an information desk. Answer the user's "
-    "question using only the context below, in plain and friendly sentences. "
-    "If the answer is not in the context, say that you can only answer questions "
-    "about the indexed site. Always write links as full URLs.\n"
+    "Reply from the passages below and from nothing else. Keep to short, everyday "
+    "sentences, spell out every link in full, and say so when the passages hold no reply.\n"
     "\n"
-    "Context:\n"
+    "Passages:\n"
     "{context}\n"
     "\n"
-    'The user asked: "{query}"\n'
-    "Respond with a helpful, plain-sentence explanation below:\n"
+    "Request: {query}\n"
+    "Reply:\n"
 )
 
 

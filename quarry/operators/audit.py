@@ -38,18 +38,24 @@ def union_increment(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
-def ingest_report(existing: DataFrame, new: DataFrame, records: DataFrame, raw: str = "raw_text") -> DataFrame:
-    """A4: existing chunks, new chunks, skipped (empty) records, vectors added
-    -- one aggregate over a tagged union, no cross join."""
+def ingest_report(existing: DataFrame, new: DataFrame, records: DataFrame, raw: str = "raw_text",
+                  unparsable: DataFrame | None = None, vec: str = "embedding") -> DataFrame:
+    """A4: existing chunks, new chunks, skipped records (empty ones and rows of
+    ``unparsable``), vectors added (new rows that have one) -- one aggregate
+    over a tagged union, no cross join."""
     c = T.clean_text(F.coalesce(F.col(raw), F.lit("")))
     tagged = (
         existing.select(F.lit("e").alias("t"))
         .unionByName(new.select(F.lit("n").alias("t")))
         .unionByName(records.filter(c == "").select(F.lit("s").alias("t")))
     )
+    if vec in new.columns:
+        tagged = tagged.unionByName(new.filter(F.col(vec).isNotNull()).select(F.lit("v").alias("t")))
+    if unparsable is not None:
+        tagged = tagged.unionByName(unparsable.select(F.lit("s").alias("t")))
     return tagged.agg(
         F.count(F.when(F.col("t") == "e", 1)).alias("existing"),
         F.count(F.when(F.col("t") == "n", 1)).alias("new_chunks"),
         F.count(F.when(F.col("t") == "s", 1)).alias("skipped_docs"),
-        F.count(F.when(F.col("t") == "n", 1)).alias("vectors_added"),
+        F.count(F.when(F.col("t") == "v", 1)).alias("vectors_added"),
     )

@@ -1,27 +1,21 @@
 """Exact dedup, anti join against the store, last-write-wins.
 
-Dedup is an aggregate, not a window: the partial (map-side) aggregate turns a
-boilerplate chunk that repeats on every page into one row per map task, so a
-hot hash never lands whole in one task.  Survivors are found with a semi join
-on the order key, which is unique per row, so that join has no hot key either.
+Dedup is one aggregate that carries the surviving row: the partial (map-side)
+aggregate turns a boilerplate chunk that repeats on every page into one row per
+map task, so a hot hash never lands whole in one task, and no join back is
+needed.  Every hash survives exactly once, whatever the ids are: null, repeated
+or of any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Packed order key: major << MINOR_BITS | minor.  Holds majors below 2^39 and
-# minors (chunk positions) below 2^24.
-MINOR_BITS = 24
-
-
-def order_key(major: str | Column, minor: str | Column) -> Column:
-    major = F.col(major) if isinstance(major, str) else major
-    minor = F.col(minor) if isinstance(minor, str) else minor
-    return F.shiftleft(major.cast("long"), MINOR_BITS) + minor.cast("long")
+from quarry.operators.ids import assign_ids
+from quarry.session import checkpoint_root
 
 
 def with_chunk_hash(df: DataFrame, text: str = "chunk_text") -> DataFrame:
@@ -34,22 +28,14 @@ def dedup_exact(
     text: str = "chunk_text",
     order_cols: Sequence[str] = ("doc_id", "chunk_pos"),
 ) -> DataFrame:
-    """A1: keep the first row (by ``order_cols``) for each md5 of ``text``.
+    """A1: keep the first row (by ``order_cols``, nulls first) for each md5 of ``text``.
 
-    Adds ``chunk_hash``.  ``order_cols`` is one long column or a (major, minor)
-    pair packed into one long so the aggregate stays a HashAggregate.
+    Adds ``chunk_hash``.  Rows that agree in ``order_cols`` and text are one.
     """
     h = df if "chunk_hash" in df.columns else with_chunk_hash(df, text)
-    if len(order_cols) == 1:
-        h = h.withColumn("_ok", F.col(order_cols[0]).cast("long"))
-    else:
-        h = h.withColumn("_ok", order_key(order_cols[0], order_cols[1]))
-    return h.join(first_seen_keys(h), "_ok", "left_semi").drop("_ok")
-
-
-def first_seen_keys(h: DataFrame) -> DataFrame:
-    """Order keys of the first row of every hash (light: one long per hash)."""
-    return h.groupBy("chunk_hash").agg(F.min("_ok").alias("_ok")).select("_ok")
+    rest = [c for c in h.columns if c != "chunk_hash"]
+    first = h.groupBy("chunk_hash").agg(F.min_by(F.struct(*rest), F.struct(*order_cols)).alias("_r"))
+    return first.select(*[F.col("chunk_hash") if c == "chunk_hash" else F.col("_r").getField(c).alias(c) for c in h.columns])
 
 
 def dedup_with_ids(
@@ -58,32 +44,35 @@ def dedup_with_ids(
     order_cols: Sequence[str] = ("doc_id", "chunk_pos"),
     start=0,
     id_col: str = "id",
+    existing: DataFrame | None = None,
 ) -> DataFrame:
-    """A1 + W1 in one heavy exchange.
+    """A1, J1 (hashes of ``existing`` go), W1.
 
-    Ids depend only on the order of the surviving order keys, so they are
-    numbered on that light table (8 bytes a row) and attached to the chunk
-    rows by one inner join on the unique order key.
+    The anti join sees every hash once, so a hot one is no hot key.  Survivors
+    are checkpointed; ids depend only on their order and hash, so that light
+    table is numbered and joined back on the unique hash.
     """
-    from quarry.operators.ids import assign_ids
-
-    h = df if "chunk_hash" in df.columns else with_chunk_hash(df, text)
-    h = h.withColumn("_ok", order_key(order_cols[0], order_cols[1]) if len(order_cols) == 2
-                     else F.col(order_cols[0]).cast("long"))
-    numbered = assign_ids(first_seen_keys(h), ["_ok"], start, id_col)
-    return h.join(numbered, "_ok", "inner").drop("_ok")
+    checkpoint_root(df.sparkSession)
+    kept = dedup_exact(df, text, order_cols)
+    if existing is not None:
+        kept = new_chunks_only(kept, existing)
+    kept = kept.checkpoint()
+    numbered = assign_ids(kept.select(*order_cols, "chunk_hash"), [*order_cols, "chunk_hash"], start, id_col)
+    return kept.join(numbered.select("chunk_hash", id_col), "chunk_hash")
 
 
 def new_chunks_only(new: DataFrame, existing: DataFrame, key: str = "chunk_hash") -> DataFrame:
     """Drop rows whose hash is already stored (left anti join)."""
-    return new.join(existing.select(key).distinct(), key, "left_anti")
+    return new.join(existing.select(key), key, "left_anti")
 
 
 def last_write_wins(df: DataFrame, key_cols: Sequence[str], arrival: str) -> DataFrame:
-    """A5: one row per key; the latest ``arrival`` survives.
+    """A5: one row per key; the latest ``arrival`` survives, of ties the largest row.
 
-    Same two-step shape as dedup: aggregate the max arrival per key (partial
-    aggregation), then a semi join on ``key + arrival``.
+    The surviving row is carried through the aggregate, so ties leave one row.
+    Columns that can't be compared (maps) can't break a tie.
     """
-    last = df.groupBy(*key_cols).agg(F.max(arrival).alias(arrival))
-    return df.join(last, [*key_cols, arrival], "left_semi")
+    rest = [f.name for f in df.schema.fields if f.name not in key_cols]
+    ordered = [f.name for f in df.schema.fields if f.name in rest and "map<" not in f.dataType.simpleString()]
+    last = df.groupBy(*key_cols).agg(F.max_by(F.struct(*rest), F.struct(arrival, *[c for c in ordered if c != arrival])).alias("_r"))
+    return last.select(*[F.col(c) if c in key_cols else F.col("_r").getField(c).alias(c) for c in df.columns])

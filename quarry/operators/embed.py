@@ -57,7 +57,7 @@ def signed_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
 
 
 _WORD_RE = None
-_CODE_CACHE: dict[str, int] = {}
+_CODE_CACHE: dict[tuple[int, str], int] = {}
 _CACHE_CAP = 1 << 20
 
 
@@ -71,12 +71,12 @@ def _word_codes(text: str, dim: int) -> list[int]:
     out = []
     cache = _CODE_CACHE
     for w in _WORD_RE.findall(text.lower()):
-        c = cache.get(w)
+        c = cache.get((dim, w))
         if c is None:
             h = hashlib.md5(w.encode("utf-8")).hexdigest()
             c = (1 if h[8] < "8" else -1) * (int(h[:8], 16) % dim + 1)
             if len(cache) < _CACHE_CAP:
-                cache[w] = c
+                cache[dim, w] = c
         out.append(c)
     return out
 

@@ -2,23 +2,22 @@
 
 Reachability is a breadth-first search written as repeated joins.  Each round
 joins the newly reached pages (a delta, not the whole visited set) with the
-edge table and anti-joins the visited set.  The edge table is checkpointed
-once to the session's checkpoint folder (reliable storage, survives executor
-loss), hash-partitioned on the source url; the visited set is checkpointed
-every few rounds, so lineage stays short.
+edge table and anti-joins the visited set.  The edge table and every round's
+pages are written to the session's checkpoint folder and read again, so a
+round's plan has the same size whatever the depth, and rounds go on until one
+reaches nothing new.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import html as H
 from quarry.functions import urls as U
-from quarry.session import checkpoint_root
+from quarry.session import scratch_path
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -32,62 +31,66 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return resolved.select("src_url", "pos", "href", F.explode(F.array("_d")).alias("dst_url"))
 
 
-def follow_filter(edges: DataFrame, subpaths: Sequence[str] = ("/",), start_urls: Sequence[str] = ()) -> DataFrame:
+def without_fragment(url) -> Column:
+    """The address that is fetched: a url without its fragment."""
+    return F.regexp_replace(url, r"(?s)#.*$", "")
+
+
+def follow_filter(edges: DataFrame, subpaths: Sequence[str] = ("/",), start_urls: Sequence[str] = (),
+                  domains: Sequence[str] = ()) -> DataFrame:
     """The crawler's link rules: same host (F1), allowed subpath or start page
-    (F2), not a self link (F3)."""
+    (F2), not a self link (F3), a host of the allowed domains if any are given (F4)."""
     s, d = F.col("src_url"), F.col("dst_url")
-    return edges.filter(
-        U.link_same_host(s, d) & U.link_allowed_subpath(s, d, subpaths, start_urls) & U.link_not_self(s, d)
-    )
+    ok = U.link_same_host(s, d) & U.link_allowed_subpath(s, d, subpaths, start_urls) & U.link_not_self(s, d)
+    return edges.filter(ok & U.link_allowed_domain(d, domains) if domains else ok)
 
 
 def link_frontier(edges: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
-    """Distinct link targets that are not captured pages yet."""
-    known = pages.select(F.col(url).alias("dst_url"))
-    return edges.select("dst_url").distinct().join(known, "dst_url", "left_anti")
+    """Distinct link targets that are not captured pages yet; fragments
+    don't make an address."""
+    known = pages.select(without_fragment(F.col(url)).alias("dst_url"))
+    return edges.select(without_fragment(F.col("dst_url")).alias("dst_url")).distinct().join(known, "dst_url", "left_anti")
 
 
-def crawl_reach(edges: DataFrame, pages: DataFrame, start_urls: DataFrame | None = None,
-                max_depth: int = 16, url: str = "url", checkpoint_every: int = 4) -> DataFrame:
+def crawl_reach(edges: DataFrame, pages: DataFrame, start_urls: DataFrame | None = None, url: str = "url") -> DataFrame:
     """Captured pages reachable from the start urls, with their BFS depth.
 
     ``edges`` are ``(src_url, dst_url)`` already filtered by the follow rules.
-    Only edges between captured pages matter.  Without ``start_urls``, the
-    roots are the captured pages no other captured page links to.
+    Only edges between captured pages matter; addresses are compared without
+    their fragments, and every captured url with a reached address is returned.
+    Without ``start_urls``, the roots are the captured pages no other captured
+    page links to.
     """
     spark = pages.sparkSession
-    checkpoint_root(spark)
-    known = pages.select(F.col(url).alias("u")).distinct()
-    e = (
-        edges.select("src_url", "dst_url")
+    captured = pages.select(F.col(url).alias("url"), without_fragment(F.col(url)).alias("u")).distinct()
+    known = captured.select("u").distinct()
+    folder = scratch_path(spark, "crawl")
+    e = edges.select(without_fragment(F.col("src_url")).alias("src_url"), without_fragment(F.col("dst_url")).alias("dst_url"))
+    (
+        e.filter("src_url <> dst_url")
         .join(known.withColumnRenamed("u", "src_url"), "src_url", "left_semi")
         .join(known.withColumnRenamed("u", "dst_url"), "dst_url", "left_semi")
         .distinct()
-        .repartition("src_url")  # kept by the checkpoint: rounds shuffle only the frontier
-        .checkpoint()
+        .write.parquet(f"{folder}/edges")
     )
+    e = spark.read.parquet(f"{folder}/edges")
     if start_urls is None:
         starts = known.join(e.select(F.col("dst_url").alias("u")), "u", "left_anti")
     else:
-        starts = start_urls.select(F.col(start_urls.columns[0]).alias("u")).join(known, "u", "left_semi").distinct()
-    visited = starts.select(F.col("u").alias("url"), F.lit(0).alias("depth")).checkpoint()
-    delta = visited
-    for d in range(1, max_depth + 1):
-        nxt = (
-            delta.select(F.col("url").alias("src_url"))
-            .join(e, "src_url")
-            .select(F.col("dst_url").alias("url"))
-            .distinct()
-            .join(visited.select("url"), "url", "left_anti")
-            .select("url", F.lit(d).alias("depth"))
-        )
-        # the frontier is read twice (emptiness test, next round): keep it; a
-        # lost block is recomputed from the last reliable checkpoint
-        nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        if nxt.isEmpty():
+        starts = start_urls.select(without_fragment(F.col(start_urls.columns[0])).alias("u")).join(known, "u", "left_semi").distinct()
+    reached = f"{folder}/reached"
+    starts.select("u", F.lit(0).alias("depth")).write.parquet(f"{reached}/round=0")
+    d = 0
+    while True:
+        visited = spark.read.schema("u string, depth int").parquet(f"{reached}/round=*")
+        delta = spark.read.schema("u string, depth int").parquet(f"{reached}/round={d}")
+        if delta.isEmpty():
             break
-        visited = visited.unionByName(nxt)
-        if d % checkpoint_every == 0:
-            visited = visited.checkpoint()
-        delta = nxt
-    return visited
+        d += 1
+        (
+            delta.select(F.col("u").alias("src_url")).join(e, "src_url").select(F.col("dst_url").alias("u")).distinct()
+            .join(visited.select("u"), "u", "left_anti")
+            .select("u", F.lit(d).alias("depth"))
+            .write.parquet(f"{reached}/round={d}")
+        )
+    return captured.join(visited, "u").select("url", "depth")

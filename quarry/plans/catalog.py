@@ -46,6 +46,17 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _vec(c="embedding"):
+    """A vector as text: the non-zero components, index:millionths."""
+    parts = F.transform(c, lambda x, i: F.when(x != 0, F.concat_ws(":", i.cast("string"), F.floor(x.cast("double") * 1e6 + 0.5).cast("string"))))
+    return F.array_join(F.filter(parts, lambda x: x.isNotNull()), ",")
+
+
+def _vec_sql(key: str, rows: str) -> str:
+    """``(key, vec)`` of rows (key, bucket, w) of a sparse embedding."""
+    return f"(SELECT {key}, string_agg(bucket || ':' || CAST(floor(w * 1e6 + 0.5) AS BIGINT), ',' ORDER BY bucket) AS vec FROM {rows} GROUP BY 1)"
+
+
 def _r6(c):
     return F.round(c.cast("double"), 6)
 
@@ -290,13 +301,14 @@ def q_retrieve_best(spark, sf):
 # ---------------------------------------------------------------- composite
 @register(
     "ingest_rebuild",
-    f"""WITH {SQL_WORD_CHUNKS.strip()}
-        SELECT id, doc_id, CAST(chunk_pos AS BIGINT) AS chunk_pos, chunk_hash, {S.tags('chunk_text')} AS tags FROM store""",
+    f"""WITH {SQL_WORD_CHUNKS.strip()}, {S.sparse_embedding_cte('semb', 'store', 'id', 'chunk_text')}
+        SELECT id, doc_id, CAST(chunk_pos AS BIGINT) AS chunk_pos, chunk_hash, {S.tags('chunk_text')} AS tags, coalesce(vec, '') AS vec
+        FROM store LEFT JOIN {_vec_sql('id', 'semb')} USING (id)""",
 )
 def q_ingest_rebuild(spark, sf):
     st = _store(spark, sf)
     return st.select("id", "doc_id", F.col("chunk_pos").cast("long"), "chunk_hash",
-                     F.array_join("tags", ",").alias("tags"))
+                     F.array_join("tags", ",").alias("tags"), _vec().alias("vec"))
 
 
 @register(
@@ -506,28 +518,44 @@ SQL_FOLLOW = f"""{SQL_LINKS}, follow AS (
 )"""
 
 
+def _bare(c: str) -> str:
+    return f"regexp_replace({c}, '#.*$', '', 's')"
+
+
 @register("link_frontier", f"""WITH {SQL_FOLLOW}
-  SELECT DISTINCT dst_url FROM follow WHERE dst_url NOT IN (SELECT url FROM allpages)""")
+  SELECT DISTINCT {_bare('dst_url')} AS dst_url FROM follow WHERE {_bare('dst_url')} NOT IN (SELECT {_bare('url')} FROM allpages)""")
 def q_link_frontier(spark, sf):
     pages = _allpages(spark, sf)
     return L.link_frontier(L.follow_filter(L.page_edges(pages.select("url", "html"))), pages)
 
 
-@register("crawl_reach", f"""WITH RECURSIVE {SQL_FOLLOW}, ce AS (
-  SELECT DISTINCT src_url, dst_url FROM follow
-  WHERE src_url IN (SELECT url FROM allpages) AND dst_url IN (SELECT url FROM allpages)
+# one start page (a page of a captured cycle, besides the pages nobody links to) and a chain longer than any cap
+CHAIN = [(f"http://chain.example.com/{i}", f'<a href="/{i + 1}#part">next</a>') for i in range(20)]
+CRAWL_START = "http://chain.example.com/0"
+
+
+@register("crawl_reach", f"""WITH RECURSIVE {SQL_FOLLOW}, known AS (
+  SELECT url, {_bare('url')} AS u FROM allpages UNION SELECT url, url FROM {S.values(CHAIN, [("url", "VARCHAR"), ("html", "VARCHAR")])}
+), ce AS (
+  SELECT DISTINCT {_bare('src_url')} AS src_url, {_bare('dst_url')} AS dst_url FROM follow
+  WHERE {_bare('src_url')} IN (SELECT u FROM known) AND {_bare('dst_url')} IN (SELECT u FROM known) AND {_bare('src_url')} <> {_bare('dst_url')}
+  UNION SELECT 'http://chain.example.com/' || i, 'http://chain.example.com/' || (i + 1) FROM range(0, {len(CHAIN) - 1}) t(i)
 ), starts AS (
-  SELECT DISTINCT url FROM allpages WHERE url NOT IN (SELECT dst_url FROM ce)
-), reach(url, depth) AS (
-  SELECT url, 0 FROM starts
+  SELECT DISTINCT u FROM known WHERE u NOT IN (SELECT dst_url FROM ce) OR u = '{CRAWL_START}'
+), reach(u, depth) AS (
+  SELECT u, 0 FROM starts
   UNION
-  SELECT ce.dst_url, reach.depth + 1 FROM reach JOIN ce ON ce.src_url = reach.url WHERE reach.depth < 16
+  SELECT ce.dst_url, reach.depth + 1 FROM reach JOIN ce ON ce.src_url = reach.u WHERE reach.depth < (SELECT count(*) FROM known)
 )
-SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM reach GROUP BY url""")
+SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM reach JOIN known USING (u) GROUP BY url""")
 def q_crawl_reach(spark, sf):
-    pages = _allpages(spark, sf)
-    edges = L.follow_filter(L.page_edges(pages.select("url", "html")))
-    return L.crawl_reach(edges, pages, max_depth=16).select("url", F.col("depth").cast("long"))
+    pages = _allpages(spark, sf).select("url", "html").unionByName(spark.createDataFrame(CHAIN, "url string, html string"))
+    edges = L.follow_filter(L.page_edges(pages))
+    bare = pages.select(L.without_fragment(F.col("url")).alias("u")).distinct()
+    links = edges.filter(L.without_fragment(F.col("src_url")) != L.without_fragment(F.col("dst_url")))
+    starts = bare.join(links.select(L.without_fragment(F.col("dst_url")).alias("u")), "u", "left_anti").union(
+        spark.createDataFrame([(CRAWL_START,)], "u string"))
+    return L.crawl_reach(edges, pages, starts).select("url", F.col("depth").cast("long"))
 
 
 # ---------------------------------------------------------------- page records
@@ -728,17 +756,21 @@ def _inc_inputs(spark, sf):
 
 def _inc_runs(spark, sf):
     first, second = _inc_inputs(spark, sf)
-    run1 = jobs.ingest_incremental(first, None, with_embedding=False).checkpoint()
-    run2 = jobs.ingest_incremental(second, run1, with_embedding=False)
+    run1 = jobs.ingest_incremental(first, None).checkpoint()
+    run2 = jobs.ingest_incremental(second, run1)
     return first, second, run1, run2
 
 
-@register("ingest_incremental", f"""WITH {SQL_INC}
-  SELECT id, doc_id, chunk_pos, chunk_hash, {S.tags('chunk_text')} AS tags FROM final_store""")
+SQL_INC_VEC = f"""{SQL_INC}, {S.sparse_embedding_cte('semb', 'final_store', 'id', 'chunk_text')},
+  final_vec AS (SELECT f.*, coalesce(v.vec, '') AS vec FROM final_store f LEFT JOIN {_vec_sql('id', 'semb')} v USING (id))"""
+
+
+@register("ingest_incremental", f"""WITH {SQL_INC_VEC}
+  SELECT id, doc_id, chunk_pos, chunk_hash, {S.tags('chunk_text')} AS tags, vec FROM final_vec""")
 def q_ingest_incremental(spark, sf):
     _, _, run1, run2 = _inc_runs(spark, sf)
     return run1.unionByName(run2).select("id", "doc_id", F.col("chunk_pos").cast("long"), "chunk_hash",
-                                         F.array_join("tags", ",").alias("tags"))
+                                         F.array_join("tags", ",").alias("tags"), _vec().alias("vec"))
 
 
 @register("new_chunks_only", f"WITH {SQL_INC} SELECT doc_id, chunk_pos, chunk_hash FROM c2_new")
@@ -766,7 +798,7 @@ def q_ingest_report(spark, sf):
 
 @register("distinct_sources", f"WITH {SQL_WORD_CHUNKS.strip()} SELECT DISTINCT 'doc-' || doc_id || '.json' AS file FROM store")
 def q_distinct_sources(spark, sf):
-    return audit.distinct_sources(_store(spark, sf, with_embedding=False))
+    return audit.distinct_sources(_store(spark, sf))
 
 
 @register("xref_missing_sources", f"""WITH {SQL_WORD_CHUNKS.strip()}
@@ -774,20 +806,22 @@ def q_distinct_sources(spark, sf):
   EXCEPT SELECT 'doc-' || doc_id || '.json' FROM store""")
 def q_xref_missing_sources(spark, sf):
     recs = jobs.documents_as_records(table(spark, sf, "documents"))
-    return audit.xref_missing_sources(recs.select("file"), _store(spark, sf, with_embedding=False))
+    return audit.xref_missing_sources(recs.select("file"), _store(spark, sf))
 
 
-@register("audit_id_consistency", f"""WITH {SQL_WORD_CHUNKS.strip()}, {S.sparse_embedding_cte('semb', 'store', 'id', 'chunk_text')},
-  m AS (SELECT DISTINCT id FROM store), v AS (SELECT DISTINCT id FROM semb)
+@register("audit_id_consistency", f"""WITH {SQL_INC},
+  m AS (SELECT DISTINCT id FROM final_store), v AS (SELECT id FROM r1 UNION SELECT -1 - item_id FROM benchmark)
   SELECT (SELECT CAST(count(*) AS BIGINT) FROM m) AS meta_entries, (SELECT CAST(count(*) AS BIGINT) FROM v) AS vector_entries,
          (SELECT CAST(count(*) AS BIGINT) FROM m WHERE id NOT IN (SELECT id FROM v)) AS missing_in_vectors,
          (SELECT CAST(count(*) AS BIGINT) FROM v WHERE id NOT IN (SELECT id FROM m)) AS missing_in_meta,
          (SELECT count(*) FROM m WHERE id NOT IN (SELECT id FROM v)) = 0
            AND (SELECT count(*) FROM v WHERE id NOT IN (SELECT id FROM m)) = 0 AS consistent""")
 def q_audit_id_consistency(spark, sf):
-    st = _store(spark, sf)
-    vecs = st.filter(V.norm("embedding") > 0).select("id")
-    return audit.audit_id_consistency(st.select("id"), vecs)
+    """Metadata of both runs against the vectors of the first and vectors that
+    no chunk has: ids are missing on either side."""
+    _, _, run1, run2 = _inc_runs(spark, sf)
+    stray = table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("id"))
+    return audit.audit_id_consistency(run1.select("id").unionByName(run2.select("id")), run1.select("id").unionByName(stray))
 
 
 # ================================================================ cache, rerank, RAG
@@ -806,14 +840,14 @@ def q_cache_admission(spark, sf):
 
 
 @register("cache_lookup", """WITH qs AS (
-    SELECT 'bench' AS src, item_id AS qid, text AS query FROM benchmark
-    UNION ALL SELECT 'user', conv_id * 100000 + turn, text FROM conversations WHERE role = 'user')
+    SELECT 'bench' AS src, CAST(item_id AS VARCHAR) AS qid, text AS query FROM benchmark
+    UNION ALL SELECT 'user', conv_id || '/' || turn, text FROM conversations WHERE role = 'user')
   SELECT src, qid, EXISTS (SELECT 1 FROM benchmark b WHERE b.text = qs.query) AS hit FROM qs""")
 def q_cache_lookup(spark, sf):
     b = table(spark, sf, "benchmark")
     users = table(spark, sf, "conversations").filter(F.col("role") == "user")
-    qs = b.select(F.lit("bench").alias("src"), F.col("item_id").alias("qid"), F.col("text").alias("query")).unionByName(
-        users.select(F.lit("user").alias("src"), (F.col("conv_id") * 100000 + F.col("turn")).alias("qid"),
+    qs = b.select(F.lit("bench").alias("src"), F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query")).unionByName(
+        users.select(F.lit("user").alias("src"), F.concat_ws("/", "conv_id", "turn").alias("qid"),
                      F.col("text").alias("query")))
     cache = embed.embed_text(b.select(F.col("text").alias("query")), "query", "embedding")
     return CA.cache_lookup(qs, cache, "query").select("src", "qid", "hit")
@@ -859,7 +893,7 @@ def _rag_sql() -> str:
     return f"""WITH {SQL_CONV}, {SQL_WORD_CHUNKS.strip()},
 req AS (SELECT conv_id, turn, {pc} AS pc FROM conv WHERE role = 'user'),
 req2 AS (SELECT *, {resp} AS intent_resp FROM req),
-ask AS (SELECT conv_id * 100000 + turn AS qid, conv_id, turn, pc FROM req2 WHERE pc <> '' AND intent_resp IS NULL),
+ask AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS qid, conv_id, turn, pc FROM req2 WHERE pc <> '' AND intent_resp IS NULL),
 {S.sparse_embedding_cte('cemb', 'store', 'id', 'chunk_text')},
 {S.sparse_embedding_cte('qemb', 'ask', 'qid', 'pc')},
 dots AS (SELECT qemb.qid, cemb.id, sum(qemb.w * cemb.w) AS ip FROM qemb JOIN cemb USING (bucket) GROUP BY 1, 2),
@@ -946,23 +980,24 @@ def q_select_text_source(spark, sf):
   SELECT id, 'doc-' || doc_id || '.json' AS file, chunk_text, {S.tags('chunk_text')} AS tags FROM store""")
 def q_scan_chunk_metadata(spark, sf):
     path = scratch_path(spark, "chunks-json")
-    st = _store(spark, sf, with_embedding=False)
+    st = _store(spark, sf)
     st.select("id", "file", "url", "title", "meta_description", "chunk_text", "tags").write.mode("overwrite").json(path)
     back = RD.read_chunks(spark, path, fmt="json", multi_line=False)
     return back.select("id", "file", "chunk_text", F.array_join("tags", ",").alias("tags"))
 
 
-@register("write_vector_store", f"WITH {SQL_INC} SELECT id, chunk_hash FROM final_store")
+@register("write_vector_store", f"WITH {SQL_INC_VEC} SELECT id, chunk_hash, vec FROM final_vec")
 def q_write_vector_store(spark, sf):
     path = scratch_path(spark, "store")
     _, _, run1, run2 = _inc_runs(spark, sf)
     WR.write_store(run1, path, "overwrite")
     WR.write_store(run2, path, "append")
-    return RD.read_chunks(spark, path).select("id", "chunk_hash")
+    return RD.read_chunks(spark, path).select("id", "chunk_hash", _vec().alias("vec"))
 
 
 SQL_CACHE = f"""{S.sparse_embedding_cte('bemb', 'benchmark', 'text', 'text')}
-  SELECT text AS query, CAST(384 AS BIGINT) AS dims, CAST(count(*) AS BIGINT) AS nnz FROM bemb GROUP BY text"""
+  SELECT text AS query, CAST(384 AS BIGINT) AS dims, CAST(count(*) AS BIGINT) AS nnz,
+         string_agg(bucket || ':' || CAST(floor(w * 1e6 + 0.5) AS BIGINT), ',' ORDER BY bucket) AS vec FROM bemb GROUP BY text"""
 
 
 def _bench_cache(spark, sf):
@@ -972,7 +1007,7 @@ def _bench_cache(spark, sf):
 
 def _cache_out(df):
     return df.select("query", F.size("embedding").cast("long").alias("dims"),
-                     F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("nnz"))
+                     F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("nnz"), _vec().alias("vec"))
 
 
 @register("write_embedding_cache", f"WITH {SQL_CACHE}")
@@ -989,10 +1024,34 @@ def q_scan_embedding_cache(spark, sf):
     return _cache_out(RD.read_embedding_cache(spark, path))
 
 
+@register("ingest_pages", f"""WITH {_records_sql()}, src AS (
+  SELECT url, title, description, row_number() OVER (ORDER BY page_id) - 1 AS doc_id,
+         CASE WHEN len(article_list) > 0 THEN array_to_string(article_list, chr(10)) ELSE array_to_string(text_list, chr(10)) END AS raw
+  FROM latest
+), pdocs AS (
+  SELECT doc_id, {S.words(S.clean('raw'))} AS w FROM src WHERE {S.clean('raw')} <> ''
+), pchunks AS (
+  SELECT doc_id, i AS chunk_pos, array_to_string(list_slice(w, i * {STEP} + 1, i * {STEP} + {MAXW}), ' ') AS chunk_text
+  FROM (SELECT doc_id, w, unnest(range(0, CAST(floor((len(w) - 1) / {STEP}) AS BIGINT) + 1)) AS i FROM pdocs WHERE len(w) > 0)
+), pfirst AS (
+  SELECT * FROM pchunks QUALIFY row_number() OVER (PARTITION BY md5(chunk_text) ORDER BY doc_id, chunk_pos) = 1
+)
+SELECT row_number() OVER (ORDER BY f.doc_id, f.chunk_pos) - 1 AS id, s.url, s.title, s.description AS meta_description, f.chunk_text
+FROM pfirst f JOIN src s USING (doc_id)""")
+def q_ingest_pages(spark, sf):
+    """Pages -> page records (C1) -> page JSON -> records (F5) -> chunks -> store, a folder for each page."""
+    path = scratch_path(spark, "page-files")
+    rec = PG.extract_pages(_allpages(spark, sf)).select("page_id", "url", "title", "meta", "text_lines", "article_texts")
+    # the path gives the order of the sources
+    rec.select(F.format_string("%012d", F.col("page_id") + 1_000_000).alias("page"), "*").drop("page_id").write.partitionBy("page").json(path)
+    st = jobs.ingest_rebuild(jobs.records_from_page_json(RD.read_page_json(spark, path, multi_line=False)), MAXW, OVERLAP)
+    return st.select("id", "url", "title", "meta_description", "chunk_text")
+
+
 # ================================================================ streaming
 
 
-@register("stream_ingest", f"WITH {SQL_INC} SELECT id, chunk_hash FROM final_store")
+@register("stream_ingest", f"WITH {SQL_INC_VEC} SELECT id, chunk_hash, vec FROM final_vec")
 def q_stream_ingest(spark, sf):
     """Records arrive in two deliveries (the corpus, then the benchmark
     passages plus blank records); each run of the stream picks up only the
@@ -1003,10 +1062,10 @@ def q_stream_ingest(spark, sf):
     more = table(spark, sf, "benchmark").select((F.lit(BENCH_DOC_OFFSET) + F.col("item_id")).alias("doc_id"), "text") \
         .unionByName(FX.BLANK_DOCS.df(spark))
     docs.write.mode("append").json(src)
-    SJ.stream_ingest(spark, src, store, ckpt, with_embedding=False)
+    SJ.stream_ingest(spark, src, store, ckpt)
     more.write.mode("append").json(src)
-    SJ.stream_ingest(spark, src, store, ckpt, with_embedding=False)
-    return spark.read.parquet(store).select("id", "chunk_hash")
+    SJ.stream_ingest(spark, src, store, ckpt)
+    return spark.read.parquet(store).select("id", "chunk_hash", _vec().alias("vec"))
 
 
 STREAM_CAP = ADMISSION_CAP

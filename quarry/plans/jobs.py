@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import chunking, dedup, embed, ids, search
+from quarry.session import checkpoint_root
 
 RECORD_META = ("file", "url", "title", "meta_description")
 
@@ -64,16 +64,9 @@ def sentence_chunks(records: DataFrame, limit: int = 512) -> DataFrame:
 
 
 def finish_chunks(chunks: DataFrame, start: int | Column = 0, with_embedding: bool = True,
-                  dim: int = embed.DEFAULT_DIM, embedder=None, persist: bool = True) -> DataFrame:
-    """A1 -> W1 -> F8 (-> E1/E2): dedup, dense ids, tags, embeddings.
-
-    The chunk rows feed two branches (the light first-seen aggregate and the
-    heavy join that attaches ids), so they are persisted once (memory, then
-    local disk) instead of re-running the chunker; a lost block is recomputed
-    from lineage, which is deterministic."""
-    if persist:
-        chunks = chunks.persist(StorageLevel.MEMORY_AND_DISK)
-    with_ids = dedup.dedup_with_ids(chunks, "chunk_text", ("doc_id", "chunk_pos"), start)
+                  dim: int = embed.DEFAULT_DIM, embedder=None, existing: DataFrame | None = None) -> DataFrame:
+    """A1 -> J1 -> W1 -> F8 (-> E1/E2): dedup, chunks not in ``existing``, dense ids, tags, embeddings."""
+    with_ids = dedup.dedup_with_ids(chunks, "chunk_text", ("doc_id", "chunk_pos"), start, existing=existing)
     tagged = with_ids.withColumn("tags", T.infer_tags(F.col("chunk_text")))
     if not with_embedding:
         return tagged
@@ -89,16 +82,12 @@ def ingest_rebuild(records: DataFrame, max_words: int = 150, overlap: int = 10,
 
 def ingest_incremental(records: DataFrame, existing: DataFrame | None, limit: int = 512,
                        with_embedding: bool = True, embedder=None) -> DataFrame:
-    """Sentence chunks, minus hashes already stored (J1), first-seen dedup,
+    """Sentence chunks, first-seen dedup, minus hashes already stored (J1),
     ids continuing after the stored maximum (A2), tags, vectors.  Returns the
     new rows only; running it again on the union adds nothing."""
-    ch = dedup.with_chunk_hash(sentence_chunks(records, limit))
-    if existing is not None:
-        ch = dedup.new_chunks_only(ch, existing.select("chunk_hash"))
-        start = existing.agg(ids.next_id(existing)).first()[0]
-    else:
-        start = 0
-    return finish_chunks(ch, int(start), with_embedding, embedder=embedder)
+    start = int(existing.agg(ids.next_id(existing)).first()[0]) if existing is not None else 0
+    return finish_chunks(sentence_chunks(records, limit), start, with_embedding, embedder=embedder,
+                         existing=None if existing is None else existing.select("chunk_hash"))
 
 
 def query_vectors(queries: DataFrame, qid: str, text: str, dim: int = embed.DEFAULT_DIM, embedder=None) -> DataFrame:
@@ -122,9 +111,10 @@ def search_mmr(queries: DataFrame, store: DataFrame, k: int = 10, rerank_k: int
     from quarry.operators import rerank
 
     qv = qvecs if qvecs is not None else query_vectors(queries, qid, text, embedder=embedder)
-    # the query vectors are read three times (dimension probe, broadcast block,
-    # query cosine); keep them instead of re-running the embedder
-    qv = qv.persist(StorageLevel.MEMORY_AND_DISK)
+    # the query vectors are read twice (search, query cosine): keep them
+    # instead of running the embedder again
+    checkpoint_root(store.sparkSession)
+    qv = qv.checkpoint()
     hits = search.topk_inner_product(qv, store, k=k, carry=["embedding", "chunk_text"],
                                      model_id=embed.model_id(embedder))
     return rerank.mmr_select(hits, qv, rerank_k, lambda_param, carry=["chunk_text"])
@@ -146,9 +136,10 @@ def rag_prompts(requests: DataFrame, store: DataFrame, key: Sequence[str] = ("re
     errors = v.filter(F.col("status") == "error").select(*key, F.lit("error").alias("kind"), F.col("error").alias("text"))
     intents = v.filter((F.col("status") == "ok") & F.col("_intent").isNotNull()).select(
         *key, F.lit("intent").alias("kind"), F.col("_intent").alias("text"))
-    qid_expr = F.xxhash64(*key) if len(key) != 2 else (F.col(key[0]) * 100000 + F.col(key[1]))
-    ask = v.filter((F.col("status") == "ok") & F.col("_intent").isNull()).withColumn(
-        "qid", qid_expr).select(*key, "qid", "prompt_clean")
+    # dense ids name the requests, whatever their keys are (of any type, null or repeated)
+    ask = v.filter((F.col("status") == "ok") & F.col("_intent").isNull()).select(*key, "prompt_clean").withColumn(
+        "_row", F.monotonically_increasing_id())
+    ask = ids.assign_ids(ask, ["_row"], 0, "qid").select(*key, "qid", "prompt_clean")
     qv = query_vectors(ask, "qid", "prompt_clean", embedder=embedder)
     picks = search_mmr(None, store, k, rerank_k, lambda_param, qvecs=qv, embedder=embedder)
     ctx = dialog.context_concat(
@@ -163,12 +154,15 @@ def records_from_page_json(pages: DataFrame) -> DataFrame:
     """Page-record JSON rows (``read_page_json``) -> ingest records.
 
     Unparsable files are dropped (callers count ``ok = false`` as skipped).
-    Sources are numbered in file-name order (the first-seen order of the
-    dedup) with the same range-partitioned dense numbering as chunk ids."""
-    good = pages.filter(F.col("ok"))
-    files = ids.assign_ids(good.select("file").distinct(), ["file"], 0, "doc_id")
-    rec = good.select(
-        "file", "url", "title", F.col("meta.description").alias("meta_description"),
+    Every record is a source of its own, numbered in the order (full path,
+    place in the file) with the same range-partitioned numbering as chunk ids:
+    files with several records and equal names below different folders stay
+    apart."""
+    place = ["path", "block"] if {"path", "block"} <= set(pages.columns) else ["file"]
+    rec = pages.filter(F.col("ok")).select(
+        *place, *(["file"] if "file" not in place else []), F.monotonically_increasing_id().alias("_row"),
+        "url", "title", F.col("meta.description").alias("meta_description"),
         T.select_text_source(F.col("article_texts"), F.col("text_lines"), F.col("content")).alias("raw_text"),
     )
-    return rec.join(files, "file").select("doc_id", "file", "url", "title", "meta_description", "raw_text")
+    numbered = ids.assign_ids(rec, [*place, "_row"], 0, "doc_id")
+    return numbered.select("doc_id", "file", "url", "title", "meta_description", "raw_text")

@@ -45,13 +45,15 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediates.
 
-    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only when
-    neither is set -- a local test session -- a fresh folder under the system
-    temp dir is created and registered.
+    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir).  When
+    neither is set, a local session gets a fresh folder under the system temp
+    dir; on a cluster, where such a folder isn't shared, this raises.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not sc.getCheckpointDir():
@@ -74,13 +76,8 @@ def spread(df: DataFrame) -> DataFrame:
     on one core.  On a large input the scan already yields more partitions
     than cores and this is a no-op (no shuffle is added).
     """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            return df.repartition(target)
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan as is
-        pass
-    return df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, parallel: bool = True) -> DataFrame:

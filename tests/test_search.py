@@ -18,7 +18,7 @@ def test_topk_matches_numpy(spark):
     corpus, m = _vecs(spark, 60, 8, 1)
     q = np.random.default_rng(2).normal(size=(5, 8))
     qdf = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(q)], "qid long, qvec array<double>")
-    got = search.topk_inner_product(qdf, corpus.repartition(4), k=10, block_bytes=2 * 8 * 8).collect()
+    got = search.topk_inner_product(qdf, corpus.repartition(4), k=10, query_block=3).collect()
     for qi in range(5):
         keys = np.floor(m @ q[qi] * 1e6 + 0.5)
         order = sorted(range(60), key=lambda i: (-keys[i], i))[:10]
