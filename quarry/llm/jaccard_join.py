@@ -40,7 +40,7 @@ SMALL = 32
 ROUNDS = 3
 #: documents whose shingles are counted for the global order, and the most shingles that are put last
 SAMPLE_DOCS, COMMON = 20_000, 200_000
-COMMON_COUNT = 5
+COMMON_COUNT = 3
 #: more rows than this are joined by shuffling
 BROADCAST_ROWS = 1_000_000
 
@@ -185,6 +185,14 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def _pairs(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
+    """(a, b), a < b: nodes of different components that share a posting, where ``condition`` holds of the
+    rows x of ``left`` and y of ``right`` and their lengths allow similarity; a row for each posting."""
+    x, y = (rows.select("s", *[F.col(c).alias(f"{c}_{i}") for c in rows.columns if c != "s"]) for rows, i in ((left, "x"), (right, "y")))
+    met = x.join(y, "s").where((F.col("comp_x") != F.col("comp_y")) & _length_ok("n_x", "n_y") & F.expr(condition))
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+
+
 def near_links(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) between nodes: enough of them to connect every component."""
     posts = postings(rows)
@@ -203,25 +211,20 @@ def near_links(texts: DataFrame, rows: DataFrame) -> DataFrame:
             found = similar(stored(best.select("a", F.col("node").alias("b")), "stars"), segs, sizes)
             links = stored(links.union(found), "links")
             labels = stored(components(links), "labels")
-        now = stored(_labelled(large.select("s", "node", "n"), labels), "large")
-        main = now.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-        odd = now.join(main, "s").where("comp != main").select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        rest = odd.join(now, "s").where((F.col("comp") != F.col("ca")) & _length_ok("n", "na")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        links = stored(links.union(similar(stored(rest, "pairs"), segs, sizes)), "links")
-        labels = stored(components(links), "labels")
-    one = _labelled(small.select("s", "node", "n"), labels)
-    one = stored(one, "small")
-    x, y = (one.select("s", *[F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "comp")]) for i in "xy")
-    summed = (
-        x.join(y, "s").where((F.col("node_x") < F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & _length_ok("n_x", "n_y"))
-        .groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count(F.lit(1)).alias("v"))
-    )
-    info = sizes.join(in_large, "node", "left")
-    ia, ib = (info.select(F.col("node").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("n", "p", "cut_common", "cut")], F.coalesce("h", F.lit(0)).alias(f"h_{i}")) for i in "ab")
+    # every pair of nodes of different components, once for each posting that has both
+    now = stored(_labelled(large.select("s", "node", "n"), labels), "large")
+    main = now.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    one = stored(_labelled(small.select("s", "node", "n"), labels), "small")
+    now = now.join(main, "s")
+    odd = now.where("comp != main")
+    # in a long posting one of the two is outside its main component; if both are, they are taken in one order
+    met = _pairs(one, one, "node_x < node_y").union(_pairs(odd, now, "comp_y = main_y OR node_x < node_y"))
+    summed = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("v"))
+    ia, ib = (sizes.select(F.col("node").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("n", "p", "cut_common", "cut")]) for i in "ab")
     known = summed.join(ia, "a").join(ib, "b")
     # of the set whose prefix ends first, all that isn't in the prefix may be shared, and no more
     a_first = F.struct("cut_common_a", "cut_a") <= F.struct("cut_common_b", "cut_b")
-    most = F.col("v") + F.least("h_a", "h_b") + F.when(a_first, F.col("n_a") - F.col("p_a")).otherwise(F.col("n_b") - F.col("p_b"))
+    most = F.col("v") + F.when(a_first, F.col("n_a") - F.col("p_a")).otherwise(F.col("n_b") - F.col("p_b"))
     most = F.least(most, "n_a", "n_b")
     pairs = stored(known.where(100 * most >= PERCENT * (F.col("n_a") + F.col("n_b") - most)).select("a", "b"), "pairs")
     segs = fragments(texts, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), rows)
