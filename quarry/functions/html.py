@@ -18,10 +18,15 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 
-# Java regex.  Group 1/2: raw text of a script/style element.
-TOKEN = (
-    r"(?is)<!--.*?-->|<script\b[^>]*>(.*?)</script\s*>|<style\b[^>]*>(.*?)</style\s*>|<[^>]*>"
-)
+# Java regexes.  The rest of a tag steps over quoted values; one with an open quote ends at the next ">".
+REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+TAG = r"<[A-Za-z/!?]" + REST + r"|<[A-Za-z/!?][^>]*>"
+COMMENT = r"<!--.*?-->"
+# Groups 1/2: raw text of a script/style element.
+TOKEN = r"(?is)" + COMMENT + r"|<script\b[^>]*>(.*?)</script\s*>|<style\b[^>]*>(.*?)</style\s*>|" + TAG
+CODE = r"<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+# One attribute: name, and value if it has one.  Matched in order, so text inside a quoted value is no attribute.
+ATTRIBUTE = r"""[\s/]+[^\s=/>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
 SEP = "\u0001"
 
 
@@ -29,9 +34,19 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def lone_lt(html) -> Column:
+    """``<`` that starts no tag, as a character reference."""
+    return F.regexp_replace(_col(html), r"<([^A-Za-z/!?])", "&lt;$1")
+
+
+def without_code(html) -> Column:
+    """HTML without comments, scripts and styles: what can hold tags."""
+    return F.regexp_replace(_col(html), r"(?is)" + COMMENT + "|" + CODE, " ")
+
+
 def text_nodes(fragment) -> Column:
     """Stripped, non-empty text nodes of an HTML fragment, in document order."""
-    pieces = F.split(F.regexp_replace(_col(fragment), TOKEN, SEP + "$1$2" + SEP), SEP)
+    pieces = F.split(F.regexp_replace(lone_lt(fragment), TOKEN, SEP + "$1$2" + SEP), SEP)
     return F.filter(F.transform(pieces, lambda p: T.ustrip(T.decode_entities(p))), lambda p: p != "")
 
 
@@ -49,25 +64,29 @@ def page_title(html) -> Column:
 
 def attr_value(tag, name: str) -> Column:
     """Value of attribute ``name`` in one start tag string; NULL when absent."""
-    raw = F.regexp_extract(_col(tag), r"""\s(?i:""" + name + r""")\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    quoted = raw.startswith('"') | raw.startswith("'")
-    val = (
-        F.when(raw == "", F.lit(None).cast("string"))
-        .when(quoted, raw.substr(F.lit(2), F.length(raw) - 2))
-        .otherwise(raw)
-    )
-    return T.decode_entities(val)
+    attributes = F.regexp_extract_all(_col(tag), F.lit(ATTRIBUTE), 0)
+    of_name = F.filter(attributes, lambda a: F.lower(F.regexp_extract(a, r"""^[\s/]+([^\s=/>"']+)""", 1)) == name)
+    raw = F.regexp_extract(F.try_element_at(of_name, F.lit(1)), r"""=\s*("[^"]*"|'[^']*'|[^\s"'>]+)$""", 1)
+
+    def unquoted(r):
+        quoted = r.startswith('"') | r.startswith("'")
+        return F.when(r == "", F.lit(None).cast("string")).when(quoted, r.substr(F.lit(2), F.length(r) - 2)).otherwise(r)
+
+    return _let(_let(raw, unquoted), T.decode_entities)
+
+
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once; interpreted lambdas would compute every mention of it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def _start_tags(html, tag: str) -> Column:
-    return F.regexp_extract_all(_col(html), F.lit(r"(?is)<" + tag + r"\s[^>]*>"), 0)
+    return F.regexp_extract_all(without_code(html), F.lit(r"(?is)<" + tag + r"\s" + REST + "|<" + tag + r"\s[^>]*>"), 0)
 
 
 def page_meta(html, name: str) -> Column:
     """``content`` of the first ``<meta name="...">`` (exact name)."""
-    metas = _start_tags(html, "meta")
-    pat = r"""\s(?i:name)\s*=\s*(?:"NAME"|'NAME'|NAME[\s/>])""".replace("NAME", name)
-    first = F.try_element_at(F.filter(metas, lambda m: m.rlike(pat)), F.lit(1))
+    first = F.try_element_at(F.filter(_start_tags(html, "meta"), lambda m: attr_value(m, "name") == name), F.lit(1))
     return attr_value(first, "content")
 
 
@@ -75,19 +94,18 @@ def page_meta(html, name: str) -> Column:
 VOID_ELEMENTS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
                  "track", "wbr"]
 # Java regex: one token = comment | script/style element | tag | text run.
-BODY_TOKEN = (
-    r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[^>]*>|[^<]+"
-)
+BODY_TOKEN = r"(?is)" + COMMENT + "|" + CODE + "|" + TAG + r"|[^<]+"
 
 
 def _token_delta(t: Column) -> Column:
-    name = F.lower(F.regexp_extract(t, r"^<([A-Za-z][A-Za-z0-9]*)", 1))
+    """What a token adds to the depth; void elements, scripts and styles add nothing, nor do their stray end tags."""
+    name = F.lower(F.regexp_extract(t, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
     return (
         F.when(~t.startswith("<"), 0)
-        .when(t.startswith("</"), -1)
         .when(t.startswith("<!") | t.startswith("<?"), 0)
-        .when(t.rlike(r"(?is)^<(script|style)\b"), 0)
-        .when(name.isin(*VOID_ELEMENTS) | t.rlike(r"/\s*>\z"), 0)
+        .when(name.isin(*VOID_ELEMENTS, "script", "style"), 0)
+        .when(t.startswith("</"), -1)
+        .when(t.rlike(r"/\s*>\z"), 0)
         .otherwise(1)
     )
 
@@ -95,8 +113,9 @@ def _token_delta(t: Column) -> Column:
 def page_text_lines(html) -> Column:
     """P4 (``body *::text``): text nodes inside an element below ``body`` --
     text sitting directly under ``body`` is not included; script and style
-    contents count as text of their element."""
-    tokens = F.regexp_extract_all(body(html), F.lit(BODY_TOKEN), 0)
+    contents count as text of their element.  End tags without a start don't
+    lower the depth below the body's."""
+    tokens = F.regexp_extract_all(lone_lt(body(html)), F.lit(BODY_TOKEN), 0)
     init = F.struct(F.lit(0).alias("d"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, t):
@@ -104,7 +123,7 @@ def page_text_lines(html) -> Column:
         is_code = t.rlike(r"(?is)^<(script|style)\b")
         keep = F.when(is_code, inner).when(~t.startswith("<") & (acc["d"] > 0), t)
         return F.struct(
-            (acc["d"] + _token_delta(t)).alias("d"),
+            F.greatest(acc["d"] + _token_delta(t), F.lit(0)).alias("d"),
             F.when(keep.isNotNull(), F.array_append(acc["out"], keep)).otherwise(acc["out"]).alias("out"),
         )
 
@@ -123,6 +142,10 @@ def page_text_clean(html) -> Column:
     return F.array_join(body_text_nodes(html), "\n")
 
 
+def _is_code(t: Column) -> Column:
+    return t.rlike(r"(?is)^<(!--|script\b|style\b)")
+
+
 def with_element_texts(df, html: str, out: str, tag: str, class_substr: str | None = None):
     """P6/P7 on a DataFrame: ``out`` = for each ``<tag>`` (whose class contains
     ``class_substr``, when given) its text nodes joined by ``\\n``; empty
@@ -132,13 +155,14 @@ def with_element_texts(df, html: str, out: str, tag: str, class_substr: str | No
     in their own columns so the per-element lambdas read them instead of
     re-running the regular expressions.
     """
-    tag_re = r"(?is)(<" + tag + r"\b[^>]*>|</" + tag + r"\s*>)"
+    # comments, scripts and styles are tokens, so tags inside them aren't
+    tag_re = r"(?is)(" + COMMENT + "|" + CODE + "|<" + tag + r"\b" + REST + "|<" + tag + r"\b[^>]*>|</" + tag + r"\s*>)"
     st = df.withColumn("_et_tags", F.regexp_extract_all(F.col(html), F.lit(tag_re), 1)).withColumn(
         "_et_segs", F.split(F.col(html), tag_re)
     )
     st = st.withColumn(
         "_et_d",
-        F.transform("_et_tags", lambda t: F.when(t.startswith("</"), -1).when(t.rlike(r"/\s*>\z"), 0).otherwise(1)),
+        F.transform("_et_tags", lambda t: F.when(t.startswith("</"), -1).when(_is_code(t) | t.rlike(r"/\s*>\z"), 0).otherwise(1)),
     )
     # running depth after each tag: one pass over the (small) tag array
     st = st.withColumn(
@@ -146,27 +170,34 @@ def with_element_texts(df, html: str, out: str, tag: str, class_substr: str | No
         F.aggregate("_et_d", F.array().cast("array<int>"),
                     lambda acc, d: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + d)),
     )
-    tags, segs, deltas, depth = F.col("_et_tags"), F.col("_et_segs"), F.col("_et_d"), F.col("_et_depth")
-    m = F.size(tags)
-
-    def opens(j):  # 1-based
-        ok = F.try_element_at(deltas, j) == 1
-        if class_substr is not None:
-            ok = ok & F.coalesce(attr_value(F.try_element_at(tags, j), "class").contains(class_substr), F.lit(False))
-        return ok
-
-    def text_of(j):
-        d = F.try_element_at(depth, j)
-        closes = F.filter(F.sequence(j + 1, F.greatest(m, j + 1)),
-                          lambda x: (x <= m) & (F.try_element_at(depth, x) == d - 1))
-        k = F.coalesce(F.try_element_at(closes, F.lit(1)), m + 1)  # closing tag index, or past the end
-        inner = F.slice(segs, j + 1, k - j)
-        return F.array_join(F.flatten(F.transform(inner, lambda s: text_nodes(s))), "\n")
-
-    idx = F.filter(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda j: (j <= m) & opens(j))
-    return st.withColumn(out, F.filter(F.transform(idx, text_of), lambda s: s != "")).drop(
-        "_et_tags", "_et_segs", "_et_d", "_et_depth"
-    )
+
+    def texts(z):
+        tags, segs, deltas, depth = (z[c] for c in ("tags", "segs", "deltas", "depth"))
+        m = F.size(tags)
+
+        def opens(j):  # 1-based
+            ok = F.try_element_at(deltas, j) == 1
+            if class_substr is not None:
+                ok = ok & F.coalesce(attr_value(F.try_element_at(tags, j), "class").contains(class_substr), F.lit(False))
+            return ok
+
+        def text_of(j):
+            d = F.try_element_at(depth, j)
+            closes = F.filter(F.sequence(j + 1, F.greatest(m, j + 1)),
+                              lambda x: (x <= m) & (F.try_element_at(depth, x) == d - 1))
+            k = F.coalesce(F.try_element_at(closes, F.lit(1)), m + 1)  # closing tag index, or past the end
+
+            def piece(x):  # a segment, after the script before it
+                before = F.try_element_at(tags, x - 1)
+                return text_nodes(F.concat(F.when((x > j + 1) & _is_code(before), before).otherwise(F.lit("")), F.try_element_at(segs, x)))
+
+            return F.array_join(F.flatten(F.transform(F.sequence(j + 1, k), piece)), "\n")
+
+        idx = F.filter(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda j: (j <= m) & opens(j))
+        return F.filter(F.transform(idx, text_of), lambda s: s != "")
+
+    staged = F.struct(F.col("_et_tags").alias("tags"), F.col("_et_segs").alias("segs"), F.col("_et_d").alias("deltas"), F.col("_et_depth").alias("depth"))
+    return st.withColumn(out, _let(staged, texts)).drop("_et_tags", "_et_segs", "_et_d", "_et_depth")
 
 
 def with_desc_divs(df, html: str = "html", out: str = "desc_divs", class_substr: str = "desc"):

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # RFC 3986 appendix B: scheme, authority, path, query, fragment.
-URL_RE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+URL_RE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 RELATIVE_SCHEMES = ("http", "https", "ftp", "file", "")
 
 
@@ -75,8 +75,19 @@ def remove_dot_segments(segments: Column) -> Column:
     return F.when(last.isin(".", ".."), F.array_append(resolved, F.lit(""))).otherwise(resolved)
 
 
+def clean_href(href) -> Column:
+    """An address without tabs and line breaks, and blanks and control characters before it."""
+    return F.regexp_replace(F.regexp_replace(_col(href), r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
+
+
 def url_join(base, href) -> Column:
     """Python ``urljoin(base, href)``."""
+    # bound once: an interpreted lambda would clean it again for every part
+    return F.element_at(F.transform(F.array(clean_href(href)), lambda h: join_clean(base, h)), 1)
+
+
+def join_clean(base, href) -> Column:
+    """``url_join`` for a cleaned ``href``."""
     b, h = _col(base), _col(href)
     bs, bn, bp, bq = url_scheme(b), url_netloc(b), url_path(b), url_query(b)
     hs, hn, hp, hq, hf = url_scheme(h), url_netloc(h), url_path(h), url_query(h), url_fragment(h)
@@ -120,9 +131,9 @@ def route_content_type(url, content_type) -> Column:
 
 
 def page_slug(url, kind) -> Column:
-    """Path stripped of '/', '/' -> '_', plus '_' + query ('=' and '&' ->
+    """Path (without ``;params``) stripped of '/', '/' -> '_', plus '_' + query ('=' and '&' ->
     '_'); an empty path is 'root' for HTML and 'pdf_root' for PDF."""
-    path = F.regexp_replace(url_path(url), r"^/+|/+$", "")
+    path = F.regexp_replace(F.regexp_replace(url_path(url), r";[^/]*$", ""), r"^/+|/+$", "")
     query = F.translate(url_query(url), "=&", "__")
     empty = F.when(_col(kind) == "pdf", F.lit("pdf_root")).otherwise(F.lit("root"))
     base = F.when(path == "", empty).otherwise(F.translate(path, "/", "_"))

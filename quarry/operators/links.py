@@ -27,7 +27,8 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     # url_join runs in a code-generated projection (its repeated URL parts are
     # computed once there); the one-element explode above it keeps later
     # filters on dst_url from being inlined below, where they would re-run it
-    resolved = ex.select("src_url", "pos", "href", U.url_join(F.col("src_url"), F.col("href")).alias("_d"))
+    ex = ex.withColumn("_h", U.clean_href("href"))
+    resolved = ex.select("src_url", "pos", "href", U.join_clean(F.col("src_url"), F.col("_h")).alias("_d"))
     return resolved.select("src_url", "pos", "href", F.explode(F.array("_d")).alias("dst_url"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import cache as cache_ops
 from quarry.operators import chunking, dedup, embed, ids, search
 from quarry.session import checkpoint_root
 
@@ -90,27 +91,33 @@ def ingest_incremental(records: DataFrame, existing: DataFrame | None, limit: in
                          existing=None if existing is None else existing.select("chunk_hash"))
 
 
-def query_vectors(queries: DataFrame, qid: str, text: str, dim: int = embed.DEFAULT_DIM, embedder=None) -> DataFrame:
-    """E1 for a table of query texts -> ``(qid, qvec)``."""
-    q = queries.select(F.col(qid).alias("qid"), F.col(text).alias("qtext"))
+def query_vectors(queries: DataFrame, qid: str, text: str, dim: int = embed.DEFAULT_DIM, embedder=None,
+                  cache: DataFrame | None = None) -> DataFrame:
+    """J3 (with a ``cache`` of ``query, embedding``) and E1 for a table of query texts -> ``(qid, qvec)``."""
+    q = queries.select(F.col(qid).alias("qid"), F.coalesce(F.col(text), F.lit("")).alias("qtext"))
+    if cache is not None:
+        found = cache_ops.cache_lookup(q.withColumnRenamed("qtext", "query"), cache, "query", dim=dim, embedder=embedder)
+        return found.select("qid", "qvec")
     return embed.embed_text(q, "qtext", "qvec", dim, embedder).select("qid", "qvec")
 
 
 def search_topk(queries: DataFrame, store: DataFrame, k: int = 10, n: int = 4,
-                qid: str = "qid", text: str = "qtext", carry: Sequence[str] = ("doc_id",), embedder=None) -> DataFrame:
+                qid: str = "qid", text: str = "qtext", carry: Sequence[str] = ("doc_id",), embedder=None,
+                cache: DataFrame | None = None) -> DataFrame:
     """C4: J3/E1 -> T1 -> J2 -> T2 for a table of queries."""
-    qv = query_vectors(queries, qid, text, embedder=embedder)
+    qv = query_vectors(queries, qid, text, embedder=embedder, cache=cache)
     hits = search.topk_inner_product(qv, store, k=k, carry=list(carry), model_id=embed.model_id(embedder))
     return search.retrieve_best(hits, n)
 
 
 def search_mmr(queries: DataFrame, store: DataFrame, k: int = 10, rerank_k: int = 4, lambda_param: float = 0.5,
-               qid: str = "qid", text: str = "qtext", qvecs: DataFrame | None = None, embedder=None) -> DataFrame:
+               qid: str = "qid", text: str = "qtext", qvecs: DataFrame | None = None, embedder=None,
+               cache: DataFrame | None = None) -> DataFrame:
     """E1 -> T1 (k candidates, carrying their vectors and texts) -> query
     cosine -> T3 MMR picks ``rerank_k``.  Returns ``qid, pick, rank, id, chunk_text``."""
     from quarry.operators import rerank
 
-    qv = qvecs if qvecs is not None else query_vectors(queries, qid, text, embedder=embedder)
+    qv = qvecs if qvecs is not None else query_vectors(queries, qid, text, embedder=embedder, cache=cache)
     # the query vectors are read twice (search, query cosine): keep them
     # instead of running the embedder again
     checkpoint_root(store.sparkSession)
@@ -121,7 +128,8 @@ def search_mmr(queries: DataFrame, store: DataFrame, k: int = 10, rerank_k: int
 
 
 def rag_prompts(requests: DataFrame, store: DataFrame, key: Sequence[str] = ("request_id",), prompt: str = "prompt",
-                k: int = 10, rerank_k: int = 4, lambda_param: float = 0.5, embedder=None) -> DataFrame:
+                k: int = 10, rerank_k: int = 4, lambda_param: float = 0.5, embedder=None,
+                cache: DataFrame | None = None) -> DataFrame:
     """F11 -> F9 (short-circuit) -> C5 -> F10 -> A6 -> F12 for a table of
     requests.  Returns ``key..., kind in {error, intent, prompt}, text``.
 
@@ -140,7 +148,7 @@ def rag_prompts(requests: DataFrame, store: DataFrame, key: Sequence[str] = ("re
     ask = v.filter((F.col("status") == "ok") & F.col("_intent").isNull()).select(*key, "prompt_clean").withColumn(
         "_row", F.monotonically_increasing_id())
     ask = ids.assign_ids(ask, ["_row"], 0, "qid").select(*key, "qid", "prompt_clean")
-    qv = query_vectors(ask, "qid", "prompt_clean", embedder=embedder)
+    qv = query_vectors(ask, "qid", "prompt_clean", embedder=embedder, cache=cache)
     picks = search_mmr(None, store, k, rerank_k, lambda_param, qvecs=qv, embedder=embedder)
     ctx = dialog.context_concat(
         picks.select("qid", F.col("pick").alias("rank"), T.clean_qa_lines("chunk_text").alias("chunk_text")))

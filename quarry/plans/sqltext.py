@@ -106,31 +106,44 @@ def values(rows: Sequence[Sequence], cols: Sequence[tuple[str, str]]) -> str:
 
 
 # ---------------------------------------------------------------- HTML (RE2)
-TOKEN = r"(?is)<!--.*?-->|<script\b[^>]*>(.*?)</script\s*>|<style\b[^>]*>(.*?)</style\s*>|<[^>]*>"
+REST = r"""(?:[^>"']|"[^"]*"|'[^']*')*>"""
+TAG = r"<[A-Za-z/!?]" + REST + r"|<[A-Za-z/!?][^>]*>"
+CODE = r"<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+TOKEN = r"(?is)<!--.*?-->|<script\b[^>]*>(.*?)</script\s*>|<style\b[^>]*>(.*?)</style\s*>|" + TAG
+ATTRIBUTE = r"""[\s/]+[^\s=/>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+ATTRIBUTE_NAME = r"""^[\s/]+([^\s=/>"']+)"""
+ATTRIBUTE_VALUE = r"""=\s*("[^"]*"|'[^']*'|[^\s"'>]+)$"""
+
+
+def lone_lt(e: str) -> str:
+    return f"regexp_replace({e}, '<([^A-Za-z/!?])', '&lt;\\1', 'g')"
+
+
+def without_code(e: str) -> str:
+    return f"regexp_replace({e}, {q('(?is)<!--.*?-->|' + CODE)}, ' ', 'g')"
 
 
 def text_nodes(e: str) -> str:
-    pieces = f"string_split(regexp_replace({e}, '{TOKEN}', chr(1) || '\\1\\2' || chr(1), 'g'), chr(1))"
+    pieces = f"string_split(regexp_replace({lone_lt(e)}, {q(TOKEN)}, chr(1) || '\\1\\2' || chr(1), 'g'), chr(1))"
     return f"list_filter(list_transform({pieces}, lambda p: {ustrip(decode_entities('p'))}), lambda p: p <> '')"
 
 
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
-BODY_TOKEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[^>]*>|[^<]+"
+BODY_TOKEN = r"(?is)<!--.*?-->|" + CODE + "|" + TAG + r"|[^<]+"
 
 
 def element_text_lines(body_e: str) -> str:
     """P4 (text inside an element below body) as a fold over body tokens."""
-    void = ", ".join(q(v) for v in VOID)
-    name = r"lower(regexp_extract(t, '^<([A-Za-z][A-Za-z0-9]*)', 1))"
+    void = ", ".join(q(v) for v in [*VOID, "script", "style"])
+    name = r"lower(regexp_extract(t, '^</?([A-Za-z][A-Za-z0-9]*)', 1))"
     is_code = r"regexp_matches(t, '(?is)^<(script|style)\b')"
-    delta = (r"CASE WHEN NOT starts_with(t, '<') THEN 0 WHEN starts_with(t, '</') THEN -1 "
-             r"WHEN starts_with(t, '<!') OR starts_with(t, '<?') THEN 0 "
-             f"WHEN {is_code} THEN 0 "
-             f"WHEN {name} IN ({void}) OR " + r"regexp_matches(t, '/\s*>\z') THEN 0 ELSE 1 END")
+    delta = (r"CASE WHEN NOT starts_with(t, '<') OR starts_with(t, '<!') OR starts_with(t, '<?') THEN 0 "
+             f"WHEN {name} IN ({void}) THEN 0 WHEN starts_with(t, '</') THEN -1 "
+             r"WHEN regexp_matches(t, '/\s*>\z') THEN 0 ELSE 1 END")
     inner = r"regexp_extract(t, '(?is)^<(?:script|style)\b[^>]*>(.*)</(?:script|style)\s*>\z', 1)"
     keep = f"CASE WHEN {is_code} THEN {inner} WHEN NOT starts_with(t, '<') AND acc.d > 0 THEN t END"
-    fold = (f"list_reduce(list_prepend('<!---->', regexp_extract_all({body_e}, {q(BODY_TOKEN)}, 0)), "
-            f"lambda acc, t: {{'d': acc.d + ({delta}), 'out': CASE WHEN ({keep}) IS NOT NULL "
+    fold = (f"list_reduce(list_prepend('<!---->', regexp_extract_all({lone_lt(body_e)}, {q(BODY_TOKEN)}, 0)), "
+            f"lambda acc, t: {{'d': greatest(acc.d + ({delta}), 0), 'out': CASE WHEN ({keep}) IS NOT NULL "
             f"THEN list_append(acc.out, {keep}) ELSE acc.out END}}, {{'d': 0, 'out': []::VARCHAR[]}}).out")
     return f"list_filter(list_transform({fold}, lambda p: {ustrip(decode_entities('p'))}), lambda p: p <> '')"
 
@@ -145,20 +158,21 @@ def title(e: str) -> str:
 
 
 def attr(tag: str, name: str) -> str:
-    pat = q("\\s(?i:" + name + ")\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)")
-    raw = f"regexp_extract({tag}, {pat}, 1)"
-    val = (f"CASE WHEN {raw} = '' THEN NULL WHEN {raw}[1] IN ('\"', '''') "
+    of_name = (f"list_filter(regexp_extract_all({tag}, {q(ATTRIBUTE)}, 0), "
+               f"lambda attribute: lower(regexp_extract(attribute, {q(ATTRIBUTE_NAME)}, 1)) = {q(name)})[1]")
+    raw = f"regexp_extract({of_name}, {q(ATTRIBUTE_VALUE)}, 1)"
+    val = (f"CASE WHEN {raw} IS NULL OR {raw} = '' THEN NULL WHEN {raw}[1] IN (chr(34), chr(39)) "
            f"THEN {raw}[2:length({raw}) - 1] ELSE {raw} END")
     return decode_entities(val)
 
 
 def start_tags(e: str, tag: str) -> str:
-    return f"regexp_extract_all({e}, {q('(?is)<' + tag + chr(92) + 's[^>]*>')}, 0)"
+    pattern = "(?is)<" + tag + r"\s" + REST + "|<" + tag + r"\s[^>]*>"
+    return f"regexp_extract_all({without_code(e)}, {q(pattern)}, 0)"
 
 
 def meta(e: str, name: str) -> str:
-    pat = q(("\\s(?i:name)\\s*=\\s*(?:\"NAME\"|'NAME'|NAME[\\s/>])").replace("NAME", name))
-    first = f"list_filter({start_tags(e, 'meta')}, lambda m: regexp_matches(m, {pat}))[1]"
+    first = f"list_filter({start_tags(e, 'meta')}, lambda m: {attr('m', 'name')} = {q(name)})[1]"
     return attr(first, "content")
 
 
@@ -168,28 +182,29 @@ def attr_list(e: str, tag: str, name: str) -> str:
 
 def element_texts_ctes(src: str, key: str, html: str, tag: str, class_substr: str | None, name: str) -> str:
     """CTEs producing ``name(key, texts list)`` for P6/P7."""
-    tag_re = q("(?is)(<" + tag + "\\b[^>]*>|</" + tag + "\\s*>)")
+    tag_re = q("(?is)(<!--.*?-->|" + CODE + "|<" + tag + r"\b" + REST + "|<" + tag + r"\b[^>]*>|</" + tag + r"\s*>)")
+    code = r"'(?is)^<(!--|script\b|style\b)'"
+    close = "coalesce(list_filter(range(j + 1, len(tags) + 1), lambda x: depth[x] = depth[j] - 1)[1], len(tags) + 1)"
+    piece = f"(CASE WHEN x > j + 1 AND regexp_matches(tags[x - 1], {code}) THEN tags[x - 1] ELSE '' END || segs[x])"
     cls = f" AND coalesce(contains({attr('tags[j]', 'class')}, {q(class_substr)}), false)" if class_substr else ""
     return f"""{name}_a AS (
   SELECT {key}, regexp_extract_all({html}, {tag_re}, 1) AS tags, string_split_regex({html}, {tag_re}) AS segs FROM {src}
 ), {name}_b AS (
   SELECT *, list_transform(tags, lambda t: CASE WHEN starts_with(t, '</') THEN -1
-                                                WHEN regexp_matches(t, '/\\s*>\\z') THEN 0 ELSE 1 END) AS d FROM {name}_a
+                                                WHEN regexp_matches(t, {code}) OR regexp_matches(t, '/\\s*>\\z') THEN 0 ELSE 1 END) AS d FROM {name}_a
 ), {name}_c AS (
   SELECT *, list_transform(range(1, len(d) + 1), lambda i: list_sum(d[1:i])) AS depth FROM {name}_b
 ), {name} AS (
   SELECT {key}, list_filter(list_transform(
       list_filter(range(1, len(tags) + 1), lambda j: d[j] = 1{cls}),
-      lambda j: array_to_string(flatten(list_transform(
-          segs[j + 1 : coalesce(list_filter(range(j + 1, len(tags) + 1), lambda x: depth[x] = depth[j] - 1)[1], len(tags) + 1)],
-          lambda s: {text_nodes('s')})), chr(10))),
+      lambda j: array_to_string(flatten(list_transform(range(j + 1, {close} + 1), lambda x: {text_nodes(piece)})), chr(10))),
     lambda x: x <> '') AS texts
   FROM {name}_c
 )"""
 
 
 # ---------------------------------------------------------------- URLs (RE2)
-URL_RE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+URL_RE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
 def url_part(e: str, i: int) -> str:
@@ -201,6 +216,7 @@ def suffix(query: str, frag: str) -> str:
 
 
 def url_join(b: str, h: str) -> str:
+    h = f"regexp_replace(regexp_replace({h}, '[\\t\\r\\n]', '', 'g'), '^[\\x00-\\x20]+', '')"
     bs, bn, bp, bq = f"lower({url_part(b, 1)})", url_part(b, 2), url_part(b, 3), url_part(b, 4)
     hs, hn, hp, hq, hf = f"lower({url_part(h, 1)})", url_part(h, 2), url_part(h, 3), url_part(h, 4), url_part(h, 5)
     base_parts = f"string_split({bp}, '/')"
@@ -227,7 +243,7 @@ def url_join(b: str, h: str) -> str:
 
 
 def slug(url: str, kind: str) -> str:
-    path = f"regexp_replace({url_part(url, 3)}, '^/+|/+$', '', 'g')"
+    path = f"regexp_replace(regexp_replace({url_part(url, 3)}, ';[^/]*$', ''), '^/+|/+$', '', 'g')"
     query = f"translate({url_part(url, 4)}, '=&', '__')"
     base = f"(CASE WHEN {path} = '' THEN (CASE WHEN {kind} = 'pdf' THEN 'pdf_root' ELSE 'root' END) ELSE replace({path}, '/', '_') END)"
     return f"(CASE WHEN {query} <> '' THEN {base} || '_' || {query} ELSE {base} END)"

@@ -119,3 +119,13 @@ def test_pdf_pages_are_not_parsed_as_html(spark):
     out = {r.page_id: r for r in extract_pages(pages, pdf_content=content).collect()}
     assert not out[1].links and (out[1].type, out[1].content) == ("pdf", "Line one\nLine two")
     assert out[2].links == ["http://h.example.com/y"] and out[2].type is None and out[2].content is None
+
+
+def test_cached_queries_give_the_same_hits(spark):
+    from quarry.operators import embed
+
+    st = jobs.ingest_rebuild(_records(spark, [(i, f"word{i} word{i + 1} common") for i in range(12)])).checkpoint()
+    qs = spark.createDataFrame([(i, f"word{2 * i}") for i in range(6)] + [(6, None)], "qid long, qtext string")
+    cache = embed.embed_text(qs.where("qid < 3").select(F.col("qtext").alias("query")), "query", "embedding")
+    rows = [sorted(map(tuple, jobs.search_topk(qs, st, k=3, n=2, cache=c).collect())) for c in (None, cache)]
+    assert rows[0] == rows[1] and len(rows[0]) == 14

@@ -12,7 +12,7 @@ BASES = ["http://a.example.com/b/c/d;p?q#f", "https://h.example.org/dir/page.htm
 HREFS = ["g", "./g", "g/", "/g", "//g.example.net/x", "?y", "g?y", "#s", "g#s", "", ".", "./", "..", "../",
          "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", ".g", "g..", "..g", "./../g", "./g/.",
          "g/./h", "g/../h", "mailto:x@example.com", "https://other.example.com/p", "HTTP://UP.example.com/Z",
-         "a//b", "?", "#"]
+         "a//b", "?", "#", "\n  /ws ", "/p#a\nb", "\t g\r\n/h", "\x00\x1f x"]
 
 
 def test_url_join_matches_urllib(spark):
@@ -59,3 +59,39 @@ def test_direct_body_text_only_in_body_text(spark):
         H.page_text_lines("html").alias("p4"), H.page_text_clean("html").alias("p5")).first()
     assert r.p4 == ["in p", "after br", "d", "s"]  # body *::text
     assert r.p5 == "lead\nin p\nafter br\ntail\nend\nd\ns"  # body ::text
+
+
+MESSY = [
+    ("<div>a</div></br><p>b</p>", ["a", "b"]),
+    ("</p><div>x</div>", ["x"]),
+    ("<p>5 < 6 apples</p>", ["5 < 6 apples"]),
+    ("<p title=\"x > y\">in</p>", ["in"]),
+    ("<p>a<img alt='<p>no</p>'>b</p>", ["a", "b"]),
+    ("<div>a</script>b</div><p>c</p>", ["a", "b", "c"]),
+    ("<div><!-- <p>hidden</p> -->seen</div>", ["seen"]),
+]
+
+
+def test_text_of_messy_pages(spark):
+    df = spark.createDataFrame([(i, f"<html><body>{h}</body></html>") for i, (h, _) in enumerate(MESSY)], "i int, html string")
+    got = {r.i: r.t for r in df.select("i", H.page_text_lines("html").alias("t")).collect()}
+    assert [got[i] for i in range(len(MESSY))] == [t for _, t in MESSY]
+
+
+def test_tags_of_messy_pages(spark):
+    html = (
+        "<html><head><meta name=description content='a > b'><meta data-x=\"name='keywords'\" name=\"keywords\" content=\"k\"></head><body>"
+        "<a title=\"x > y\" href=\"/gt\">g</a><a data-x=\"foo href=bad\" href=\"/good\">h</a><!-- <a href=\"/no\">n</a> -->"
+        "<script>var a = '<a href=\"/js\">'; // <article>s</article></script><img alt='> src=x' src=/i.png>"
+        "<!-- <article>hidden</article> --><article>A<!-- </article> -->B<script>\"</article>\"</script>C</article></body></html>"
+    )
+    df = spark.createDataFrame([(html,)], "html string")
+    r = df.select(H.page_links_raw("html").alias("links"), H.page_images("html").alias("img"), H.page_meta("html", "description").alias("d"),
+                  H.page_meta("html", "keywords").alias("k")).first()
+    assert (r.links, r.img, r.d, r.k) == (["/gt", "/good"], ["/i.png"], "a > b", "k")
+    assert H.with_article_texts(df, "html", "ar").first().ar == ['A\nB\n"</article>"\nC']
+
+
+def test_slug_drops_params(spark):
+    df = spark.createDataFrame([("http://x.example.com/a/b;v=1?p=2",)], "u string")
+    assert df.select(U.page_slug("u", F.lit("html"))).first()[0] == "a_b_p_2"
