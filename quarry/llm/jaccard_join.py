@@ -10,9 +10,10 @@ order, so only these prefixes are joined.
   ``SMALL`` nodes gives its pairs.  Shared prefix shingles are summed per pair;
   lengths and the sum bound the overlap, which drops most pairs exactly.
 * Longer postings -- groups of near copies -- don't give all their pairs.  In a
-  few rounds each node is compared with one centre of its postings; then nodes
-  outside a posting's main component are compared with the nodes of other
-  components there.  Pairs inside a component can't change the result.
+  few rounds each node is compared with one centre of its postings, first with
+  the node that has the fewest shingles of its own; then nodes outside a
+  posting's main component are compared with the nodes of other components
+  there.  Pairs inside a component can't change the result.
 * Overlaps are counted by vertical partitioning: sets are cut into
   ``FRAGMENTS`` ranges of the global order, the overlap of two sets is counted
   in every range separately, and the counts are summed per pair.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import pick, positional, row_key, stored
@@ -35,7 +36,7 @@ from quarry.llm.connect import components
 from quarry.llm.shingles import Shingler
 
 PERCENT = 80
-FRAGMENTS = 8
+FRAGMENTS, FIRST = 8, 2
 SMALL = 32
 ROUNDS = 3
 #: documents whose shingles are counted for the global order, and the most shingles that are put last
@@ -165,18 +166,38 @@ def fragments(texts: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return stored(found.mapInArrow(cut, "node long, k int, seg array<long>"), "fragments")
 
 
-def similar(pairs: DataFrame, segs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b; both with segments) those whose Jaccard similarity is ``PERCENT`` or more."""
-    left = segs.join(_bounded(pairs), F.col("node") == F.col("a")).select("a", "b", "k", F.col("seg").alias("x"))
+def _overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with ``more``: shared shingles in the ranges of ``segs``."""
+    left = segs.join(_bounded(pairs.select("a", "b")), F.col("node") == F.col("a")).select("a", "b", "k", F.col("seg").alias("x"))
     met = left.join(segs.select(F.col("node").alias("b"), "k", F.col("seg").alias("y")), ["b", "k"])
-    counts = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c")).groupBy("a", "b").agg(F.sum("c").alias("both"))
-    na, nb = (sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    linked = counts.join(na, "a").join(nb, "b")
-    return linked.where(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    counts = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c")).groupBy("a", "b").agg(F.sum("c").alias("more"))
+    return pairs.join(counts, ["a", "b"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
+
+
+def similar(pairs: DataFrame, segs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b; both with segments) those whose Jaccard similarity is ``PERCENT`` or more.
+
+    The overlaps in the last ``FIRST`` ranges are summed first; where these and
+    all shingles of the other ranges are too few, the others aren't counted.
+    """
+    first, rest = segs.where(F.col("k") >= FRAGMENTS - FIRST), segs.where(F.col("k") < FRAGMENTS - FIRST)
+    seen = first.groupBy("node").agg(F.sum(F.size("seg")).alias("seen"))
+    known = sizes.select("node", "n").join(seen, "node", "left").select("node", "n", (F.col("n") - F.coalesce("seen", F.lit(0))).alias("left"))
+    ka, kb = (known.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in known.columns]) for x in "ab")
+
+    def enough(both):
+        return 100 * both >= PERCENT * (F.col("n_a") + F.col("n_b") - both)
+
+    some = _overlaps(pairs.join(ka, "a").join(kb, "b"), first).withColumnRenamed("more", "both")
+    open_pairs = stored(some.where(enough(F.col("both") + F.least("left_a", "left_b"))), "open_pairs")
+    return _overlaps(open_pairs, rest).where(enough(F.col("both") + F.col("more"))).select("a", "b")
 
 
-def _length_ok(x: str, y: str):
-    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
+def _can(x: str, y: str) -> Column:
+    """Whether two nodes may be similar by their lengths and by what can be shared of the one whose prefix ends first."""
+    n = F.col(f"n_{x}") + F.col(f"n_{y}")
+    most = F.least(F.when(F.col(f"end_{x}") <= F.col(f"end_{y}"), F.col(f"top_{x}")).otherwise(F.col(f"top_{y}")), f"n_{x}", f"n_{y}")
+    return 100 * most >= PERCENT * (n - most)
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -187,9 +208,9 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _pairs(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
     """(a, b), a < b: nodes of different components that share a posting, where ``condition`` holds of the
-    rows x of ``left`` and y of ``right`` and their lengths allow similarity; a row for each posting."""
+    rows x of ``left`` and y of ``right`` and their bounds allow similarity; a row for each posting."""
     x, y = (rows.select("s", *[F.col(c).alias(f"{c}_{i}") for c in rows.columns if c != "s"]) for rows, i in ((left, "x"), (right, "y")))
-    met = x.join(y, "s").where((F.col("comp_x") != F.col("comp_y")) & _length_ok("n_x", "n_y") & F.expr(condition))
+    met = x.join(y, "s").where((F.col("comp_x") != F.col("comp_y")) & _can("x", "y") & F.expr(condition))
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
 
 
@@ -197,24 +218,34 @@ def near_links(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b) between nodes: enough of them to connect every component."""
     posts = postings(rows)
     sizes = rows.where("prefix IS NOT NULL").select("node", "n", "p", "cut_common", "cut").dropDuplicates(["node"])
+    # prefix shingles without a posting aren't in any set whose prefix ends later
+    tops = posts.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(sizes, "node").select(
+        "node", (F.col("n") - F.col("p") + F.col("c")).alias("top"), F.struct("cut_common", "cut").alias("end")
+    )
+    posts = posts.join(stored(tops, "tops"), "node")
     small, large = posts.where(F.col("size") <= SMALL), posts.where(F.col("size") > SMALL)
     links = texts.sparkSession.createDataFrame([], "a long, b long")
     labels = None
     in_large = stored(large.groupBy("node").agg(F.count(F.lit(1)).alias("h")), "in_large")
     if not in_large.isEmpty():
         segs = fragments(texts, in_large.select("node"), rows)
+        # what has no shingles of its own, like the text that a group was copied from, is nearest to the others
+        own = in_large.join(sizes, "node").select("node", (1 - F.col("h") / F.col("p")).alias("own"))
         for r in range(ROUNDS):
-            now = stored(_labelled(large.select("s", "node", "n"), labels), "large")
-            centre = now.groupBy("s").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), "node", "n", "comp")).alias("z")).select("s", F.col("z.node").alias("a"), F.col("z.n").alias("na"), F.col("z.comp").alias("ca"))
-            met = now.join(centre, "s").where((F.col("comp") != F.col("ca")) & _length_ok("n", "na"))
-            best = met.groupBy("node", "a").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-            found = similar(stored(best.select("a", F.col("node").alias("b")), "stars"), segs, sizes)
+            now = stored(_labelled(large.select("s", "node", "n", "top", "end").join(own, "node"), labels), "large")
+            order = F.struct("own", "node") if r == 0 else F.struct(F.xxhash64("node", F.lit(r)), "node")
+            centre = now.groupBy("s").agg(F.min(F.struct(order, "node", "n", "top", "end", "comp")).alias("z"))
+            centre = centre.select("s", *[F.col(f"z.{c}").alias(f"{c}_z") for c in ("node", "n", "top", "end", "comp")])
+            here = now.select("s", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "top", "end", "comp")])
+            met = here.join(centre, "s").where((F.col("comp_x") != F.col("comp_z")) & _can("x", "z"))
+            best = met.groupBy("node_x", "node_z").agg(F.count(F.lit(1)).alias("c")).groupBy("node_x").agg(F.max_by("node_z", F.struct("c", "node_z")).alias("a"))
+            found = similar(stored(best.select("a", F.col("node_x").alias("b")), "stars"), segs, sizes)
             links = stored(links.union(found), "links")
             labels = stored(components(links), "labels")
     # every pair of nodes of different components, once for each posting that has both
-    now = stored(_labelled(large.select("s", "node", "n"), labels), "large")
+    now = stored(_labelled(large.select("s", "node", "n", "top", "end"), labels), "large")
     main = now.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    one = stored(_labelled(small.select("s", "node", "n"), labels), "small")
+    one = stored(_labelled(small.select("s", "node", "n", "top", "end"), labels), "small")
     now = now.join(main, "s")
     odd = now.where("comp != main")
     # in a long posting one of the two is outside its main component; if both are, they are taken in one order
