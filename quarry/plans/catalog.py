@@ -652,10 +652,10 @@ def _prompt_sql(ctx: str, query: str) -> str:
 @register("build_prompt", f"""WITH {SQL_CONV}
   SELECT u.conv_id, u.turn, {_prompt_sql("coalesce(" + S.clean_qa('a.text') + ", '')", 'u.text')} AS prompt
   FROM conv u LEFT JOIN conv a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
-  WHERE u.role = 'user' AND u.text IS NOT NULL""")
+  WHERE u.role = 'user'""")
 def q_build_prompt(spark, sf):
     c = _conv(spark, sf)
-    u = c.filter((F.col("role") == "user") & F.col("text").isNotNull()).select("conv_id", "turn", "text")
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", "text")
     a = c.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), T.clean_qa_lines("text").alias("ctx"))
     j = u.join(a, ["conv_id", "turn"], "left")
