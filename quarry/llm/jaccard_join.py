@@ -141,17 +141,19 @@ def postings(sets: DataFrame) -> DataFrame:
 def fragments(texts: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, k, seg): the sets of ``nodes`` (node), cut by the top bits of the hash, from one text of each.
 
-    ``rows`` is the set table.
+    ``rows`` is the set table.  Repeated rows share the key; a node's segments
+    from all of them are one (only segments of such nodes are shuffled for it).
     """
     wanted = rows.where("prefix IS NOT NULL").select("node", "d", "t").join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("d", "t")).alias("k"))
-    keys = wanted.select("node", F.col("k.d").alias("d"), F.col("k.t").alias("t"))
-    found = texts.select("d", "t", "raw").join(_bounded(stored(keys, "wanted")), ["d", "t"]).select("node", "raw")
+    keys = stored(wanted.select("node", F.col("k.d").alias("d"), F.col("k.t").alias("t")), "wanted")
+    keys = rows.select("d", "t").join(_bounded(keys), ["d", "t"]).groupBy("node", "d", "t").agg((F.count(F.lit(1)) > 1).alias("many"))
+    found = texts.select("d", "t", "raw").join(_bounded(stored(keys, "wanted")), ["d", "t"]).select("node", "many", "raw")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh, shift = Shingler(), np.uint64(64 - FRAGMENTS.bit_length() + 1)
         for batch in batches:
             done = set()
-            for node, raw in zip(batch.column("node").to_pylist(), batch.column("raw"), strict=True):
+            for node, many, raw in zip(batch.column("node").to_pylist(), batch.column("many").to_pylist(), batch.column("raw"), strict=True):
                 if node in done:
                     continue
                 done.add(node)
@@ -159,11 +161,13 @@ def fragments(texts: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
                 part = s >> shift
                 ks, first = np.unique(part, return_index=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([node] * len(ks), pa.int64()), pa.array(ks.astype(np.int32)), pa.array([x.view(np.int64) for x in np.split(s, first[1:])], pa.list_(pa.int64()))],
-                    names=["node", "k", "seg"],
+                    [pa.array([node] * len(ks), pa.int64()), pa.array([many] * len(ks)), pa.array(ks.astype(np.int32)), pa.array([x.view(np.int64) for x in np.split(s, first[1:])], pa.list_(pa.int64()))],
+                    names=["node", "many", "k", "seg"],
                 )
 
-    return stored(found.mapInArrow(cut, "node long, k int, seg array<long>"), "fragments")
+    segs = stored(found.mapInArrow(cut, "node long, many boolean, k int, seg array<long>"), "fragments")
+    once = stored(segs.where("many").drop("many").dropDuplicates(["node", "k"]), "fragments")
+    return segs.where("NOT many").drop("many").unionByName(once)
 
 
 def _overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:

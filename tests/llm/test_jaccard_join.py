@@ -65,6 +65,25 @@ def test_one_of_each(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == groups
 
 
+def test_repeated_rows_in_many_partitions(spark):
+    rng, rows = random.Random(4), []
+    for g in range(12):
+        text = messy.words(rng, 200).split()
+        half = text[:130] + messy.words(rng, 70).split()  # similarity about 0.47
+        near = [*text[:190], *messy.words(rng, 10).split()]
+        rows += [(None if g % 3 == 0 else 10 * g + k, " ".join(x)) for k, x in enumerate((text, half, near)) for _ in range(4)]
+    centre = messy.words(rng, 200).split()
+    for k in range(50):  # postings of more than 32 nodes
+        copy = list(centre)
+        copy[k * 4] = f"w{k}"
+        half = centre[:130] + messy.words(rng, 70).split()
+        rows += [(1000 + k, " ".join(copy)), *[(2000 + k, " ".join(half))] * 3]
+    data = [(i, t, None, None, 0, "", k, "", "") for k, (i, t) in enumerate(rows)]
+    df = messy.table(spark, data).repartition(24)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_groups(df).collect()]
+    assert sorted(got, key=repr) == brute(rows)[0]
+
+
 def test_empty_table(spark):
     assert jaccard_join.near_groups(messy.table(spark, [])).count() == 0
 
