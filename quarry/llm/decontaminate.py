@@ -10,8 +10,11 @@ so sizes grow with the logarithm of item lengths.
 A fingerprint within ``RADIUS`` bits of an item's agrees with it up to
 ``RADIUS // BLOCKS`` bits in one of ``BLOCKS`` blocks; tables of all block
 values that near an item's find every such fingerprint, none is missed.  Full
-distances are taken of these only, and the item-sized window around a hit is
-verified by weighted Jaccard similarity (weights: how often a shingle occurs).
+distances are taken of these only.  Besides, windows are dealt along the item so
+closely that one of them is unchanged in every copy that is similar enough
+(``run_length``); their fingerprints are found as they are.  The item-sized
+windows around a hit are verified by weighted Jaccard similarity (weights: how
+often a shingle occurs).
 
 Scale: a map-only pass over the documents; nothing is shuffled.  Items go to
 the tasks in blocks of bounded size, one pass for each block.
@@ -50,6 +53,19 @@ def window_size(shingles: int) -> int:
     return max(s for s in LADDER if s <= max(1, -(-PERCENT * shingles // 100)))
 
 
+def run_length(shingles: int) -> int:
+    """Shingles in a row that stay unchanged in every copy that is ``PERCENT`` % similar.
+
+    With u unmatched shingles of the item and v of the copy, 100 u + ``PERCENT`` v
+    is at most 100 - ``PERCENT`` times the item's.  A change inside costs
+    ``WORDS`` - 1 of either; the longest run is shortest when changes are spread
+    evenly.
+    """
+    cuts = (100 - PERCENT) * shingles // ((100 + PERCENT) * (WORDS - 1))
+    unmatched = ((100 - PERCENT) * shingles - PERCENT * (WORDS - 1) * cuts) // 100
+    return -(-(shingles - unmatched) // (cuts + 1))
+
+
 def fingerprints(shingles: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
     """(size, SimHash of the window at every position) for rising sizes.
 
@@ -90,7 +106,7 @@ class Items:
 
     def __init__(self, items: list[tuple]):
         """``items``: (id, text)."""
-        self.items, keyed = [], {}
+        self.items, keyed, along = [], {}, {}
         shinglers = {}
         for item_id, text in items:
             words = plain(text).split()
@@ -102,7 +118,12 @@ class Items:
             size = window_size(len(s))
             k = len(self.items)
             self.items.append((item_id, len(words), s, Counter(s.tolist())))
-            prints = dict(fingerprints(s, [size]))[size]
+            run = run_length(len(s))
+            small = max(x for x in LADDER if x <= (run + 1) // 2)
+            prints = dict(fingerprints(s, [small, size]))
+            for at in {*range(0, len(s) - small, run - small + 1), len(s) - small} if len(s) > 1 else ():
+                along.setdefault((width, small), {}).setdefault(int(prints[small][at]), set()).add((k, at))
+            prints = prints[size]
             for at in sorted({0, len(s) - size}):
                 keyed.setdefault((width, size), []).append((int(prints[at]), k, at))
         bits = 64 // BLOCKS
@@ -115,15 +136,30 @@ class Items:
                 for b in range(BLOCKS):
                     tables[b, list(_near(f >> (b * bits) & ((1 << bits) - 1), bits, radius // BLOCKS))] = True
             self.index.setdefault(width, {})[size] = (radius, tables, rows)
-
-    def candidates(self, width: int, shingles: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(position, item, Hamming distance) of windows within the radius; the position is where the item would start."""
-        bits, sizes = 64 // BLOCKS, sorted(self.index[width])
+        self.along = {}
+        for (width, size), found in along.items():
+            values = np.array(sorted(found), dtype=np.uint64)
+            table = np.zeros(1 << bits, dtype=bool)
+            table[values & np.uint64((1 << bits) - 1)] = True
+            self.along.setdefault(width, {})[size] = (table, values, found)
+
+    def candidates(self, width: int, shingles: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(position, item, Hamming distance, shift) of windows within the radius; the item would start ``shift`` before the position."""
+        along = self.along.get(width, {})
+        bits, sizes = 64 // BLOCKS, sorted({*self.index[width], *along})
         mask = np.uint64((1 << bits) - 1)
         for lo in range(0, len(shingles), CHUNK):
             part = shingles[lo : lo + CHUNK + sizes[-1] - 1]
             for size, prints in fingerprints(part, sizes):
                 prints = prints[:CHUNK]
+                if size in along:
+                    table, values, found = along[size]
+                    at = np.flatnonzero(table[prints & mask])
+                    for i in at[np.isin(prints[at], values)].tolist():
+                        for k, shift in found[int(prints[i])]:
+                            yield lo + i, k, 0, shift
+                if size not in self.index[width]:
+                    continue
                 radius, tables, rows = self.index[width][size]
                 hit = np.zeros(len(prints), dtype=bool)
                 for b in range(BLOCKS):
@@ -132,12 +168,32 @@ class Items:
                 for f, k, shift in rows:
                     dist = np.bitwise_count(prints[at] ^ np.uint64(f))
                     for i in np.flatnonzero(dist <= radius):
-                        yield lo + int(at[i]) - shift, k, int(dist[i])
-
-    def similarity(self, k: int, window: np.ndarray) -> float:
-        mine, theirs = self.items[k][3], Counter(window.tolist())
-        both = sum(min(n, theirs[s]) for s, n in mine.items())
-        return both / (sum(mine.values()) + len(window) - both)
+                        yield lo + int(at[i]), k, int(dist[i]), shift
+
+    def best(self, k: int, shingles: np.ndarray, start: int) -> tuple[float, int]:
+        """(similarity, start) of the most similar item-sized window, the first of these, of all that a hit at ``start`` can belong to."""
+        s, mine = self.items[k][2:]
+        n = len(s)
+        # words put in or left out before the hit move it, each by one of the unmatched shingles
+        moved = (100 - PERCENT) * n // (100 + PERCENT)
+        lo, hi = max(0, start - moved), max(0, min(len(shingles) - n, start + moved))
+        span = shingles[lo : hi + n]
+        size = min(n, len(span))
+        if (100 + PERCENT) * int(np.isin(span, s).sum()) < PERCENT * (n + size):
+            return 0.0, start
+        span = span.tolist()
+        theirs = Counter(span[:size])
+        both = most = sum(min(c, theirs[x]) for x, c in mine.items())
+        first = lo
+        for i in range(hi - lo):
+            gone, new = span[i], span[i + n]
+            both -= theirs[gone] <= mine.get(gone, 0)
+            theirs[gone] -= 1
+            both += theirs[new] < mine.get(new, 0)
+            theirs[new] += 1
+            if both > most:
+                most, first = both, lo + i + 1
+        return most / (n + size - most), first
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -199,9 +255,9 @@ def _found(items: Items, shinglers: dict[int, Shingler], texts: pa.Array) -> Ite
         everything = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
         best: dict[tuple[int, int], tuple] = {}
         tried = set()
-        for at, k, dist in items.candidates(width, everything):
-            n = len(items.items[k][2])
-            for row in {int(np.searchsorted(edges, max(0, x), side="right")) - 1 for x in (at, at + n - 1)}:
+        for place, k, dist, shift in items.candidates(width, everything):
+            n, at = len(items.items[k][2]), place - shift
+            for row in {int(np.searchsorted(edges, max(0, x), side="right")) - 1 for x in (at, place, at + n - 1)}:
                 if row >= len(parts):
                     continue
                 size = len(parts[row])
@@ -209,7 +265,7 @@ def _found(items: Items, shinglers: dict[int, Shingler], texts: pa.Array) -> Ite
                 if not size or (row, k, start) in tried:
                     continue
                 tried.add((row, k, start))
-                s = items.similarity(k, parts[row][start : start + n])
+                s, start = items.best(k, parts[row], start)
                 if 100 * s >= PERCENT and (s, -start) > best.get((row, k), (0.0, 0))[:2]:
                     best[row, k] = (s, -start, dist)
         for (row, k), (s, start, dist) in sorted(best.items()):

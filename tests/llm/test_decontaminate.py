@@ -2,8 +2,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from quarry.llm.decontaminate import clean, find, fingerprints, plain
+from quarry.llm.decontaminate import Items, _found, clean, find, fingerprints, plain
+from quarry.llm.shingles import Shingler
 
 import messy
 
@@ -60,6 +62,30 @@ def test_finds_passages(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted((i for i, _ in rows if i not in dirty), key=repr)
 
 
+def test_recall_of_changed_copies():
+    rng = random.Random(8)
+    items = [(k, messy.words(rng, n)) for k, n in enumerate((12, 24, 40, 50, 60, 85, 130, 200, 300, 400))]
+    rows = []
+    for _, text in items:
+        w, most = text.split(), max(1, len(text.split()) // 45)
+        for where in ("head", "middle", "tail", "ends", "spread"):
+            for kind in ("replaced", "left out", "put in"):
+                for edits in {1, most - 1, most} - {0}:
+                    copy, n = list(w), len(w)
+                    ends = [x for j in range(edits) for x in (5 * j, n - 1 - 5 * j)][:edits]
+                    at = {"head": [5 * j for j in range(edits)], "middle": [n // 2 - 5 * (j - edits // 2) for j in range(edits)], "tail": [n - 1 - 5 * j for j in range(edits)], "ends": ends, "spread": [(2 * j + 1) * n // (2 * edits) for j in range(edits)]}[where]
+                    for i in sorted({min(n - 1, max(0, i)) for i in at}, reverse=True):
+                        copy[i : i + (kind != "put in")] = [] if kind == "left out" else [f"new{rng.random()}"]
+                    rows.append((len(rows), f"{messy.words(rng, 20)} {' '.join(copy)} {messy.words(rng, 20)}"))
+    rows += [(-1 - k, " ".join(t.split()[len(t.split()) // 10 : -(len(t.split()) // 12)])) for k, t in items]
+    index = Items(items)
+    found = _found(index, {w: Shingler(w) for w in index.index}, pa.array([t for _, t in rows]))
+    got = {(rows[row][0], items[k][0]) for row, k, *_ in found}
+    want = brute(rows, items)
+    assert len(want) > 200
+    assert got == want
+
+
 def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     assert find(messy.table(spark, []), bench).count() == 0
