@@ -29,7 +29,7 @@ from quarry.llm.common import pick, stored
 
 LENGTH = 2048
 END_ID = 1
-#: queues; sources beyond the largest share the last one.  LENGTH / QUEUES tokens are more than the roundings of a window.
+#: queues; sources beyond the largest share the last one, where they take turns document by document.  LENGTH / QUEUES tokens are more than the roundings of a window.
 QUEUES = 40
 #: words whose ids a task remembers, and the longest of them in bytes
 MEMO_WORDS, MEMO_BYTES = 400_000, 64
@@ -225,6 +225,23 @@ class Schedule:
             at, window = max(at, stop), window + 1
 
 
+def take_turns(tokens: DataFrame, parts: DataFrame, rates: DataFrame) -> DataFrame:
+    """(pid, skey, start, at): places in their shared queue of the documents of the sources of ``rates`` (skey, rate).
+
+    Each turn is that of the source that has had least for its rate, which is
+    the order of the documents' middles in their source, divided by its rate.
+    """
+    before = Window.partitionBy("skey").orderBy("pid").rowsBetween(Window.unboundedPreceding, 0)
+    bases = parts.join(rates, "skey").select("pid", "skey", "rate", (F.sum("n").over(before) - F.col("n")).alias("base"))
+    order = ["turn", "skey", "pid", "start"]
+    turns = tokens.select("pid", "skey", "start", "n").join(bases, ["pid", "skey"]).withColumn("turn", (F.col("base") + F.col("start") + F.col("n") / 2) / F.col("rate"))
+    dealt = stored(turns.select(*order, "n").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "turns")
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("m"))
+    firsts = sums.select("part", (F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).alias("first"))
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.withColumn("b", F.sum("n").over(inside) - F.col("n")).join(F.broadcast(firsts), "part").select("pid", "skey", "start", (F.col("first") + F.col("b")).alias("at"))
+
+
 def pack(docs: DataFrame, tokenizer: str, weights: Mapping[str, int] | None = None, length: int = LENGTH) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue.
 
@@ -235,8 +252,8 @@ def pack(docs: DataFrame, tokenizer: str, weights: Mapping[str, int] | None = No
     """
     tokens = token_table(docs, tokenizer)
     parts = stored(tokens.groupBy("pid", "skey").agg(F.sum("n").alias("n")), "token_counts")
-    largest = parts.groupBy("skey").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "skey").limit(QUEUES).collect()
-    many = len(largest) == QUEUES
+    largest = parts.groupBy("skey").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "skey").limit(QUEUES + 1).collect()
+    many = len(largest) > QUEUES
     own = {r["skey"]: i for i, r in enumerate(largest[: QUEUES - 1] if many else largest)}
     queue = F.lit(QUEUES - 1)
     for key, i in own.items():
@@ -248,7 +265,16 @@ def pack(docs: DataFrame, tokenizer: str, weights: Mapping[str, int] | None = No
         targets = totals
     else:
         by_key = {r["k"]: int(weights[r["s"]]) for r in docs.sparkSession.createDataFrame([(s,) for s in weights], "s string").select("s", F.xxhash64("s").alias("k")).collect()} if weights else {}
-        targets = [next((by_key.get(k, 1) for k, j in own.items() if j == i), 1) for i in range(len(totals))]
+        targets = [by_key.get(k, 1) for k in own]  # own queues are numbered in this order
+    rates = None
+    if many:
+        tail = parts.where(~F.col("skey").isin([*own])).groupBy("skey").agg(F.sum("n").alias("rate"))
+        if weights is not None:
+            given = docs.sparkSession.createDataFrame([*by_key.items()], "skey long, rate long")
+            tail = tail.drop("rate").join(F.broadcast(given), "skey", "left").select("skey", F.greatest(F.coalesce("rate", F.lit(1)), F.lit(1)).alias("rate"))
+        rates = stored(tail, "rates")
+        if weights is not None:
+            targets.append(int(rates.agg(F.sum("rate")).first()[0]))
     schedule = Schedule(phases(totals, targets, length), length)
     # a queue's tokens lie in the order (partition, source): offsets over partitions, then over the sources of one partition
     by_pid = queued.groupBy("queue", "pid").agg(F.sum("n").alias("m")).select(
@@ -257,7 +283,12 @@ def pack(docs: DataFrame, tokenizer: str, weights: Mapping[str, int] | None = No
     offsets = queued.withColumn(
         "b", F.sum("n").over(Window.partitionBy("queue", "pid").orderBy("skey").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     ).join(by_pid, ["queue", "pid"]).select("pid", "skey", "queue", (F.col("a") + F.col("b")).alias("base"))
+    if many:
+        offsets = offsets.where(F.col("queue") < QUEUES - 1)
     laid = tokens.join(offsets, ["pid", "skey"]).select("doc_id", "queue", (F.col("base") + F.col("start")).alias("at"), "n", "ids")
+    if many:
+        turns = tokens.join(take_turns(tokens, parts, rates), ["pid", "skey", "start"])
+        laid = laid.unionByName(turns.select("doc_id", F.lit(QUEUES - 1).alias("queue"), "at", "n", "ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

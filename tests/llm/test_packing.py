@@ -65,5 +65,27 @@ def test_targets_hold_until_a_queue_is_dry():
     assert all(a <= b for w in range(s.windows()) for a, b in zip(s.taken(w), s.taken(w + 1), strict=True))
 
 
+@pytest.mark.parametrize("weights", [None, {"s45": 5, "s50": 3, "s01": 4}])
+def test_sources_of_the_shared_queue_keep_their_shares(spark, weights):
+    rows = [(1000 * s + k, "one two three four five six seven eight " * 5, None, f"s{s:02}", 0, "", 0, "", "") for s in range(60) for k in range(60 if s < 39 else 40)]
+    out = pack(messy.table(spark, rows).coalesce(4), tokenizer_path(), weights).collect()
+    assert sorted({r["queue"] for r in out}) == list(range(40))
+    assert sum(r["length"] for r in out) == len(rows) * out[0]["doc_tokens"]
+    size, had = out[0]["doc_tokens"], Counter()
+    w = weights or {}
+    shared = sorted((r for r in out if r["queue"] == 39), key=lambda r: (r["sequence_id"], r["offset"]))
+    for r in shared:
+        source = f"s{r['doc_id'] // 1000:02}"
+        had[source] += r["length"]
+        if max(had.values()) >= 40 * size:  # one runs dry
+            break
+        for s in (range(39, 60) if had.total() > 60 * size else ()):
+            mine, all_w = w.get(f"s{s:02}", 1), sum(w.get(f"s{t:02}", 1) for t in range(39, 60))
+            assert abs(had[f"s{s:02}"] - had.total() * mine / all_w) <= 4 * size
+    if weights:
+        first = [r for r in out if r["sequence_id"] == 0]
+        assert abs(sum(r["length"] for r in first if r["queue"] == 39) - 2048 * 27 / (27 + 42)) <= 40
+
+
 def test_empty_table(spark):
     assert pack(messy.table(spark, []), tokenizer_path()).count() == 0
