@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, hpylm, jaccard_join, langid, license_scan, line_dedup, mtree, packing, sharding, suffix_dedup
+from quarry.llm import decontaminate, exact_dedup, hpylm, jaccard_join, langid, license_scan, line_dedup, merkle, mtree, packing, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -127,3 +127,90 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_license_scan")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents
+), g AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+"""
+
+
+@query("op13_exact_dedup", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+#: unsigned crc32 of a text's UTF-8 bytes, bit by bit (reflected polynomial 0xEDB88320)
+CRC_SQL = """
+xor(list_reduce(list_prepend(4294967295::BIGINT, range(0, 8 * strlen({s}))), lambda c, i:
+  CASE WHEN xor(c, CASE WHEN i % 8 = 0 THEN ('0x' || substr(hex(encode({s})), (i // 4 + 1)::BIGINT, 2))::BIGINT ELSE 0 END) % 2 = 1
+       THEN xor(xor(c, CASE WHEN i % 8 = 0 THEN ('0x' || substr(hex(encode({s})), (i // 4 + 1)::BIGINT, 2))::BIGINT ELSE 0 END) // 2, 3988292384)
+       ELSE xor(c, CASE WHEN i % 8 = 0 THEN ('0x' || substr(hex(encode({s})), (i // 4 + 1)::BIGINT, 2))::BIGINT ELSE 0 END) // 2 END), 4294967295)
+""".strip()
+
+
+def leaf_sql(text: str) -> str:
+    def told(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+
+    return "sha256(" + " || ".join(told(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, source, {leaf_sql("text")} AS leaf, {leaf_sql("replace(text, chr(10), '')")} AS cut,
+         {CRC_SQL.format(s="doc_id::VARCHAR")} % 2 = 0 AS tampered,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree FROM documents
+), a(tree, lev, idx, n, h) AS (
+  SELECT tree, 0, idx, n, leaf FROM r
+  UNION ALL
+  SELECT tree, lev + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM a WHERE n > 1 GROUP BY tree, lev, idx // 3, n
+), s AS (
+  SELECT tree, lev AS top, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM a WHERE n = 1
+), b(lev, idx, n, h) AS (
+  SELECT 0, idx, n, subroot FROM s
+  UNION ALL
+  SELECT lev + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM b WHERE n > 1 GROUP BY lev, idx // 3, n
+), whole AS (
+  SELECT tree, lev, idx, n, h FROM a UNION ALL SELECT 0, lev, idx, n, h FROM b
+), sib AS (
+  SELECT tree, lev, idx, n,
+         coalesce(string_agg(h, '') OVER (PARTITION BY tree, lev, idx // 3 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (PARTITION BY tree, lev, idx // 3 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM whole WHERE n > 1
+), f(doc_id, tree, lev, idx, n, h, proof) AS (
+  SELECT doc_id, tree, 0, idx, n, CASE WHEN tampered THEN cut ELSE leaf END, '' FROM r
+  UNION ALL
+  SELECT f.doc_id, CASE WHEN f.n > 1 THEN f.tree ELSE 0 END, CASE WHEN f.n > 1 THEN f.lev + 1 ELSE 0 END,
+         CASE WHEN f.n > 1 THEN f.idx // 3 ELSE s.idx END, CASE WHEN f.n > 1 THEN (f.n + 2) // 3 ELSE s.n END,
+         CASE WHEN f.n > 1 THEN sha256(sib.l || f.h || sib.r) ELSE f.h END, CASE WHEN f.n > 1 THEN f.proof || sib.l || sib.r ELSE f.proof END
+  FROM f LEFT JOIN sib ON sib.tree = f.tree AND sib.lev = f.lev AND sib.idx = f.idx LEFT JOIN s ON s.tree = f.tree
+  WHERE f.n > 1 OR f.tree > 0
+)
+SELECT r.doc_id, r.leaf, s.subroot, b.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = b.h AS verified
+FROM r JOIN s ON s.tree = r.tree JOIN b ON b.n = 1 JOIN f ON f.doc_id = r.doc_id AND f.tree = 0 AND f.n = 1
+"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def tampered(doc_id, source, lang, n_chars, text):
+        hit = F.crc32(doc_id.cast("string").cast("binary")) % 2 == 0
+        # only a text with a line break is another one after it
+        changed = F.when(hit & F.contains(text, F.lit("\n")), F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+        return merkle.leaf_hash([doc_id, source, lang, n_chars, changed])
+
+    proved = merkle.manifest(read(spark, sf_dir, "documents"), claims={"claimed": tampered})
+    folded = proved.withColumn("folded", merkle.fold(F.col("claimed"), F.col("steps")))
+    return folded.select(
+        "doc_id",
+        *[merkle.hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        merkle.proof_hash(F.col("steps")).alias("proof_sha256"),
+        merkle.hexed(F.col("folded")).alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
