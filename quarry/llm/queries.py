@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, exact_dedup, hpylm, jaccard_join, langid, license_scan, line_dedup, merkle, mtree, packing, sharding, suffix_dedup
+from quarry.llm import decontaminate, exact_dedup, hpylm, jaccard_join, langid, license_scan, line_dedup, merkle, mtree, packing, sharding, spelling, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -214,3 +215,36 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         merkle.hexed(F.col("folded")).alias("folded_root"),
         (F.col("folded") == F.col("root")).alias("verified"),
     )
+
+
+OP12_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents
+), d AS (
+  SELECT run, n, {CRC_SQL.format(s="key")} AS h FROM (SELECT doc_id, run, doc_id || ':' || run AS key, count(*) AS n FROM runs GROUP BY doc_id, run)
+), v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT) ELSE run END AS word, n FROM d
+  ) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cut c JOIN v ON v.word = c.rest
+  UNION SELECT v.word, c.word, c.n FROM cut c JOIN v ON v.word = c.rest
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, encode(other)) AS other, max(n) AS m FROM near GROUP BY word
+), f AS (
+  SELECT v.word, CASE WHEN m >= 2 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)
+), w(word, root) AS (
+  SELECT word, word FROM f
+  UNION ALL
+  SELECT w.word, f.form FROM w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM f JOIN w USING (word) JOIN f e ON e.word = w.root AND e.form IS NULL
+"""
+
+
+@query("op12_spelling_groups", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(read(spark, sf_dir, "documents"), noise=spelling.NOISE)
