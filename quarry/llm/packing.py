@@ -4,8 +4,8 @@ Each source is a queue of tokens, its documents laid end to end.  A window is a
 sequence of ``LENGTH`` tokens.  In every window each queue is owed its target
 share; it takes whole tokens, and the fraction it is still owed is its deficit,
 carried into the next window.  The largest queue is served last and fills the
-window up, so every window is full.  After w windows a queue has had
-floor(w x LENGTH x share) tokens, exactly what adding up quanta and deficits
+window up, so every window is full.  When r tokens are left in all, floor(r x share)
+are left of a queue, exactly what adding up quanta and deficits from the end
 gives; so every task knows the schedule from the queue totals alone, and
 deficits carry over partitions without passing a counter along.
 
@@ -196,10 +196,11 @@ class Schedule:
             k = self.phase_of(window)
             first, take = self.plan[k]
             total = sum(take)
-            given = min((window - first) * self.length, total)
+            rest = max(total - (window - first) * self.length, 0)
             big = max(range(len(take)), key=take.__getitem__)
-            part = [given * t // total for t in take]
-            part[big] += given - sum(part)
+            # rounded from the end, so what is left of a queue never grows, nor in a short last window
+            part = [t - rest * t // total for t in take]
+            part[big] += total - rest - sum(part)
             self.memo[window] = [a + b for a, b in zip(self.before[k], part, strict=True)]
         return self.memo[window]
 

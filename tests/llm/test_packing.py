@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -89,3 +90,26 @@ def test_sources_of_the_shared_queue_keep_their_shares(spark, weights):
 
 def test_empty_table(spark):
     assert pack(messy.table(spark, []), tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_queue_runs_backwards(seed):
+    """Random totals with short last windows: what is taken never shrinks and windows are gapless."""
+    rng = random.Random(seed)
+    for _ in range(40):
+        totals = [int(10 ** rng.uniform(0, 5)) for _ in range(rng.randint(1, 40))]
+        weights = totals if rng.random() < 0.5 else [rng.randint(1, 9) for _ in totals]
+        s = Schedule(phases(totals, weights, 2048), 2048)
+        rows = [s.taken(w) for w in range(s.windows() + 1)]
+        assert rows[0] == [0] * len(totals) and rows[-1] == totals
+        for w, (a, b) in enumerate(zip(rows, rows[1:], strict=False)):
+            assert all(x <= y for x, y in zip(a, b, strict=True))
+            assert sum(b) - sum(a) == 2048 or (w == len(rows) - 2 and sum(b) - sum(a) < 2048)
+    at = defaultdict(list)
+    for q, n in enumerate(totals):
+        for lo in range(0, n, 700):
+            for _, size, window, offset in s.pieces(q, lo, min(700, n - lo)):
+                at[window].append((offset, size))
+    for pieces in at.values():
+        pieces.sort()
+        assert pieces[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(pieces, pieces[1:], strict=False))
