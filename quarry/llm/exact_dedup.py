@@ -54,22 +54,19 @@ def chunk_hash(chunk: Column, bits: int = BITS) -> Column:
     return F.shiftrightunsigned(F.xxhash64(chunk), 64 - bits)
 
 
-def clashing(cut: DataFrame) -> DataFrame:
-    """(h, chunk, number): the contents, numbered from 0, of hashes that more than one content has."""
-    distinct = cut.select(F.explode(F.arrays_zip("hashes", "chunks")).alias("p")).select(F.col("p.hashes").alias("h"), F.col("p.chunks").alias("chunk")).distinct()
-    several = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("h")
-    number = F.row_number().over(Window.partitionBy("h").orderBy("chunk")) - 1
-    return distinct.join(several, "h").select("h", "chunk", number.alias("number"))
-
-
 def with_recipes(cut: DataFrame) -> DataFrame:
     """row, doc_id, points, text_sha256 and the recipe: the ordered verified identifiers of the chunks."""
-    clash = stored(clashing(cut).where("number > 0"), "chunk-clashes")
     light = ["row", "doc_id", "points", "text_sha256"]
-    if clash.isEmpty():
+    both = F.arrays_zip(F.col("hashes").alias("h"), F.col("chunks").alias("chunk"))
+    contents = cut.select(F.explode(both).alias("p")).select("p.h", "p.chunk").distinct()
+    # verified here: every other hash has one content
+    several = stored(contents.groupBy("h").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("h"), "chunk-clashes")
+    if several.isEmpty():
         return cut.select(*light, F.transform("hashes", lambda h: F.struct(h.alias("h"), F.lit(0).alias("number"))).alias("recipe"))
-    at = cut.select("row", F.posexplode(F.arrays_zip("hashes", "chunks")).alias("pos", "p")).select("row", "pos", F.col("p.hashes").alias("h"), F.col("p.chunks").alias("chunk"))
-    numbers = at.join(clash, ["h", "chunk"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "number"))).alias("told"))
+    number = F.row_number().over(Window.partitionBy("h").orderBy("chunk")) - 1
+    clash = contents.join(several, "h").select("h", "chunk", number.alias("number"))
+    at = cut.select("row", F.posexplode(both).alias("pos", "p")).select("row", "pos", "p.h", "p.chunk")
+    numbers = at.join(clash.where("number > 0"), ["h", "chunk"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "number"))).alias("told"))
     told = F.coalesce("told", F.create_map().cast("map<int, int>"))
     recipe = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), F.coalesce(F.col("told")[i], F.lit(0)).alias("number")))
     return cut.select(*light, "hashes").join(numbers, "row", "left").withColumn("told", told).select(*light, recipe.alias("recipe"))

@@ -116,9 +116,10 @@ def tops(levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, each)
 
 
-def handed_down(levels: list[DataFrame], paths: DataFrame, arity: int) -> DataFrame:
+def handed_down(levels: list[DataFrame], paths: DataFrame, arity: int, name: str) -> DataFrame:
     """The leaves with steps, (left, right) level by level up to their tree's top and on by the top's own steps.
 
+    Lists of all levels but the leaves' are written, so plans don't grow.
     ``paths`` has tree, level and steps of every top, and columns that are handed down too.
     """
     more = [c for c in paths.columns if c not in ("tree", "level", "steps")]
@@ -131,6 +132,8 @@ def handed_down(levels: list[DataFrame], paths: DataFrame, arity: int) -> DataFr
         met = levels[k].join(above, (F.col("tree") == F.col("t")) & (F.when(alone, 0).otherwise(parent("idx", arity)) == F.col("i")) & (alone == F.col("top")))
         steps = F.when(alone, F.col("steps")).otherwise(F.concat(F.array(F.struct("left", "right")), "steps"))
         above = met.withColumn("steps", steps).drop("t", "i", "top", "n", "left", "right")
+        if k:
+            above = stored(above, f"{name}-{k}")
     return above
 
 
@@ -180,7 +183,7 @@ def manifest(
     above = grow(trees.select(F.lit(0).cast("long").alias("tree"), "idx", F.lit(subroots.count()).cast("long").alias("n"), "h", "of", "level"), arity, "merkle-trees-level")
     none = F.array().cast("array<struct<left:binary,right:binary>>")
     root = tops(above).select("tree", F.col("level"), none.alias("steps"), F.col("h").alias("root"))
-    paths = handed_down([above[0].withColumnRenamed("level", "own"), *above[1:]], root, arity)
+    paths = handed_down([above[0].withColumnRenamed("level", "own"), *above[1:]], root, arity, "merkle-trees-path")
     ends = paths.select(F.col("of").alias("tree"), F.col("own").alias("level"), "steps", F.col("h").alias("subroot"), "root")
-    out = handed_down(levels, ends, arity)
+    out = handed_down(levels, stored(ends, "merkle-ends"), arity, "merkle-rows-path")
     return out.select("key", F.col("h").alias("leaf"), "subroot", "root", "steps", *given).toDF(key, "leaf", "subroot", "root", "steps", *(claims or {}))
