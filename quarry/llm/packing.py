@@ -16,6 +16,8 @@ Queues are laid out by partition, so no document moves: only token counts per
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Callable, Iterator, Mapping
 
@@ -31,8 +33,8 @@ LENGTH = 2048
 END_ID = 1
 #: queues; sources beyond the largest share the last one, where they take turns document by document.  LENGTH / QUEUES tokens are more than the roundings of a window.
 QUEUES = 40
-#: words whose ids a task remembers, and the longest of them in bytes
-MEMO_WORDS, MEMO_BYTES = 400_000, 64
+#: words whose ids a Python worker remembers, and the longest of them in bytes
+MEMO_WORDS, MEMO_BYTES = 1_000_000, 64
 
 
 class WordIds:
@@ -114,11 +116,19 @@ class WordIds:
         return out
 
 
+def worker_words(path: str) -> WordIds:
+    """The words of a tokenizer that this Python worker knows, kept for its next tasks."""
+    kept = sys.modules.setdefault("_packing_words", types.ModuleType("_packing_words")).__dict__
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
+
+
 def token_table(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, source key, pid, start in (pid, source), n, ids), written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pid, at = WordIds(tokenizer), TaskContext.get().partitionId(), {}
+        words, pid, at = worker_words(tokenizer), TaskContext.get().partitionId(), {}
         end = np.array([END_ID], dtype=words.kind).tobytes()
         width = len(end)
         for whole in batches:
