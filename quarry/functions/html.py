@@ -6,9 +6,9 @@ so a ``</p>`` inside a script string does not split text.  Text nodes are the
 pieces between tokens, entity-decoded and stripped (Python ``str.strip``).
 
 Nested elements (``div[class*=desc]``, ``article``) are matched to their
-closing tag by a running depth over that element's tags only -- a small array
-per page -- so nesting and unclosed elements (which run to the end of the
-document) are handled without a tree.
+closing tag by a running depth over that element's tags only, so nesting and
+unclosed elements (which run to the end of the document) are handled without a
+tree.
 """
 
 from __future__ import annotations
@@ -110,25 +110,53 @@ def _token_delta(t: Column) -> Column:
     )
 
 
+def _depths(deltas: Column, clipped: bool) -> Column:
+    """The running sum after each delta; ``clipped``: it never falls below 0.
+
+    An append copies its array, so sums run over parts of about the square root
+    of the length and are then carried from part to part.  In a part, ``s`` is
+    the plain sum and ``r`` the clipped one from 0; a part that starts at d has
+    greatest(d + s, r).
+    """
+
+    def after(d: Column, x: Column) -> Column:
+        return F.greatest(d + x["s"], x["r"]) if clipped else d + x["s"]
+
+    def inside(acc: Column, x: Column) -> Column:
+        s, r = acc["s"] + x, F.greatest(acc["r"] + x, F.lit(0))
+        return F.struct(s.alias("s"), r.alias("r"), F.array_append(acc["out"], F.struct(s.alias("s"), r.alias("r"))).alias("out"))
+
+    def carried(acc: Column, part: Column) -> Column:
+        sums = F.transform(part, lambda x: after(acc["d"], x))
+        return F.struct(F.coalesce(after(acc["d"], F.try_element_at(part, F.lit(-1))), acc["d"]).alias("d"), F.array_append(acc["out"], sums).alias("out"))
+
+    def over(ds: Column) -> Column:
+        step = F.greatest(F.ceil(F.sqrt(F.size(ds))), F.lit(1)).cast("int")
+        starts = F.sequence(F.lit(1), F.greatest(F.size(ds), F.lit(1)), step)
+        zero = F.struct(F.lit(0).alias("s"), F.lit(0).alias("r"), F.array().cast("array<struct<s:int,r:int>>").alias("out"))
+        parts = F.transform(starts, lambda i: F.aggregate(F.slice(ds, i, step), zero, inside)["out"])
+        return F.flatten(F.aggregate(parts, F.struct(F.lit(0).alias("d"), F.array().cast("array<array<int>>").alias("out")), carried)["out"])
+
+    return _let(deltas, over)
+
+
 def page_text_lines(html) -> Column:
     """P4 (``body *::text``): text nodes inside an element below ``body`` --
     text sitting directly under ``body`` is not included; script and style
     contents count as text of their element.  End tags without a start don't
     lower the depth below the body's."""
     tokens = F.regexp_extract_all(lone_lt(body(html)), F.lit(BODY_TOKEN), 0)
-    init = F.struct(F.lit(0).alias("d"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc, t):
-        inner = F.regexp_extract(t, r"(?is)^<(?:script|style)\b[^>]*>(.*)</(?:script|style)\s*>\z", 1)
-        is_code = t.rlike(r"(?is)^<(script|style)\b")
-        keep = F.when(is_code, inner).when(~t.startswith("<") & (acc["d"] > 0), t)
-        return F.struct(
-            F.greatest(acc["d"] + _token_delta(t), F.lit(0)).alias("d"),
-            F.when(keep.isNotNull(), F.array_append(acc["out"], keep)).otherwise(acc["out"]).alias("out"),
-        )
+    def texts(z: Column) -> Column:
+        def keep(t: Column, i: Column) -> Column:
+            inner = F.regexp_extract(t, r"(?is)^<(?:script|style)\b[^>]*>(.*)</(?:script|style)\s*>\z", 1)
+            is_code = t.rlike(r"(?is)^<(script|style)\b")
+            return F.when(is_code, inner).when(~t.startswith("<") & (F.coalesce(F.get(z["depths"], i - 1), F.lit(0)) > 0), t)
+
+        raw = F.filter(F.transform(z["tokens"], keep), lambda p: p.isNotNull())
+        return F.filter(F.transform(raw, lambda p: T.ustrip(T.decode_entities(p))), lambda p: p != "")
 
-    raw = F.aggregate(tokens, init, step)["out"]
-    return F.filter(F.transform(raw, lambda p: T.ustrip(T.decode_entities(p))), lambda p: p != "")
+    return _let(tokens, lambda t: _let(F.struct(t.alias("tokens"), _depths(F.transform(t, _token_delta), True).alias("depths")), texts))
 
 
 def body_text_nodes(html) -> Column:
@@ -164,40 +192,37 @@ def with_element_texts(df, html: str, out: str, tag: str, class_substr: str | No
         "_et_d",
         F.transform("_et_tags", lambda t: F.when(t.startswith("</"), -1).when(_is_code(t) | t.rlike(r"/\s*>\z"), 0).otherwise(1)),
     )
-    # running depth after each tag: one pass over the (small) tag array
-    st = st.withColumn(
-        "_et_depth",
-        F.aggregate("_et_d", F.array().cast("array<int>"),
-                    lambda acc, d: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + d)),
-    )
+    # an element is left where its depth is: of the tags of one level in their order, the one behind a start tag ends it
+
+    def by_level(z):
+        level = F.transform(z["deltas"], lambda d, i: F.struct((F.get(z["depths"], i) + F.when(d == -1, 1).otherwise(0)).alias("level"), (i + 1).alias("at"), d.alias("d")))
+        return F.sort_array(F.filter(level, lambda x: x["d"] != 0))
+
+    st = st.withColumn("_et_levels", _let(F.struct(F.col("_et_d").alias("deltas"), _depths(F.col("_et_d"), False).alias("depths")), by_level))
 
     def texts(z):
-        tags, segs, deltas, depth = (z[c] for c in ("tags", "segs", "deltas", "depth"))
-        m = F.size(tags)
+        tags, segs, levels = (z[c] for c in ("tags", "segs", "levels"))
 
-        def opens(j):  # 1-based
-            ok = F.try_element_at(deltas, j) == 1
+        def element(x, i):
+            then = F.get(levels, i + 1)
+            ends = F.when(then["level"] == x["level"], then["at"]).otherwise(F.size(tags) + 1)  # or past the end
+            opens = x["d"] == 1
             if class_substr is not None:
-                ok = ok & F.coalesce(attr_value(F.try_element_at(tags, j), "class").contains(class_substr), F.lit(False))
-            return ok
-
-        def text_of(j):
-            d = F.try_element_at(depth, j)
-            closes = F.filter(F.sequence(j + 1, F.greatest(m, j + 1)),
-                              lambda x: (x <= m) & (F.try_element_at(depth, x) == d - 1))
-            k = F.coalesce(F.try_element_at(closes, F.lit(1)), m + 1)  # closing tag index, or past the end
+                opens = opens & F.coalesce(attr_value(F.try_element_at(tags, x["at"]), "class").contains(class_substr), F.lit(False))
+            return F.when(opens, F.struct(x["at"].alias("at"), ends.alias("to")))
 
+        def text_of(e):
             def piece(x):  # a segment, after the script before it
                 before = F.try_element_at(tags, x - 1)
-                return text_nodes(F.concat(F.when((x > j + 1) & _is_code(before), before).otherwise(F.lit("")), F.try_element_at(segs, x)))
+                return text_nodes(F.concat(F.when((x > e["at"] + 1) & _is_code(before), before).otherwise(F.lit("")), F.try_element_at(segs, x)))
 
-            return F.array_join(F.flatten(F.transform(F.sequence(j + 1, k), piece)), "\n")
+            return F.array_join(F.flatten(F.transform(F.sequence(e["at"] + 1, e["to"]), piece)), "\n")
 
-        idx = F.filter(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda j: (j <= m) & opens(j))
-        return F.filter(F.transform(idx, text_of), lambda s: s != "")
+        elements = F.sort_array(F.filter(F.transform(levels, element), lambda e: e.isNotNull()))
+        return F.filter(F.transform(elements, text_of), lambda s: s != "")
 
-    staged = F.struct(F.col("_et_tags").alias("tags"), F.col("_et_segs").alias("segs"), F.col("_et_d").alias("deltas"), F.col("_et_depth").alias("depth"))
-    return st.withColumn(out, _let(staged, texts)).drop("_et_tags", "_et_segs", "_et_d", "_et_depth")
+    staged = F.struct(F.col("_et_tags").alias("tags"), F.col("_et_segs").alias("segs"), F.col("_et_levels").alias("levels"))
+    return st.withColumn(out, _let(staged, texts)).drop("_et_tags", "_et_segs", "_et_d", "_et_levels")
 
 
 def with_desc_divs(df, html: str = "html", out: str = "desc_divs", class_substr: str = "desc"):

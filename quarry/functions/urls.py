@@ -122,6 +122,51 @@ def join_clean(base, href) -> Column:
     )
 
 
+# Escapes of RFC 3986's unreserved characters, and the ports a scheme implies.
+UNRESERVED_ESCAPE = r"^(?:2D|2E|5F|7E|3[0-9]|[46][1-9A-F]|[57][0-9A])"
+DEFAULT_PORTS = {"http": "80", "https": "443"}
+
+
+def normal_escapes(part) -> Column:
+    """A URL part with blanks and non-ASCII characters escaped, escapes in upper case, and none of an unreserved character."""
+    chars = F.split(F.regexp_replace(_col(part), " ", "%20"), "")
+    ascii_only = F.array_join(F.transform(chars, lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), F.url_encode(c)).otherwise(c)), "")
+
+    def one(p: Column, i: Column) -> Column:
+        code = F.upper(F.substring(p, 1, 2))
+        rest = F.substring(p, 3, 1 << 30)
+        escaped = F.when(code.rlike(UNRESERVED_ESCAPE), F.concat(F.unhex(code).cast("string"), rest)).otherwise(F.concat(F.lit("%"), code, rest))
+        return F.when(i == 0, p).when(p.rlike("^[0-9A-Fa-f]{2}"), escaped).otherwise(F.concat(F.lit("%"), p))
+
+    return F.array_join(F.transform(F.split(ascii_only, "%"), one), "")
+
+
+def request_key(url) -> Column:
+    """The address as the request it makes: scheme and host in lower case, without the scheme's own port and the
+    fragment, escapes normalised, query arguments sorted by name and value (``+`` is a blank, a name alone has an
+    empty value, empty arguments go)."""
+
+    def of(u: Column) -> Column:
+        scheme, netloc = url_scheme(u), url_netloc(u)
+        user = F.regexp_extract(netloc, r"^(?:[^@]*@)?", 0)
+        host = F.lower(F.substr(netloc, F.length(user) + 1))
+        for name, port in DEFAULT_PORTS.items():
+            host = F.when(scheme == name, F.regexp_replace(host, f":(?:{port})?$", "")).otherwise(host)
+        path = F.when(url_path(u) == "", F.lit("/")).otherwise(url_path(u))
+        arguments = F.filter(F.split(F.replace(normal_escapes(url_query(u)), F.lit("%20"), F.lit("+")), "&"), lambda x: x != "")
+
+        def named(x: Column) -> Column:
+            name = F.regexp_extract(x, "^[^=]*", 0)
+            return F.struct(name.alias("n"), F.substr(x, F.length(name) + 2).alias("v"))
+
+        query = F.array_join(F.transform(F.sort_array(F.transform(arguments, named)), lambda x: F.concat(x["n"], F.lit("="), x["v"])), "&")
+        front = F.when(url_has_netloc(u), F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")), F.lit("//"), user, host)).when(
+            scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit(""))
+        return F.concat(front, normal_escapes(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+
+    return F.element_at(F.transform(F.array(_col(url)), of), 1)
+
+
 def route_content_type(url, content_type) -> Column:
     """P11: 'pdf' when the content type names application/pdf or the lowered
     url ends with '.pdf', else 'html'."""

@@ -519,7 +519,7 @@ SQL_FOLLOW = f"""{SQL_LINKS}, follow AS (
 
 
 def _bare(c: str) -> str:
-    return f"regexp_replace({c}, '#.*$', '', 's')"
+    return S.request_key(c)
 
 
 @register("link_frontier", f"""WITH {SQL_FOLLOW}
@@ -531,15 +531,18 @@ def q_link_frontier(spark, sf):
 
 # one start page (a page of a captured cycle, besides the pages nobody links to) and a chain longer than any cap
 CHAIN = [(f"http://chain.example.com/{i}", f'<a href="/{i + 1}#part">next</a>') for i in range(20)]
+# the last page links to a captured one under another form of its address
+CHAIN += [("http://chain.example.com/20", '<a href="/q?b=%7ex+y&amp;a=1#z">q</a>'), ("http://chain.example.com/q?a=1&b=~x%20y", "")]
 CRAWL_START = "http://chain.example.com/0"
 
 
 @register("crawl_reach", f"""WITH RECURSIVE {SQL_FOLLOW}, known AS (
-  SELECT url, {_bare('url')} AS u FROM allpages UNION SELECT url, url FROM {S.values(CHAIN, [("url", "VARCHAR"), ("html", "VARCHAR")])}
+  SELECT url, {_bare('url')} AS u FROM allpages UNION SELECT url, {_bare('url')} FROM {S.values(CHAIN, [("url", "VARCHAR"), ("html", "VARCHAR")])}
 ), ce AS (
   SELECT DISTINCT {_bare('src_url')} AS src_url, {_bare('dst_url')} AS dst_url FROM follow
   WHERE {_bare('src_url')} IN (SELECT u FROM known) AND {_bare('dst_url')} IN (SELECT u FROM known) AND {_bare('src_url')} <> {_bare('dst_url')}
-  UNION SELECT 'http://chain.example.com/' || i, 'http://chain.example.com/' || (i + 1) FROM range(0, {len(CHAIN) - 1}) t(i)
+  UNION SELECT 'http://chain.example.com/' || i, 'http://chain.example.com/' || (i + 1) FROM range(0, {len(CHAIN) - 2}) t(i)
+  UNION SELECT '{CHAIN[-2][0]}', 'http://chain.example.com/q?a=1&b=~x+y'
 ), starts AS (
   SELECT DISTINCT u FROM known WHERE u NOT IN (SELECT dst_url FROM ce) OR u = '{CRAWL_START}'
 ), reach(u, depth) AS (
@@ -551,9 +554,9 @@ SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM reach JOIN known USING (u)
 def q_crawl_reach(spark, sf):
     pages = _allpages(spark, sf).select("url", "html").unionByName(spark.createDataFrame(CHAIN, "url string, html string"))
     edges = L.follow_filter(L.page_edges(pages))
-    bare = pages.select(L.without_fragment(F.col("url")).alias("u")).distinct()
-    links = edges.filter(L.without_fragment(F.col("src_url")) != L.without_fragment(F.col("dst_url")))
-    starts = bare.join(links.select(L.without_fragment(F.col("dst_url")).alias("u")), "u", "left_anti").union(
+    bare = pages.select(U.request_key(F.col("url")).alias("u")).distinct()
+    links = edges.filter(U.request_key(F.col("src_url")) != U.request_key(F.col("dst_url")))
+    starts = bare.join(links.select(U.request_key(F.col("dst_url")).alias("u")), "u", "left_anti").union(
         spark.createDataFrame([(CRAWL_START,)], "u string"))
     return L.crawl_reach(edges, pages, starts).select("url", F.col("depth").cast("long"))
 

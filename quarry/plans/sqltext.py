@@ -211,6 +211,32 @@ def url_part(e: str, i: int) -> str:
     return f"regexp_extract({e}, {q(URL_RE)}, {i})"
 
 
+def normal_escapes(e: str) -> str:
+    """Blanks and non-ASCII characters escaped, escapes in upper case, unreserved ones decoded."""
+    plain = f"""array_to_string(list_transform(string_split(replace({e}, ' ', '%20'), ''),
+      lambda c: CASE WHEN ord(c) > 127 THEN url_encode(c) ELSE c END), '')"""
+    return f"""array_to_string(list_transform(string_split({plain}, '%'), lambda p, i:
+      CASE WHEN i = 1 THEN p
+           WHEN NOT regexp_matches(p, '^[0-9A-Fa-f]{{2}}') THEN '%' || p
+           WHEN regexp_matches(upper(p[:2]), '^(?:2D|2E|5F|7E|3[0-9]|[46][1-9A-F]|[57][0-9A])') THEN chr(('0x' || p[:2])::INT) || p[3:]
+           ELSE '%' || upper(p[:2]) || p[3:] END), '')"""
+
+
+def request_key(e: str) -> str:
+    """The canonical request of an http(s) url."""
+    netloc = url_part(e, 2)
+    user = f"regexp_extract({netloc}, '^(?:[^@]*@)?', 0)"
+    scheme = f"lower({url_part(e, 1)})"
+    host = f"lower(substr({netloc}, length({user}) + 1))"
+    host = f"""CASE {scheme} WHEN 'http' THEN regexp_replace({host}, ':(?:80)?$', '') WHEN 'https' THEN regexp_replace({host}, ':(?:443)?$', '') ELSE {host} END"""
+    path = f"CASE WHEN {url_part(e, 3)} = '' THEN '/' ELSE {url_part(e, 3)} END"
+    named = f"""list_sort(list_transform(list_filter(string_split(replace({normal_escapes(url_part(e, 4))}, '%20', '+'), '&'), lambda x: x <> ''),
+      lambda x: {{'n': regexp_extract(x, '^[^=]*', 0), 'v': substr(x, length(regexp_extract(x, '^[^=]*', 0)) + 2)}}))"""
+    query = f"array_to_string(list_transform({named}, lambda x: x.n || '=' || x.v), '&')"
+    front = f"CASE WHEN regexp_matches({e}, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//') THEN CASE WHEN {scheme} <> '' THEN {scheme} || ':' ELSE '' END || '//' || {user} || {host} WHEN {scheme} <> '' THEN {scheme} || ':' ELSE '' END"
+    return f"({front} || {normal_escapes(path)} || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END)"
+
+
 def suffix(query: str, frag: str) -> str:
     return f"(CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END || CASE WHEN {frag} <> '' THEN '#' || {frag} ELSE '' END)"
 

@@ -90,3 +90,60 @@ def test_store_refuses_other_model(spark):
     with pytest.raises((PySparkException, Py4JJavaError)) as err:
         jobs.search_topk(q, store, k=2, n=2, embedder=other).collect()
     assert "another model" in str(err.value)
+
+
+def test_queries_that_do_not_fit_meet_in_cells(spark, monkeypatch):
+    """The joined form gives what the broadcast form gives; neither shuffles the corpus more than once."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quarry.operators import search as SR
+
+    rng = np.random.default_rng(4)
+    vecs = rng.integers(-3, 4, size=(400, 6)).astype(float)  # many ties
+    corpus = spark.createDataFrame([(int(i), v.tolist() if i % 50 else v.tolist()[:4]) for i, v in enumerate(vecs)], "id long, embedding array<double>").repartition(5)
+    queries = spark.createDataFrame([(int(i), vecs[i].tolist()) for i in range(0, 400, 3)] + [(1000, None)], "qid long, qvec array<double>")
+    monkeypatch.setattr(SR, "CORPUS_BLOCK", 37)
+    monkeypatch.setattr(SR, "CELL_BLOCKS", 2)
+    monkeypatch.setattr(SR, "SCORES", 5000)
+    scans = SR.topk_inner_product(queries, corpus, k=7)
+    joined = SR.topk_inner_product(queries, corpus, k=7, query_block=20, broadcast_bytes=0)
+    want = {}
+    full = vecs.copy()
+    full[::50, 4:] = 0
+    for q in range(0, 400, 3):
+        keys = np.floor(full @ vecs[q] * 1e6 + 0.5)
+        want[q] = sorted(range(400), key=lambda i: (-keys[i], i))[:7]
+    for out in (scans, joined):
+        got = {}
+        for r in out.orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append(r["id"])
+        assert got == want
+    a, b = (sorted(map(tuple, SR.score_summary(queries, corpus, broadcast_bytes=n).collect())) for n in (1 << 20, 0))
+    assert a == b and all(r[1] == 400 for r in a)
+
+
+def test_no_corpus_vector_is_shuffled(spark):
+    """Up to 10,000 queries of 384 numbers: the corpus is scored where it is read."""
+    import re
+
+    from quarry.operators import search as SR
+
+    assert 10_000 * 384 * 8 <= SR.BROADCAST_BYTES
+    corpus = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "qid long, qvec array<double>")
+    plan = SR.topk_inner_product(queries, corpus, k=3)._jdf.queryExecution().executedPlan().toString()
+    below = plan[re.search(r"Exchange", plan).start():]
+    assert len(re.findall("Exchange", plan)) == 1 and "MapInArrow" in below
+    assert "embedding" not in re.search(r"Exchange [^\n]*", plan).group()
+
+
+def test_empty_corpus_and_no_queries(spark):
+    from quarry.operators import search as SR
+
+    corpus = spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0])], "qid long, qvec array<double>")
+    for size in (0, 1 << 20):
+        assert SR.topk_inner_product(queries, corpus.where("id < 0"), broadcast_bytes=size).count() == 0
+        assert SR.topk_inner_product(queries.where("qid < 0"), corpus, broadcast_bytes=size).count() == 0
+        assert SR.topk_inner_product(queries, corpus, broadcast_bytes=size).count() == 1

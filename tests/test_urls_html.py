@@ -95,3 +95,32 @@ def test_tags_of_messy_pages(spark):
 def test_slug_drops_params(spark):
     df = spark.createDataFrame([("http://x.example.com/a/b;v=1?p=2",)], "u string")
     assert df.select(U.page_slug("u", F.lit("html"))).first()[0] == "a_b_p_2"
+
+
+def test_depth_is_linear_in_the_nodes(spark):
+    """A page of 100,000 nodes, and the running depth against a plain loop."""
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quarry.functions import html as H
+
+    rng = random.Random(8)
+    for n in (0, 1, 2, 3, 10, 1000):
+        ds = [rng.choice([-1, 0, 1]) for _ in range(n)]
+        df = spark.createDataFrame([(ds,)], "d array<int>")
+        plain, clipped, want = 0, 0, ([], [])
+        for x in ds:
+            plain, clipped = plain + x, max(clipped + x, 0)
+            want[0].append(plain)
+            want[1].append(clipped)
+        assert tuple(df.select(H._depths(F.col("d"), False), H._depths(F.col("d"), True)).first()) == want
+    took = []
+    for n in (25_000, 100_000):
+        page = "<html><body>" + "".join(f"<div class='desc'><p>text {i}</p></div>" for i in range(n // 2)) + "</body></html>"
+        df = spark.createDataFrame([(page,)], "html string").checkpoint()
+        start = time.time()
+        assert df.select(F.size(H.page_text_lines("html"))).first()[0] == n // 2
+        took.append(time.time() - start)
+    assert took[1] < max(15, 12 * took[0])
