@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.session import checkpoint_root
 
 
 def distinct_sources(chunks: DataFrame, file: str = "file") -> DataFrame:
@@ -59,3 +62,30 @@ def ingest_report(existing: DataFrame, new: DataFrame, records: DataFrame, raw:
         F.count(F.when(F.col("t") == "s", 1)).alias("skipped_docs"),
         F.count(F.when(F.col("t") == "v", 1)).alias("vectors_added"),
     )
+
+
+def write_observed(records: DataFrame, ingest: Callable[[DataFrame], DataFrame], path: str, raw: str = "raw_text") -> tuple[int, int, int, int]:
+    """A4 without a second scan: write ``ingest(records)`` to ``path`` and count on the way.
+
+    Returns (kept, skipped, unparsable, new chunks): records with a text,
+    empty ones, rows whose ``ok`` is false, and chunks written.  The records
+    are counted where they are first read, the chunks in the write itself.
+    Input that holds nothing counts as zeros.
+    """
+    c = T.clean_text(F.coalesce(F.col(raw), F.lit("")))
+    ok = F.col("ok") if "ok" in records.columns else F.lit(True)
+    seen, written = Observation(), Observation()
+    counted = records.observe(
+        seen,
+        F.count(F.when(ok & (c != ""), 1)).alias("kept"),
+        F.count(F.when(ok & (c == ""), 1)).alias("skipped"),
+        F.count(F.when(~ok, 1)).alias("unparsable"),
+    )
+    checkpoint_root(records.sparkSession)
+    # one pass over the records, whatever the ingest reads them for
+    held = counted.checkpoint()
+    out = ingest(held.where(ok) if "ok" in records.columns else held)
+    out.observe(written, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    first = seen.get if not held.isEmpty() else {"kept": 0, "skipped": 0, "unparsable": 0}
+    n = 0 if records.sparkSession.read.schema(out.schema).parquet(path).isEmpty() else written.get["n"]
+    return first["kept"], first["skipped"], first["unparsable"], n

@@ -9,6 +9,7 @@ produce the same schema; scores are compared as rounded doubles.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ from quarry.plans import pages as PG
 from quarry.plans import sqltext as S
 from quarry.session import scratch_path, table
 from quarry.sources import readers as RD
+from quarry.sources import versions as VS
 from quarry.sources import writers as WR
 from quarry.streaming import jobs as SJ
 
@@ -799,6 +801,17 @@ def q_ingest_report(spark, sf):
     return audit.ingest_report(run1, run2, second)
 
 
+@register("ingest_observed", f"""WITH {SQL_INC}
+  SELECT CAST(count(*) FILTER (WHERE c <> '') AS BIGINT) AS kept, CAST(count(*) FILTER (WHERE c = '') AS BIGINT) AS skipped,
+         CAST(0 AS BIGINT) AS unparsable, (SELECT CAST(count(*) AS BIGINT) FROM r2) AS new_chunks
+  FROM (SELECT {S.clean("coalesce(text, '')")} AS c FROM docs2)""")
+def q_ingest_observed(spark, sf):
+    """The report of an incremental run, counted while its chunks are written."""
+    _, second, run1, _ = _inc_runs(spark, sf)
+    report = audit.write_observed(second, lambda r: jobs.ingest_incremental(r, run1), scratch_path(spark, "observed"))
+    return spark.createDataFrame([report], "kept long, skipped long, unparsable long, new_chunks long")
+
+
 @register("distinct_sources", f"WITH {SQL_WORD_CHUNKS.strip()} SELECT DISTINCT 'doc-' || doc_id || '.json' AS file FROM store")
 def q_distinct_sources(spark, sf):
     return audit.distinct_sources(_store(spark, sf))
@@ -989,6 +1002,19 @@ def q_scan_chunk_metadata(spark, sf):
     return back.select("id", "file", "chunk_text", F.array_join("tags", ",").alias("tags"))
 
 
+@register("versioned_store", f"""WITH {SQL_INC_VEC} SELECT CAST(1 AS BIGINT) AS version, id, chunk_hash, vec FROM final_vec
+    WHERE id < (SELECT count(*) FROM r1) UNION ALL SELECT 2, id, chunk_hash, vec FROM final_vec""")
+def q_versioned_store(spark, sf):
+    """Two commits and a write that dies before its own: every version reads as it was committed."""
+    root = scratch_path(spark, "versions")
+    _, _, run1, run2 = _inc_runs(spark, sf)
+    VS.write_version(run1, root)
+    VS.write_version(run2, root)
+    VS.stage(run1, root)
+    parts = [VS.read_version(spark, root, v).select(F.lit(v).cast("long").alias("version"), "id", "chunk_hash", _vec().alias("vec")) for v in VS.versions(spark, root)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @register("write_vector_store", f"WITH {SQL_INC_VEC} SELECT id, chunk_hash, vec FROM final_vec")
 def q_write_vector_store(spark, sf):
     path = scratch_path(spark, "store")
@@ -1024,7 +1050,7 @@ def q_write_embedding_cache(spark, sf):
 def q_scan_embedding_cache(spark, sf):
     path = scratch_path(spark, "cache-json")
     WR.write_cache_json(_bench_cache(spark, sf), path)
-    return _cache_out(RD.read_embedding_cache(spark, path))
+    return _cache_out(RD.read_embedding_cache(spark, path, multi_line=False))
 
 
 @register("ingest_pages", f"""WITH {_records_sql()}, src AS (

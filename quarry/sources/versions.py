@@ -2,8 +2,8 @@
 
 ``root/data/<name>`` holds one write each, ``root/manifest/<n>`` the names that
 make up version n, as JSON.  A manifest is written under another name and
-renamed, so it is there as a whole or not at all, and only one of two writers
-can take a number.  Readers take the folders of the last manifest: a job that
+renamed, so it is there as a whole or not at all; of two writers one takes a
+number, where a rename doesn't replace a file (as in HDFS).  Readers take the folders of the last manifest: a job that
 dies before its commit leaves the table as it was, and nothing that a reader has
 listed is ever overwritten.
 """

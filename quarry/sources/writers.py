@@ -35,7 +35,6 @@ def write_cache(df: DataFrame, path: str) -> None:
 
 
 def write_cache_json(df: DataFrame, path: str) -> None:
-    """The cache as one JSON object ``{query: [floats]}`` (the interchange
-    form).  The cache is capped (``MAX_CACHE_SIZE``), so one row holds it."""
-    obj = df.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("query", "embedding")))).alias("value"))
-    obj.coalesce(1).write.mode("overwrite").text(path)
+    """The cache as JSON objects ``{query: [floats]}``, one a line in as many
+    files as there are partitions; no row or task holds the whole cache."""
+    df.select(F.to_json(F.create_map("query", "embedding")).alias("value")).write.mode("overwrite").text(path)
