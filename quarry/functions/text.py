@@ -204,5 +204,5 @@ def count_tokens(sentence, limit: int = 512) -> Column:
 def split_sentences(text) -> Column:
     """Rule splitter: break after '.', '!' or '?' followed by whitespace;
     sentences stripped, empties dropped."""
-    marked = F.regexp_replace(_col(text), rf"([.!?]){WS}+", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), ustrip), lambda s: s != "")
+    pieces = F.split(_col(text), rf"(?<=[.!?]){WS}+")
+    return F.filter(F.transform(pieces, ustrip), lambda s: s != "")

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from quarry.operators import embed
 from quarry.plans import jobs
 from quarry.session import scratch_path
+from quarry.sources.buckets import BucketedTable
 
 DOC_RECORD_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
 REQUEST_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("key", T.StringType())])
@@ -50,9 +51,13 @@ def _before(spark: SparkSession, table: str, run: str, epoch_id: int) -> DataFra
 
 def stream_ingest(spark: SparkSession, src: str, store: str, checkpoint: str | None = None,
                   schema: T.StructType = DOC_RECORD_SCHEMA, max_files_per_trigger: int | None = None,
-                  with_embedding: bool = True, limit: int = 512, page_records: bool = False) -> None:
+                  with_embedding: bool = True, limit: int = 512, page_records: bool = False,
+                  buckets: int | None = None) -> None:
     """Pick up new record files, add only unseen chunks, continue ids.
 
+    The store is bucketed by chunk hash (``BucketedTable``), so J1 moves a
+    batch's hashes to their buckets and nothing that is stored.
+
     ``page_records=True`` reads crawler output (one pretty-printed page record
     per ``*.json`` file, any of the HTML/PDF/feed shapes); otherwise JSON
     lines ``(doc_id, text)``.  Runs until the files available now are
@@ -77,13 +82,14 @@ def stream_ingest(spark: SparkSession, src: str, store: str, checkpoint: str | N
 
     def process(batch: DataFrame, epoch_id: int) -> None:
         recs = jobs.records_from_page_json(batch) if page_records else jobs.documents_as_records(batch)
-        new = jobs.ingest_incremental(recs, _before(spark, store, run, epoch_id), limit, with_embedding=with_embedding)
-        new.write.mode("overwrite").parquet(_epoch(store, run, epoch_id))
-
-    q = (stream.writeStream.foreachBatch(process)
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+        new = jobs.ingest_incremental(recs, stored.rows((run, epoch_id)), limit, with_embedding=with_embedding)
+        stored.put(new, run, epoch_id)
+
+    with BucketedTable(spark, store, "chunk_hash", buckets) as stored:
+        q = (stream.writeStream.foreachBatch(process)
+             .option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
 
 
 def stream_query_cache(spark: SparkSession, src: str, cache: str, checkpoint: str | None = None,
