@@ -44,9 +44,11 @@ def sentence_spans(
     sentences: Column,
     limit: int = 512,
     counter: Callable[[Column], Column] | None = None,
+    counts: Column | None = None,
 ) -> Column:
     """G3 core: greedy packing of sentences into chunks of at most ``limit``
-    tokens (a sentence counts at most ``limit``).
+    tokens (a sentence counts at most ``limit``).  ``counts``: the sentences'
+    token counts, where they aren't to be had sentence by sentence.
 
     The fold runs over an array of ints (token counts) and its state keeps only
     the 1-based start position of every chunk, so a long text costs a step per
@@ -54,7 +56,8 @@ def sentence_spans(
     (array<int>, increasing).
     """
     count = counter or (lambda s: T.count_tokens(s, limit))
-    lens = F.transform(sentences, lambda s: F.least(F.lit(limit), count(s)))
+    lens = F.transform(sentences, count) if counts is None else counts
+    lens = F.transform(lens, lambda n: F.least(F.lit(limit), n))
     init = F.struct(F.lit(0).alias("cur"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc, ln):
@@ -86,16 +89,23 @@ def chunk_sentences(
     limit: int = 512,
     splitter: Callable[[Column], Column] = T.split_sentences,
     counter: Callable[[Column], Column] | None = None,
+    measure: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Sentence split (G2) -> token counts (G4) -> greedy packing.
 
+    ``counter`` counts a sentence inside a lambda; ``measure`` counts all sentences of
+    a text at once (Arrow steps can't run in lambdas).
+
     Returns ``keys + (chunk_pos int, chunk_text string)``; chunk texts are
     stripped and empty ones dropped.
     """
     # stage the arrays in their own projections: a lambda that reads a column
     # does not re-run the splitter or the fold per chunk
     st = df.select(*keys, splitter(F.col(text)).alias("_s"))
-    st = st.select(*keys, "_s", sentence_spans(F.col("_s"), limit, counter).alias("_starts"))
+    if measure is not None:
+        st = st.withColumn("_n", measure(F.col("_s")))
+    counts = F.col("_n") if measure is not None else None
+    st = st.select(*keys, "_s", sentence_spans(F.col("_s"), limit, counter, counts).alias("_starts"))
     chunks = F.when(F.size("_s") > 0, spans_to_chunks(F.col("_s"), F.col("_starts")))
     return (
         st.select(*keys, F.posexplode(chunks).alias("chunk_pos", "chunk_text"))

@@ -24,6 +24,8 @@ from quarry.operators import cache as CA
 from quarry.operators import dialog as D
 from quarry.operators import links as L
 from quarry.operators import rerank as RR
+from quarry.operators import sentences as SE
+from quarry.operators import subwords as SW
 from quarry.plans import fixtures as FX
 from quarry.plans import jobs
 from quarry.plans import pages as PG
@@ -717,6 +719,93 @@ def q_split_sentences(spark, sf):
     return chunking.explode_sentences(_clean_docs(spark, sf)).withColumn("sent_pos", F.col("sent_pos").cast("long"))
 
 
+# the driver tables have no abbreviations: two frequent words become some
+ABBREVIATED = "replace(replace(text, ' the ', ' prof. '), ' of ', ' e.g. ')"
+SQL_TYPES = f"""toks AS (
+  SELECT unnest({S.words(S.clean(ABBREVIATED))}) AS t FROM documents
+), parts AS (
+  SELECT lower(regexp_extract(t, '{S.TOKEN}', 1)) AS type, regexp_extract(t, '{S.TOKEN}', 2) AS stop FROM toks
+), counts AS (
+  SELECT type, count(*) FILTER (stop <> '') AS n_stop, count(*) FILTER (stop = '') AS n_plain FROM parts WHERE type <> '' GROUP BY type
+), rate AS (
+  SELECT CAST(sum(n_stop) AS DOUBLE) / sum(n_stop + n_plain) AS p FROM counts
+), types AS (
+  SELECT type, n_stop, n_plain, len(replace(type, '.', '')) AS n_letters, len(type) - n_letters + 1 AS inner_stops,
+         -2.0 * (n_stop * ln(p) + n_plain * ln(1 - p) - n_stop * ln(0.99) - n_plain * ln(1 - 0.99))
+         * exp(-n_letters) * inner_stops * pow(CAST(n_letters AS DOUBLE), -n_plain) AS score
+  FROM counts, rate
+)"""
+
+
+@register("learn_abbreviations", f"""WITH {SQL_TYPES}
+  SELECT type, CAST(n_stop AS BIGINT) AS n_stop, CAST(n_plain AS BIGINT) AS n_plain, floor(score * 1000 + 0.5) / 1000 AS score
+  FROM types WHERE n_stop > 0 AND score >= 0.3""")
+def q_learn_abbreviations(spark, sf):
+    types = SE.abbreviation_types(_abbreviated(spark, sf)).where(f"n_stop > 0 AND score >= {SE.THRESHOLD}")
+    return types.select("type", "n_stop", "n_plain", (F.floor(F.col("score") * 1000 + 0.5) / 1000).alias("score"))
+
+
+def _abbreviated(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", T.clean_text(F.expr(ABBREVIATED)).alias("text"))
+
+
+@register("split_sentences_learned", f"""WITH {SQL_TYPES}, abbr AS (
+  SELECT list(type) AS known FROM types WHERE n_stop > 0 AND score >= 0.3
+), cut AS (
+  SELECT doc_id, regexp_extract_all({S.clean(ABBREVIATED)}, '{S.PIECE}') AS p FROM documents
+), flagged AS (
+  SELECT doc_id, p, list_transform(p, lambda x: coalesce(list_contains(known, lower(regexp_extract(x, '{S.LAST}', 1))), false)) AS f FROM cut, abbr
+), begun AS (
+  SELECT doc_id, p, list_filter(range(1, len(p) + 1), lambda i: i = 1 OR NOT f[i - 1]) AS s FROM flagged
+), whole AS (
+  SELECT doc_id, list_filter(list_transform(range(1, len(s) + 1), lambda j: {S.ustrip("array_to_string(list_slice(p, s[j], coalesce(s[j + 1], len(p) + 1) - 1), '')")}),
+         lambda x: x <> '') AS s FROM begun
+)
+  SELECT doc_id, CAST(unnest(range(len(s))) AS BIGINT) AS sent_pos, unnest(s) AS sentence FROM whole""")
+def q_split_sentences_learned(spark, sf):
+    """Abbreviations learned from all documents, then all documents split with them."""
+    docs = _abbreviated(spark, sf)
+    known = SE.learn_abbreviations(docs).select("type").checkpoint()
+    return SE.split_sentences_learned(docs, known).withColumn("sent_pos", F.col("sent_pos").cast("long"))
+
+
+VOCABULARY_WORDS = 5000
+
+
+@register("count_subwords", f"""WITH RECURSIVE toks AS (
+  SELECT doc_id, unnest({S.words('text')}) AS w FROM documents
+), top AS (
+  SELECT w FROM toks GROUP BY w ORDER BY count(*) DESC, w LIMIT {VOCABULARY_WORDS}
+), vocab AS (
+  SELECT DISTINCT unnest([w, left(w, 1), '##' || right(w, 1), '##' || right(w, 2), '##' || right(w, 3)]) AS piece FROM top
+), words AS (
+  SELECT DISTINCT w FROM toks
+), starts AS (
+  SELECT w, unnest(range(len(w))) AS o FROM words WHERE len(w) <= 100
+), tries AS (
+  SELECT w, o, unnest(range(1, len(w) - o + 1)) AS n FROM starts
+), best AS (
+  SELECT w, o, max(n) AS n FROM tries JOIN vocab ON piece = (CASE WHEN o > 0 THEN '##' ELSE '' END) || substr(w, o + 1, n) GROUP BY w, o
+), cut AS (
+  SELECT w, CAST(0 AS BIGINT) AS o, 0 AS k FROM words
+  UNION ALL
+  SELECT c.w, c.o + b.n, c.k + 1 FROM cut c JOIN best b ON b.w = c.w AND b.o = c.o
+), sizes AS (
+  SELECT w, coalesce(max(k) FILTER (o = len(w)), 1) AS k FROM cut GROUP BY w
+)
+  SELECT d.doc_id, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_tokens
+  FROM documents d LEFT JOIN toks t ON t.doc_id = d.doc_id LEFT JOIN sizes s ON s.w = t.w GROUP BY d.doc_id""")
+def q_count_subwords(spark, sf):
+    """Whole documents counted in pieces of a vocabulary that the corpus gives: its commonest words, their first letters and endings."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    counts = docs.select(F.explode(T.usplit_words("text")).alias("w")).groupBy("w").count()
+    words = [r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(VOCABULARY_WORDS).collect()]
+    pieces = {p for w in words for p in (w, w[0], *("##" + w[-k:] for k in (1, 2, 3)))}
+    counted = SW.count_subwords(docs, pieces, limit=2**31 - 1)
+    return counted.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
 @register("count_tokens", f"""WITH {SQL_SENT_ROWS}
   SELECT doc_id, sent_pos, CAST(least(512, len({S.words('sentence')})) AS BIGINT) AS n_tokens FROM sent_rows""")
 def q_count_tokens(spark, sf):

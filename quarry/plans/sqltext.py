@@ -314,6 +314,14 @@ def sentences(e: str) -> str:
     return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda x: {ustrip('x')}), lambda x: x <> '')"
 
 
+# words, pieces of a text up to a stop and white space, and the type before a piece's full stop
+_LETTERS = "A-Za-zÀ-ÿ"
+_CORE = rf"[{_LETTERS}](?:[{_LETTERS}.]*[{_LETTERS}])?"
+TOKEN = rf"^[^{_LETTERS}0-9.]*({_CORE})(\.?)[^{_LETTERS}0-9.]*$"
+PIECE = rf"(?s).+?(?:[.!?]{WS}+|\z)"
+LAST = rf"(?s)^(?:.*{WS})?[^{_LETTERS}0-9.]*({_CORE})\.{WS}+$"
+
+
 def sentence_chunk_ctes(src: str, name: str, limit: int = 512) -> str:
     """``name(doc_id, chunk_pos, chunk_text)``: greedy sentence packing."""
     return f"""{name}_s AS (
