@@ -1,6 +1,6 @@
 import textwrap
 
-from quarry.llm.license_scan import TEMPLATES, Scanner, scan_licenses
+from quarry.llm.license_scan import TEMPLATES, Scanner, scan_licenses, words_of
 
 import messy
 
@@ -53,3 +53,40 @@ def test_short_notice_among_likely_words():
     assert names(line) == [(0, "CC-BY-4.0")]
     for name, text in TEMPLATES:
         assert name in [n for _, n in names(f"{line}. {text}")]
+
+
+def test_compression_ranks_the_trials():
+    scanner = Scanner(TEMPLATES)
+    tried = []
+    aligned = scanner.alignments
+    scanner.alignments = lambda k, words: tried.append(k) or aligned(k, words)
+    for name, text in TEMPLATES:
+        words = words_of(f"Some words. {text} Other words.")
+        alone, trials = scanner.ranked(words)
+        gains = [(alone - size) / scanner.own[k] for k, size in trials]
+        assert gains == sorted(gains, reverse=True) and gains[0] > 0 and len(gains) == len(TEMPLATES)
+        assert name in [TEMPLATES[k][0] for k, _ in trials[:3]], text
+    notice = "Released under the MIT License."
+    list(scanner.scan(notice))
+    by_size = tried[: len(TEMPLATES)]
+    assert by_size[0] == 0
+    # equal sizes: the order of trials is another one
+    scanner.alone = scanner.given[0]
+    scanner.given = [scanner.alone] * len(TEMPLATES)
+    tried.clear()
+    list(scanner.scan(notice))
+    assert tried[: len(TEMPLATES)] != by_size
+
+
+def test_rank_decides_between_equal_wordings():
+    """Two licences with one wording but for loose words: the block's own words rank them."""
+    for first, second in (("by any", "for all"), ("for all", "by any")):
+        pair = [(x, f"Quokka terms {x} apply here") for x in (first, second)]
+        for name, text in pair:
+            assert [r[2] for r in Scanner(pair).scan(text)] == [name]
+
+
+def test_given_templates(spark):
+    own = [("House", "Members copy these recipes freely and bring cake."), ("Loose", "for use by any")]
+    df = spark.createDataFrame([(1, "Members copy these recipes\nfreely and bring cake."), (2, "for use by any"), (3, "cake")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["license"]) for r in scan_licenses(df, own).collect()) == [(1, "House"), (2, "Loose")]
