@@ -8,16 +8,17 @@ largest step that its kept share (``PERCENT``) fills, at its head and its tail,
 so sizes grow with the logarithm of item lengths.
 
 A fingerprint within ``RADIUS`` bits of an item's agrees with it up to
-``RADIUS // BLOCKS`` bits in one of ``BLOCKS`` blocks; tables of all block
-values that near an item's find every such fingerprint, none is missed.  Full
-distances are taken of these only.  Besides, windows are dealt along the item so
+``RADIUS // BLOCKS`` bits in one of ``BLOCKS`` blocks; tables from every block
+value to the windows of items that near it find every such fingerprint, none is
+missed.  Full distances are taken of these pairs only, under one in a hundred of
+all pairs of positions and windows.  Besides, windows are dealt along the item so
 closely that one of them is unchanged in every copy that is similar enough
 (``run_length``); their fingerprints are found as they are.  The item-sized
 windows around a hit are verified by weighted Jaccard similarity (weights: how
 often a shingle occurs).
 
 Scale: a map-only pass over the documents; nothing is shuffled.  Items go to
-the tasks in blocks of bounded size, one pass for each block.
+the tasks in blocks of bounded size (bytes and number), one pass for each block.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ RADIUS, BLOCKS = 11, 4
 LADDER = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 15, 17, 20, 23, 27, 31, 36, 42, 49, 57, 64]
 #: bytes of item texts in one pass
 ITEM_BYTES = 16 << 20
+#: items in one pass (their tables take about 4 KB each)
+ITEM_ROWS = 50_000
+#: pairs of positions and windows whose distances are taken at once
+PAIRS = 1 << 20
 #: words that are fingerprinted together
 CHUNK = 1 << 14
 _DROP = string.punctuation.encode()
@@ -101,6 +106,53 @@ def _near(value: int, bits: int, radius: int) -> set[int]:
     return found
 
 
+class BlockIndex:
+    """Fingerprints by block values: for every value of a block those that have it up to ``radius // BLOCKS`` bits."""
+
+    BITS = 64 // BLOCKS
+    MASK = np.uint64((1 << BITS) - 1)
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius = prints, radius
+        near = np.array(sorted(_near(0, self.BITS, radius // BLOCKS)), dtype=np.uint64)
+        self.starts, self.windows, self.some = [], [], []
+        for b in range(BLOCKS):
+            keys = (self.block(prints, b)[:, None] ^ near[None, :]).ravel().astype(np.uint32)
+            counts = np.bincount(keys, minlength=1 << self.BITS)
+            self.windows.append((np.argsort(keys, kind="stable") // len(near)).astype(np.int32))
+            self.starts.append(np.concatenate(([0], np.cumsum(counts))))
+            self.some.append(counts > 0)
+
+    def block(self, prints: np.ndarray, b: int) -> np.ndarray:
+        return (prints >> np.uint64(b * self.BITS)) & self.MASK
+
+    def pairs(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(positions, windows) that agree in a block; pairs that agree in several come several times."""
+        for b in range(BLOCKS):
+            values = self.block(prints, b)
+            at = np.flatnonzero(self.some[b][values])
+            if not len(at):
+                continue
+            values = values[at].astype(np.int64)
+            first = self.starts[b][values]
+            n = self.starts[b][values + 1] - first
+            ends = np.cumsum(n)
+            cuts = [0, *(np.flatnonzero(np.diff(ends // PAIRS)) + 1).tolist(), len(at)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                m, before = n[lo:hi], ends[lo] - n[lo]
+                rows = np.arange(ends[hi - 1] - before) + np.repeat(first[lo:hi] - (ends[lo:hi] - m - before), m)
+                yield np.repeat(at[lo:hi], m), self.windows[b][rows]
+
+    def hits(self, prints: np.ndarray) -> list[tuple[int, int, int]]:
+        """(window, position, distance) of all within the radius, each once, sorted."""
+        found: set[tuple[int, int, int]] = set()
+        for at, w in self.pairs(prints):
+            dist = np.bitwise_count(prints[at] ^ self.prints[w])
+            close = np.flatnonzero(dist <= self.radius)
+            found.update(zip(w[close].tolist(), at[close].tolist(), dist[close].tolist(), strict=True))
+        return sorted(found)
+
+
 class Items:
     """Benchmark items by shingle width and window size."""
 
@@ -131,11 +183,8 @@ class Items:
         for (width, size), rows in keyed.items():
             # a single shingle is its own fingerprint: equal or not
             radius = RADIUS if size > 1 else 0
-            tables = np.zeros((BLOCKS, 1 << bits), dtype=bool)
-            for f, _, _ in rows:
-                for b in range(BLOCKS):
-                    tables[b, list(_near(f >> (b * bits) & ((1 << bits) - 1), bits, radius // BLOCKS))] = True
-            self.index.setdefault(width, {})[size] = (radius, tables, rows)
+            index = BlockIndex(np.array([f for f, _, _ in rows], dtype=np.uint64), radius)
+            self.index.setdefault(width, {})[size] = (index, [(k, at) for _, k, at in rows])
         self.along = {}
         for (width, size), found in along.items():
             values = np.array(sorted(found), dtype=np.uint64)
@@ -160,15 +209,10 @@ class Items:
                             yield lo + i, k, 0, shift
                 if size not in self.index[width]:
                     continue
-                radius, tables, rows = self.index[width][size]
-                hit = np.zeros(len(prints), dtype=bool)
-                for b in range(BLOCKS):
-                    hit |= tables[b][(prints >> np.uint64(b * bits)) & mask]
-                at = np.flatnonzero(hit)
-                for f, k, shift in rows:
-                    dist = np.bitwise_count(prints[at] ^ np.uint64(f))
-                    for i in np.flatnonzero(dist <= radius):
-                        yield lo + int(at[i]), k, int(dist[i]), shift
+                index, rows = self.index[width][size]
+                for w, i, dist in index.hits(prints):
+                    k, shift = rows[w]
+                    yield lo + i, k, dist, shift
 
     def best(self, k: int, shingles: np.ndarray, start: int) -> tuple[float, int]:
         """(similarity, start) of the most similar item-sized window, the first of these, of all that a hit at ``start`` can belong to."""
@@ -203,15 +247,16 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     similarity (the first of these); ``start`` and ``n_words`` are words.
     Similarity is ``PERCENT`` % or more.  Null or empty texts and items contain
     nothing; items of fewer than five words are one shingle; repeated rows are
-    answered one by one, repeated items are one.
+    answered one by one, repeated items are one.  Very long texts are searched
+    whole, in chunks.  An empty table of documents or items gives an empty one.
     """
     rows = pick(docs, doc_id=id_col, text=text_col)
     d, t = row_key(F.col("doc_id"), F.col("text"))
     texts = rows.select("doc_id", d.alias("d"), t.alias("t"), "text").where("text IS NOT NULL")
     wanted = pick(items, item_id=item_col, text=item_text_col).where("text IS NOT NULL").distinct()
     kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, d long, t long, item_id {wanted.schema['item_id'].dataType.simpleString()}"
-    total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = int(total // ITEM_BYTES) + 1
+    total, count = wanted.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    passes = int(max((total or 0) // ITEM_BYTES, count // ITEM_ROWS)) + 1
     out = None
     for b in range(passes):
         block = [tuple(r) for r in wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == b).collect()]

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from quarry.llm.decontaminate import Items, _found, clean, find, fingerprints, plain
+from quarry.llm.decontaminate import RADIUS, BlockIndex, Items, _found, clean, find, fingerprints, plain
 from quarry.llm.shingles import Shingler
 
 import messy
@@ -90,3 +90,24 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     assert find(messy.table(spark, []), bench).count() == 0
     assert find(messy.table(spark), bench.limit(0)).count() == 0
+
+
+def test_index_finds_all_within_the_radius():
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    seen = rng.integers(0, 1 << 64, 4000, dtype=np.uint64)
+    for i in range(3000):  # of all distances around the radius
+        flips = np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, i % 16, replace=False).astype(np.uint64)) if i % 16 else np.uint64(0)
+        seen[i] = prints[i % 300] ^ flips
+    dist = np.bitwise_count(prints[:, None] ^ seen[None, :])
+    want = [(int(w), int(i), int(dist[w, i])) for w, i in np.argwhere(dist <= RADIUS)]
+    assert len(want) > 2000
+    assert BlockIndex(prints, RADIUS).hits(seen) == want
+
+
+def test_index_leaves_out_most_pairs():
+    rng = np.random.default_rng(6)
+    prints, seen = rng.integers(0, 1 << 64, 50_000, dtype=np.uint64), rng.integers(0, 1 << 64, 500, dtype=np.uint64)
+    pairs = sum(len(at) for at, _ in BlockIndex(prints, RADIUS).pairs(seen))
+    assert pairs < len(prints) * len(seen) / 100
+    assert BlockIndex(prints[:0], RADIUS).hits(seen) == []
