@@ -499,6 +499,24 @@ def q_link_allowed_subpath(spark, sf):
                     U.link_allowed_subpath("src_url", "dst_url", ["/"]).alias("allowed"))
 
 
+# pages whose links are all followed, whatever their path
+START_URLS = ["http://fx.example.com/", "http://fx.example.com/dir/sub/page.html?x=1#top"]
+SUBPATHS = ["/en/", "/c2"]
+
+
+def _starts_sql():
+    p = S.url_part("dst_url", 3)
+    under = " OR ".join(f"starts_with({p}, {S.q(x)})" for x in SUBPATHS)
+    return f"({under} OR src_url IN ({', '.join(map(S.q, START_URLS))}))"
+
+
+@register("link_allowed_start", _flag_query(_starts_sql(), "allowed"))
+def q_link_allowed_start(spark, sf):
+    e = _edges(spark, sf)
+    return e.select("src_url", F.col("pos").cast("long"), "dst_url",
+                    U.link_allowed_subpath("src_url", "dst_url", SUBPATHS, START_URLS).alias("allowed"))
+
+
 @register("link_not_self", _flag_query("(dst_url <> src_url)", "not_self"))
 def q_link_not_self(spark, sf):
     e = _edges(spark, sf)
@@ -606,6 +624,33 @@ def q_extract_pages(spark, sf):
     return _flat_records(PG.extract_pages(_allpages(spark, sf)))
 
 
+SQL_PDF_TYPE = "CASE WHEN page_id % 5 = 0 THEN 'Application/PDF; version=1.7' ELSE 'text/html' END"
+
+
+@register("extract_pages_pdf", f"""WITH {SQL_ALLPAGES}, kinds AS (
+    SELECT page_id, url, html, {S.route('url', SQL_PDF_TYPE)} AS kind FROM allpages
+  ), slugs AS (SELECT *, {S.slug('url', 'kind')} AS slug FROM kinds
+  ), latest AS (SELECT * FROM slugs QUALIFY page_id = max(page_id) OVER (PARTITION BY slug)
+  ), pdf_pages AS (
+    SELECT url, page_id AS page_no, array_to_string(list_filter(list_transform({S.split_lines("coalesce(html, '')")}, lambda x: {S.ustrip('x')}),
+                                                                lambda x: x <> ''), chr(10)) AS pj
+    FROM kinds WHERE kind = 'pdf' AND page_id % 10 = 0
+  ), pdf AS (SELECT url, coalesce(string_agg(pj, chr(10) ORDER BY page_no) FILTER (WHERE pj <> ''), '') AS content FROM pdf_pages GROUP BY url)
+  SELECT page_id, url, slug, kind, CASE WHEN kind = 'pdf' THEN 'pdf' END AS type, CASE WHEN kind = 'html' THEN {S.title('html')} END AS title,
+         CASE WHEN kind = 'html' THEN array_to_string({S.element_text_lines(S.body('html'))}, chr(10)) END AS text,
+         CASE WHEN kind = 'pdf' THEN coalesce(content, '') END AS content
+  FROM latest LEFT JOIN pdf USING (url)""")
+def q_extract_pages_pdf(spark, sf):
+    """C1 with PDF responses: every fifth page was sent as a PDF, and the text of every second one of these could be read."""
+    pages = _allpages(spark, sf).withColumn("ct", F.expr(SQL_PDF_TYPE))
+    read = pages.where("page_id % 10 = 0").select("url", F.col("page_id").alias("page_no"), F.col("html").alias("page_text"),
+                                                  F.lit(None).cast("string").alias("error"))
+    rec = PG.extract_pages(pages, "ct", PG.pdf_line_normalize(read))
+    html = F.col("kind") == "html"
+    return rec.select("page_id", "url", "slug", "kind", "type", F.when(html, F.col("title")).alias("title"),
+                      F.when(html, F.array_join("text_lines", "\n")).alias("text"), "content")
+
+
 @register("last_write_wins", f"WITH {SQL_ALLPAGES} SELECT {S.slug('url', chr(39) + 'html' + chr(39))} AS slug, "
           "CAST(max(page_id) AS BIGINT) AS page_id FROM allpages GROUP BY 1")
 def q_last_write_wins(spark, sf):
@@ -1193,9 +1238,15 @@ STREAM_CAP = ADMISSION_CAP
   firsts AS (SELECT key, min(event_id) AS fst FROM lg GROUP BY key)
   SELECT key AS query, fst AS first_arrival FROM firsts ORDER BY fst, key LIMIT {STREAM_CAP}""")
 def q_stream_query_cache(spark, sf):
-    """The request log is delivered in four arrival-ordered files and replayed
+    cache, _ = _replayed_requests(spark, sf)
+    return spark.read.parquet(cache).select("query", "first_arrival")
+
+
+def _replayed_requests(spark, sf, log=False):
+    """(cache, hit log): the request log is delivered in four arrival-ordered files and replayed
     through the streaming cache, one file per micro-batch."""
     src, cache = scratch_path(spark, "requests"), scratch_path(spark, "qcache")
+    hits = scratch_path(spark, "qhits") if log else None
     ev = table(spark, sf, "events", parallel=False).select(
         "event_id", F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("key"))
     b = ev.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
@@ -1204,8 +1255,21 @@ def q_stream_query_cache(spark, sf):
     for i in range(parts):  # deliveries in arrival order; together they hold every request
         ev.filter((F.col("event_id") >= lo + i * step) & (F.col("event_id") < lo + (i + 1) * step)) \
             .coalesce(1).write.mode("append").parquet(src)
-    SJ.stream_query_cache(spark, src, cache, cap=STREAM_CAP, max_files_per_trigger=1)
-    return spark.read.parquet(cache).select("query", "first_arrival")
+    SJ.stream_query_cache(spark, src, cache, cap=STREAM_CAP, max_files_per_trigger=1, hits_log=hits)
+    return cache, hits
+
+
+@register("stream_cache_log", f"""WITH lg AS (SELECT event_id, event_type || '/' || user_id AS key FROM events),
+  firsts AS (SELECT key, min(event_id) AS fst FROM lg GROUP BY key),
+  adm AS (SELECT key, fst FROM firsts ORDER BY fst, key LIMIT {STREAM_CAP}),
+  {S.sparse_embedding_cte('qemb', 'adm', 'key', 'key')}
+  SELECT l.event_id, l.key AS query, (a.key IS NOT NULL AND l.event_id > a.fst) AS hit, CASE WHEN a.key IS NOT NULL THEN coalesce(v.vec, '') END AS vec
+  FROM lg l LEFT JOIN adm a USING (key) LEFT JOIN {_vec_sql('key', 'qemb')} v USING (key)""")
+def q_stream_cache_log(spark, sf):
+    """R2's hit log, with the vector that the cache holds for each request."""
+    cache, hits = _replayed_requests(spark, sf, log=True)
+    kept = spark.read.parquet(cache).select("query", _vec().alias("vec"))
+    return spark.read.parquet(hits).select("event_id", "query", "hit").join(kept, "query", "left")
 
 
 @register("context_concat", f"""WITH {SQL_DOC_SEARCH.strip()}

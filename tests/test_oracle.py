@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 
 FAST = ["clean_text", "chunk_words", "dedup_exact", "assign_ids", "embed_text", "topk_inner_product",
-        "search_topk", "page_text_lines", "page_links_abs", "extract_pages", "crawl_reach", "chunk_sentences",
+        "search_topk", "page_text_lines", "page_links_abs", "extract_pages", "extract_pages_pdf", "link_allowed_start", "stream_cache_log", "crawl_reach", "chunk_sentences",
         "detect_intent", "take_while_session", "cache_admission", "mmr_rerank", "ingest_incremental"]
 
 
