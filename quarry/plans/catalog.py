@@ -769,7 +769,7 @@ ABBREVIATED = "replace(replace(text, ' the ', ' prof. '), ' of ', ' e.g. ')"
 SQL_TYPES = f"""toks AS (
   SELECT unnest({S.words(S.clean(ABBREVIATED))}) AS t FROM documents
 ), parts AS (
-  SELECT lower(regexp_extract(t, '{S.TOKEN}', 1)) AS type, regexp_extract(t, '{S.TOKEN}', 2) AS stop FROM toks
+  SELECT lower(regexp_extract(t, '{S.WORD_TYPE}', 1)) AS type, regexp_extract(t, '{S.WORD_TYPE}', 2) AS stop FROM toks
 ), counts AS (
   SELECT type, count(*) FILTER (stop <> '') AS n_stop, count(*) FILTER (stop = '') AS n_plain FROM parts WHERE type <> '' GROUP BY type
 ), rate AS (

@@ -317,7 +317,7 @@ def sentences(e: str) -> str:
 # words, pieces of a text up to a stop and white space, and the type before a piece's full stop
 _LETTERS = "A-Za-zÀ-ÿ"
 _CORE = rf"[{_LETTERS}](?:[{_LETTERS}.]*[{_LETTERS}])?"
-TOKEN = rf"^[^{_LETTERS}0-9.]*({_CORE})(\.?)[^{_LETTERS}0-9.]*$"
+WORD_TYPE = rf"^[^{_LETTERS}0-9.]*({_CORE})(\.?)[^{_LETTERS}0-9.]*$"
 PIECE = rf"(?s).+?(?:[.!?]{WS}+|\z)"
 LAST = rf"(?s)^(?:.*{WS})?[^{_LETTERS}0-9.]*({_CORE})\.{WS}+$"
 
