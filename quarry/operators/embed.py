@@ -57,8 +57,12 @@ def signed_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
 
 
 _WORD_RE = None
-_CODE_CACHE: dict[tuple[int, str], int] = {}
-_CACHE_CAP = 1 << 20
+# Codes by word, for each dimension, and how many a worker remembers; words past that are hashed again.
+_CODE_CACHE: dict[int, dict[str, int]] = {}
+_CACHE_CAP = 1 << 17
+# Cells of the matrix and letters of the texts that a worker holds at a time.
+CELLS = 1 << 18
+LETTERS = 1 << 20
 
 
 def _word_codes(text: str, dim: int) -> list[int]:
@@ -69,33 +73,40 @@ def _word_codes(text: str, dim: int) -> list[int]:
 
         _WORD_RE = regex.compile(r"[\p{L}\p{N}]+")
     out = []
-    cache = _CODE_CACHE
+    cache = _CODE_CACHE.setdefault(dim, {})
     for w in _WORD_RE.findall(text.lower()):
-        c = cache.get((dim, w))
+        c = cache.get(w)
         if c is None:
             h = hashlib.md5(w.encode("utf-8")).hexdigest()
             c = (1 if h[8] < "8" else -1) * (int(h[:8], 16) % dim + 1)
             if len(cache) < _CACHE_CAP:
-                cache[dim, w] = c
+                cache[w] = c
         out.append(c)
     return out
 
 
+def _slices(batches, dim: int, src: str):
+    """Slices of the batches, of at most ``CELLS`` cells and (but for a row of its own) ``LETTERS`` letters or items."""
+    rows = max(1, CELLS // dim)
+    for rb in batches:
+        arr = rb.column(src)
+        sizes = pc.list_value_length(arr) if pa.types.is_list(arr.type) else pc.binary_length(arr)
+        ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < rb.num_rows:
+            most = (ends[lo - 1] if lo else 0) + LETTERS
+            hi = max(lo + 1, min(lo + rows, rb.num_rows, int(np.searchsorted(ends, most, side="right"))))
+            yield rb.slice(lo, hi - lo)
+            lo = hi
+
+
 def _hashing_model(dim: int, text: str, out: str, keep: list[str]):
     def fn(batches):
-        for rb in batches:
-            n = rb.num_rows
-            texts = rb.column(text).to_pylist()
-            rows, vals = [], []
-            for i, t in enumerate(texts):
-                if t:
-                    codes = _word_codes(t, dim)
-                    vals.extend(codes)
-                    rows.extend([i] * len(codes))
-            vals = np.asarray(vals, dtype=np.int64)
-            rows = np.asarray(rows, dtype=np.int64)
-            m = np.bincount(rows * dim + (np.abs(vals) - 1), weights=np.sign(vals).astype(np.float64),
-                            minlength=n * dim).reshape(n, dim)
+        for rb in _slices(batches, dim, text):
+            m = np.zeros((rb.num_rows, dim))
+            for i, t in enumerate(rb.column(text)):
+                codes = np.asarray(_word_codes(t.as_py() or "", dim), dtype=np.int64)
+                m[i] = np.bincount(np.abs(codes) - 1, weights=np.sign(codes), minlength=dim)
             yield _with_embedding(rb, m, out, keep)
 
     return fn
@@ -115,25 +126,14 @@ def _with_embedding(rb, m, out, keep):
 
 def _dense_from_codes(dim: int, src: str, out: str, keep: list[str]):
     def fn(batches):
-        for rb in batches:
+        for rb in _slices(batches, dim, src):
             n = rb.num_rows
             arr = rb.column(src)
-            if n == 0:
-                vals = np.zeros(0, dtype=np.int64)
-                rows = np.zeros(0, dtype=np.int64)
-            else:
-                vals = pc.list_flatten(arr).to_numpy(zero_copy_only=False).astype(np.int64)
-                rows = pc.list_parent_indices(arr).to_numpy(zero_copy_only=False).astype(np.int64)
+            vals = pc.list_flatten(arr).to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = pc.list_parent_indices(arr).to_numpy(zero_copy_only=False).astype(np.int64)
             m = np.bincount(rows * dim + (np.abs(vals) - 1), weights=np.sign(vals).astype(np.float64),
                             minlength=n * dim).reshape(n, dim)
-            norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            m = m / np.where(norms == 0, 1.0, norms)
-            emb = pa.ListArray.from_arrays(
-                pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)),
-                pa.array(m.astype(np.float32).ravel()),
-            )
-            cols = [rb.column(c) for c in keep] + [emb]
-            yield pa.RecordBatch.from_arrays(cols, names=keep + [out])
+            yield _with_embedding(rb, m, out, keep)
 
     return fn
 

@@ -46,3 +46,19 @@ def test_validate_and_assemble(spark):
     pieces = dialog.stream_pieces(t, ["response_id"], "text")
     assert pieces.count() > 1
     assert dialog.assemble_stream(pieces).first().text == "  a stream\nof  pieces "
+
+
+def test_embedding_and_subwords_hold_few_rows(spark):
+    """A batch of any size leaves the embedding in slices of ``CELLS`` cells; the rows and vectors are the same."""
+    import pyarrow as pa
+
+    from quarry.operators import embed
+
+    texts = ["alpha beta alpha", None, "", "word " * 3000, *[f"t{i} beta" for i in range(5000)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    out = list(embed._hashing_model(64, "text", "v", ["id"])([batch]))
+    assert max(b.num_rows for b in out) <= embed.CELLS // 64 and len(out) > 1
+    rows = [(i, v) for b in out for i, v in zip(b.column("id").to_pylist(), b.column("v").to_pylist(), strict=True)]
+    assert [i for i, _ in rows] == list(range(len(texts)))
+    want = embed.embed_text(spark.createDataFrame([(i, t) for i, t in enumerate(texts[:6])], "id long, text string"), "text", "v", 64, hashing_in_jvm=True)
+    assert [r["v"] for r in want.orderBy("id").collect()] == [v for _, v in rows[:6]]
