@@ -11,12 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import text as T
-
 # Fixed values of the tokenizer: the mark of inner pieces, the longest word that is cut, the longest sequence.
 INNER = "##"
 LONGEST_WORD = 100
@@ -50,8 +48,8 @@ def subword_counter(spark: SparkSession, vocabulary: Iterable[str], inner: str =
     later = trie(p[len(inner):] for p in pieces if p.startswith(inner) and len(p) > len(inner))
     sent = spark.sparkContext.broadcast((first, later))
 
-    @F.pandas_udf("array<int>")
-    def count(words_of: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def count(texts: pa.Array) -> pa.Array:
         head, tail = sent.value
         known: dict[str, int] = {}
 
@@ -70,9 +68,9 @@ def subword_counter(spark: SparkSession, vocabulary: Iterable[str], inner: str =
                 at, n = end, n + 1
             return n
 
-        def tokens(words) -> int:
+        def tokens(sentence: str | None) -> int:
             total = 0
-            for w in words if words is not None else ():
+            for w in (sentence or "").split():
                 if (n := known.get(w)) is None:
                     n = cut(w)
                     if len(known) < REMEMBERED:
@@ -80,9 +78,11 @@ def subword_counter(spark: SparkSession, vocabulary: Iterable[str], inner: str =
                 total += n
             return min(limit, total)
 
-        return words_of.map(lambda sentences: None if sentences is None else [tokens(s) for s in sentences])
+        # one text at a time is in Python
+        rows = (row.as_py() for row in texts)
+        return pa.array([None if row is None else [tokens(s) for s in row] for row in rows], pa.list_(pa.int32()))
 
-    return lambda sentences: count(F.transform(sentences, T.usplit_words))
+    return count
 
 
 def count_subwords(df: DataFrame, vocabulary: Iterable[str], text: str = "text", out: str = "n_tokens", inner: str = INNER,
