@@ -147,3 +147,35 @@ def test_empty_corpus_and_no_queries(spark):
         assert SR.topk_inner_product(queries, corpus.where("id < 0"), broadcast_bytes=size).count() == 0
         assert SR.topk_inner_product(queries.where("qid < 0"), corpus, broadcast_bytes=size).count() == 0
         assert SR.topk_inner_product(queries, corpus, broadcast_bytes=size).count() == 1
+
+
+def test_close_scores_do_not_depend_on_32_bits(spark):
+    """Scores that 32-bit floats can't tell apart, and numbers that they can't hold, rank as with 64 bits; few keys leave a task."""
+    from quarry.operators import search as SR
+
+    rng = np.random.default_rng(8)
+    vecs = np.tile(rng.normal(size=12), (900, 1)) + rng.normal(size=(900, 12)) * 1e-7
+    for scale in (1.0, 1e20):
+        rows = vecs * scale
+        corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id long, embedding array<double>").repartition(3)
+        q = rng.normal(size=(30, 12)) * (1.0 if scale == 1.0 else 1e-20)
+        queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, qvec array<double>")
+        keys = np.floor(np.einsum("ij,kj->ik", q, rows) * 1e6 + 0.5)
+        want = {i: keys[i, np.lexsort((np.arange(900), -keys[i]))[:5]].tolist() for i in range(30)}
+        for size in (1 << 20, 0):
+            got = {i: [] for i in range(30)}
+            for r in SR.topk_inner_product(queries, corpus, k=5, broadcast_bytes=size).orderBy("qid", "rank").collect():
+                got[r["qid"]].append(r["score_key"])
+            assert got == want
+            ends = {r["qid"]: (r["n_scored"], r["max_score"], r["min_score"]) for r in SR.score_summary(queries, corpus, broadcast_bytes=size).collect()}
+            assert ends == {i: (900, keys[i].max() / 1e6, keys[i].min() / 1e6) for i in range(30)}
+
+
+def test_cells_reach_tasks_row_by_row(spark):
+    """A task gets vectors, not pairs of blocks: the batches that it holds don't grow with the queries."""
+    from quarry.operators import search as SR
+
+    corpus = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id long, embedding array<float>")
+    queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "qid long, qvec array<float>")
+    met = SR._met(queries, corpus, "id", "embedding")
+    assert met.schema["vec"].dataType.simpleString() == "array<float>" and met.where("query").groupBy("cell").count().distinct().count() == 1
