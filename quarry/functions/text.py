@@ -7,6 +7,7 @@ are spelled out here and used through ``regexp_replace`` / ``split``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from html.entities import name2codepoint
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 # Characters for which Python's str.isspace() is true (Java regex syntax).
 WS = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+# The same characters, for functions that take a set of them.
+WS_CHARS = "".join(re.findall(WS, "".join(map(chr, range(0x3001)))))
 # Line boundaries of Python's str.splitlines() (Java regex syntax).
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
@@ -70,7 +73,7 @@ def lit_str(s: str) -> Column:
 
 def ustrip(c) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_col(c), rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def usplit_words(c) -> Column:

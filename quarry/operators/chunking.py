@@ -1,19 +1,26 @@
 """Chunking operators.
 
-All chunking is per row (one document at a time) with higher-order functions:
-no shuffle, and the exploded rows carry only keys and the chunk text, never a
-copy of the source document.
+All chunking is per row (one document at a time) with higher-order functions, or
+in an Arrow step where these would run a pattern for every sentence: no shuffle,
+and the exploded rows carry only keys and the chunk text, never a copy of the
+source document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from quarry.functions import text as T
 
+# Letters of the texts whose parts a task holds at a time.
+LETTERS = 1 << 20
+
 
 def chunk_words(
     df: DataFrame,
@@ -82,6 +89,54 @@ def spans_to_chunks(sentences: Column, starts: Column) -> Column:
     )
 
 
+def explode_parts(df: DataFrame, text: str, keys: Sequence[str], cut: Callable[[str], list[str]], pos: str, out: str) -> DataFrame:
+    """``keys + (pos int, out string)``: the parts that ``cut`` makes of every row's text, none of a null one."""
+    keys = list(keys)
+    rows = df.select(*keys, F.col(text).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, at, parts, size = [], [], [], 0
+            for i in range(batch.num_rows):
+                t = batch.column(len(keys))[i].as_py()
+                if t is not None:
+                    found = cut(t)
+                    of.extend([i] * len(found))
+                    at.extend(range(len(found)))
+                    parts.extend(found)
+                    size += len(t)
+                if size > LETTERS or i == batch.num_rows - 1:
+                    index = pa.array(of, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch.column(k).take(index) for k in range(len(keys))], pa.array(at, pa.int32()), pa.array(parts, pa.string())], names=[*keys, pos, out])
+                    of, at, parts, size = [], [], [], 0
+
+    schema = ST.StructType([*rows.schema.fields[:-1], ST.StructField(pos, ST.IntegerType()), ST.StructField(out, ST.StringType())])
+    return rows.mapInArrow(run, schema)
+
+
+def sentence_packer(limit: int) -> Callable[[str], list[str]]:
+    """G2, G4 and G3 for one text: what ``split_sentences``, ``count_tokens`` and ``sentence_spans`` give (Python's
+    white space is ``T.WS``)."""
+    ends = re.compile(rf"[.!?]{T.WS}+")
+
+    def pack(text: str) -> list[str]:
+        chunks, cur, at = [], 0, 0
+        for stop, after in [*[(m.start() + 1, m.end()) for m in ends.finditer(text)], (len(text), len(text))]:
+            sentence, at = text[at:stop].strip(), after
+            if not sentence:
+                continue
+            n = min(limit, len(sentence.split()))
+            if not chunks or cur + n > limit:
+                chunks.append([])
+                cur = 0
+            chunks[-1].append(sentence)
+            cur += n
+        return [" ".join(c) for c in chunks]
+
+    return pack
+
+
 def chunk_sentences(
     df: DataFrame,
     text: str = "text",
@@ -99,6 +154,8 @@ def chunk_sentences(
     Returns ``keys + (chunk_pos int, chunk_text string)``; chunk texts are
     stripped and empty ones dropped.
     """
+    if splitter is T.split_sentences and counter is None and measure is None:
+        return explode_parts(df, text, keys, sentence_packer(limit), "chunk_pos", "chunk_text")
     # stage the arrays in their own projections: a lambda that reads a column
     # does not re-run the splitter or the fold per chunk
     st = df.select(*keys, splitter(F.col(text)).alias("_s"))

@@ -79,3 +79,26 @@ def test_subword_counts_equal_a_brute_force(spark):
     got = subwords.count_subwords(_docs(spark, texts), pieces).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: _brute(t, pieces) for i, t in enumerate(texts)}
     assert subwords.count_subwords(_docs(spark, texts), pieces, limit=7).agg(F.max("n_tokens")).first()[0] == 7
+
+
+def test_arrow_steps_equal_the_column_functions(spark):
+    """Chunks and learned sentences from the Arrow step are those of the column functions; words are counted once for each spelling."""
+    from quarry.functions import text as T
+
+    rng = random.Random(11)
+    marks = ["a", "Dr", "e.g", "x3", "Ä.b", ".", "!", "?", " ", "  ", "\n", "　", "\x1c", "\x85", "(", "Prof", "\U0001f600", "​"]
+    docs = _docs(spark, ["".join(rng.choices(marks, k=rng.randint(0, 40))) for _ in range(400)] + [None, "", " . ", ". a. "])
+    for limit in (1, 3, 512):
+        fast = chunking.chunk_sentences(docs, limit=limit)
+        slow = chunking.chunk_sentences(docs, limit=limit, counter=lambda s: F.size(T.usplit_words(s)))  # by the column functions
+        assert fast.schema.simpleString() == slow.schema.simpleString()
+        assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
+    types = spark.createDataFrame([("dr",), ("e.g",), ("prof",), ("ä.b",)], "type string")
+    fast, slow = (sentences.split_sentences_learned(docs, types, listed=n) for n in (10, 1))
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
+    counted = {r["t"]: r["n"] for r in sentences.word_counts(docs).collect()}
+    words = [w for r in docs.collect() for w in (r["text"] or "").split()]
+    assert counted == {w: words.count(w) for w in set(words)}
+    plan = sentences.word_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    assert [r[0] for r in docs.select(T.ustrip("text")).collect()] == [None if r["text"] is None else r["text"].strip() for r in docs.collect()]
