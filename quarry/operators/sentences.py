@@ -4,25 +4,33 @@ Abbreviations are learned without labels, after Kiss and Strunk (Computational
 Linguistics 32:4, 2006): a type is one if it comes with a full stop nearly always
 (a log-likelihood ratio against the corpus's rate of full stops), is short and
 has stops inside; each occurrence without one counts against it.  Counts are one
-aggregate over the corpus.
+aggregate over the corpus: words are counted as they are written, in every task
+first, and each different word is looked at once.
 
 A full stop after a learned abbreviation doesn't end a sentence; what follows it isn't looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import chunking
+from quarry.session import checkpoint_root
 
 # Fixed values of the published method: the rate of full stops after an abbreviation, and the least score of one.
 ABBREVIATION_RATE = 0.99
 THRESHOLD = 0.3
 # Up to this many abbreviations are part of the plan; more are joined.
 LISTED = 1000
+# Different words that a task counts before it passes them on.
+COUNTED = 100_000
 
 LETTERS = "A-Za-zÀ-ÿ"
 CORE = rf"[{LETTERS}](?:[{LETTERS}.]*[{LETTERS}])?"
@@ -31,14 +39,36 @@ PIECE = rf"(?s).+?(?:[.!?]{T.WS}+|\z)"
 LAST = rf"(?s)^(?:.*{T.WS})?[^{LETTERS}0-9.]*({CORE})\.{T.WS}+$"
 
 
+def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``(t, n)``: how often every word, as it is written, is in the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["t", "n"])
+
+        for batch in batches:
+            for t in batch.column(0):
+                seen.update((t.as_py() or "").split())
+                if len(seen) > COUNTED:
+                    yield out()
+                    seen.clear()
+        yield out()
+
+    return df.select(text).mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
+
+
 def abbreviation_types(df: DataFrame, text: str = "text", rate: float = ABBREVIATION_RATE) -> DataFrame:
     """``(type, n_stop, n_plain, score)`` for every lower-cased word type of the texts.
 
     Null and empty texts have no words; an empty table gives no rows.
     """
-    tokens = df.select(F.explode(T.usplit_words(text)).alias("t"))
-    parts = tokens.select(F.lower(F.regexp_extract("t", TOKEN, 1)).alias("type"), F.regexp_extract("t", TOKEN, 2).alias("stop")).where("type <> ''")
-    counts = parts.groupBy("type").agg(F.count(F.when(F.col("stop") != "", 1)).alias("n_stop"), F.count(F.when(F.col("stop") == "", 1)).alias("n_plain"))
+    parts = word_counts(df, text).select(F.lower(F.regexp_extract("t", TOKEN, 1)).alias("type"), F.regexp_extract("t", TOKEN, 2).alias("stop"), "n").where("type <> ''")
+    # read for the rate and for the scores
+    checkpoint_root(df.sparkSession)
+    counts = parts.groupBy("type").agg(
+        F.sum(F.when(F.col("stop") != "", F.col("n")).otherwise(0)).alias("n_stop"), F.sum(F.when(F.col("stop") == "", F.col("n")).otherwise(0)).alias("n_plain")).checkpoint()
     stops, plain = counts.agg(F.coalesce(F.sum("n_stop"), F.lit(0)), F.coalesce(F.sum("n_plain"), F.lit(0))).first()
     p = min(max(stops / max(stops + plain, 1), 1e-9), 1 - 1e-9)
     k, m = F.col("n_stop"), F.col("n_plain")
@@ -89,21 +119,44 @@ def abbreviation_splitter(abbreviations: Sequence[str]) -> Callable[[Column], Co
     return lambda text: split_with(text, known)
 
 
+def sentence_cutter(abbreviations: Sequence[str]) -> Callable[[str], list[str]]:
+    """``split_with`` for one text and fixed types."""
+    known = frozenset(abbreviations)
+    ends, last = re.compile(rf"[.!?]{T.WS}+"), re.compile(rf"[^{LETTERS}0-9.]*({CORE})")
+
+    def joined(piece: str) -> bool:
+        """Whether a type that is known stands at the end of a piece, whose full stop is cut off."""
+        m = None if piece[-1].isspace() else last.fullmatch(piece.rsplit(None, 1)[-1])
+        return m is not None and m[1].lower() in known
+
+    def cut(text: str) -> list[str]:
+        out, start, at = [], 0, 0
+        while at < len(text):
+            m = ends.search(text, at + 1)
+            if m is None:
+                break
+            if text[m.start()] != "." or not joined(text[at : m.start()]):
+                out.append(text[start : m.end()])
+                start = m.end()
+            at = m.end()
+        return [s for s in map(str.strip, [*out, text[start:]]) if s]
+
+    return cut
+
+
 def split_sentences_learned(df: DataFrame, abbreviations: DataFrame, text: str = "text", key: str = "doc_id", listed: int = LISTED) -> DataFrame:
     """``(key, sent_pos, sentence)`` of every row's text, given a table of abbreviations (``type``).
 
-    Up to ``listed`` types are put into the plan.  If there are more, every text
+    Up to ``listed`` types go to the tasks.  If there are more, every text
     gets those of its own words by two joins; the sentences are the same.
     """
     found = [r["type"] for r in abbreviations.select("type").distinct().limit(listed + 1).collect()]
     docs = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     if len(found) <= listed:
-        known = F.array(*[F.lit(a) for a in sorted(found)]).cast("array<string>")
-        cut = docs.select("_k", split_with(F.col("_t"), known).alias("_s"))
-    else:
-        ends = docs.select("_k", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(PIECE), F.lit(0)), _last_type))).alias("type"))
-        own = ends.where("type <> ''").join(abbreviations.select("type").distinct(), "type").groupBy("_k").agg(F.collect_set("type").alias("_a"))
-        met = docs.join(own.withColumnRenamed("_k", "_o"), F.col("_k").eqNullSafe(F.col("_o")), "left")
-        met = met.withColumn("_a", F.coalesce("_a", F.array().cast("array<string>")))
-        cut = met.select("_k", split_with(F.col("_t"), F.col("_a")).alias("_s"))
+        return chunking.explode_parts(docs, "_t", ["_k"], sentence_cutter(found), "sent_pos", "sentence").withColumnRenamed("_k", key)
+    ends = docs.select("_k", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(PIECE), F.lit(0)), _last_type))).alias("type"))
+    own = ends.where("type <> ''").join(abbreviations.select("type").distinct(), "type").groupBy("_k").agg(F.collect_set("type").alias("_a"))
+    met = docs.join(own.withColumnRenamed("_k", "_o"), F.col("_k").eqNullSafe(F.col("_o")), "left")
+    met = met.withColumn("_a", F.coalesce("_a", F.array().cast("array<string>")))
+    cut = met.select("_k", split_with(F.col("_t"), F.col("_a")).alias("_s"))
     return cut.select(F.col("_k").alias(key), F.posexplode("_s").alias("sent_pos", "sentence"))
