@@ -92,3 +92,14 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7), (200, 200), (104, 103)]
     out = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 103, 104)}}
+
+
+def test_the_sample_decides_no_result(spark, monkeypatch):
+    """Whatever texts give the order of the shingles, the groups are those of brute force."""
+    rows = data()
+    want, _ = brute([r[:2] for r in rows])
+    for docs, common in ((5, 3), (40, 0)):
+        monkeypatch.setattr(jaccard_join, "SAMPLE_DOCS", docs)
+        monkeypatch.setattr(jaccard_join, "COMMON", common)
+        got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_groups(messy.table(spark, rows)).collect()]
+        assert sorted(got, key=repr) == want
