@@ -6,14 +6,15 @@ never the result) come last, the others by hash.  Two sets that are 80 %
 similar share one of the first 20 % (plus one) shingles of either in this
 order, so only these prefixes are joined.
 
-* Prefix shingles of two or more nodes are the postings.  A posting of at most
-  ``SMALL`` nodes gives its pairs.  Shared prefix shingles are summed per pair;
-  lengths and the sum bound the overlap, which drops most pairs exactly.
-* Longer postings -- groups of near copies -- don't give all their pairs.  In a
-  few rounds each node is compared with one centre of its postings, first with
-  the node that has the fewest shingles of its own; then nodes outside a
-  posting's main component are compared with the nodes of other components
-  there.  Pairs inside a component can't change the result.
+* Prefix shingles of two or more nodes are the postings.  Postings of three or
+  more -- groups of near copies -- don't give all their pairs.  In a few rounds
+  each node is compared with one centre of its postings, first with the node
+  that has the fewest shingles of its own; then nodes outside a posting's main
+  component are compared with the nodes of other components there.  Pairs inside
+  a component can't change the result.
+* The places of a shingle in two sets bound what the sets share, which drops
+  most pairs exactly where they meet.  The others are given once, at their first
+  shingle; then the shared prefix shingles of a pair are counted.
 * Overlaps are counted by vertical partitioning: sets are cut into
   ``FRAGMENTS`` ranges of the global order, the overlap of two sets is counted
   in every range separately, and the counts are summed per pair.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import pick, positional, row_key, stored
@@ -37,8 +38,11 @@ from quarry.llm.shingles import Shingler
 
 PERCENT = 80
 FRAGMENTS, FIRST = 8, 2
-SMALL = 32
 ROUNDS = 3
+#: shingles of a posting's node that tell whether a pair was given before
+BEFORE = 8
+#: columns of a posting that decide which of its pairs may be similar
+KEPT = ("node", "n", "i", "r", "top", "end")
 #: documents whose shingles are counted for the global order, and the most shingles that are put last
 SAMPLE_DOCS, COMMON = 20_000, 200_000
 COMMON_COUNT = 3
@@ -111,13 +115,18 @@ def set_table(texts: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """(s, node, n, size): prefix shingles that two or more nodes have, one row per node."""
+    """(s, node, n, i, size, r, c, before): prefix shingles that two or more nodes have, one row per node.
+
+    ``i``: place of the shingle in the node's set; ``r``: of the node's ``c``
+    shingles here, those before it; ``before``: the last ``BEFORE`` of these.
+    """
+    names = ["s", "node", "n", "i"]
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by (s, node), the different ones whose s has another node."""
         held, follows = None, False  # the last row so far; whether the one before it has its s
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("s", "node", "n")]
+            cols = [batch.column(c).to_numpy() for c in names]
             if held is not None:
                 cols = [np.concatenate((x, c)) for x, c in zip(held, cols, strict=True)]
             if not len(cols[0]):
@@ -129,13 +138,17 @@ def postings(sets: DataFrame) -> DataFrame:
             multi = np.concatenate(([follows], same)) | np.concatenate((same, [False]))
             follows = bool(same[-1]) if len(same) else follows
             held = [c[-1:] for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][multi[:-1]]) for c in cols], names=["s", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][multi[:-1]]) for c in cols], names=names)
         if held is not None and follows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["s", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=names)
 
-    rows = sets.where("prefix IS NOT NULL").select(F.explode("prefix").alias("s"), "node", "n")
-    multi = stored(rows.repartition("s").sortWithinPartitions("s", "node").mapInArrow(shared, "s long, node long, n long"), "postings")
-    return stored(multi.join(multi.groupBy("s").agg(F.count(F.lit(1)).alias("size")), "s"), "postings")
+    rows = sets.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("i", "s"), "node", "n")
+    multi = stored(rows.repartition("s").sortWithinPartitions("s", "node").mapInArrow(shared, "s long, node long, n long, i int"), "postings")
+    sized = multi.join(multi.groupBy("s").agg(F.count(F.lit(1)).alias("size")), "s")
+    of = Window.partitionBy("node")
+    up = of.orderBy("i")
+    ranked = {"r": F.row_number().over(up) - 1, "c": F.count(F.lit(1)).over(of), "before": F.collect_list("s").over(up.rowsBetween(-BEFORE, -1))}
+    return stored(sized.withColumns(ranked), "postings")
 
 
 def fragments(texts: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -198,9 +211,15 @@ def similar(pairs: DataFrame, segs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _can(x: str, y: str) -> Column:
-    """Whether two nodes may be similar by their lengths and by what can be shared of the one whose prefix ends first."""
+    """Whether two nodes may be similar by what can be shared before and from a shingle of both on.
+
+    What they share before it is among the postings of both there; from it on it
+    is in neither's rest, nor in what the one whose prefix ends first can share.
+    """
     n = F.col(f"n_{x}") + F.col(f"n_{y}")
-    most = F.least(F.when(F.col(f"end_{x}") <= F.col(f"end_{y}"), F.col(f"top_{x}")).otherwise(F.col(f"top_{y}")), f"n_{x}", f"n_{y}")
+    rest = [F.col(f"top_{i}") - F.col(f"r_{i}") for i in (x, y)]
+    first = F.when(F.col(f"end_{x}") <= F.col(f"end_{y}"), rest[0]).otherwise(rest[1])
+    most = F.least(f"r_{x}", f"r_{y}") + F.least(first, *[F.col(f"n_{i}") - F.col(f"i_{i}") for i in (x, y)])
     return 100 * most >= PERCENT * (n - most)
 
 
@@ -210,11 +229,30 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def _divided(rows: DataFrame) -> DataFrame:
+    """Rows of the postings that have nodes of two components."""
+    several = rows.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("s")
+    return rows.join(several, "s", "left_semi")
+
+
+def _with_fragments(segs: DataFrame | None, texts: DataFrame, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``segs`` and those of the nodes of ``pairs`` that it lacks."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    if segs is None:
+        return fragments(texts, nodes, rows)
+    return segs.unionByName(fragments(texts, stored(nodes.join(segs.select("node").distinct(), "node", "left_anti"), "lacking"), rows))
+
+
 def _pairs(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
     """(a, b), a < b: nodes of different components that share a posting, where ``condition`` holds of the
-    rows x of ``left`` and y of ``right`` and their bounds allow similarity; a row for each posting."""
+    rows x of ``left`` and y of ``right`` and their bounds allow similarity.
+
+    A pair is given at the first shingle that both have; where that lies further
+    back than ``before`` reaches, it is given again.
+    """
     x, y = (rows.select("s", *[F.col(c).alias(f"{c}_{i}") for c in rows.columns if c != "s"]) for rows, i in ((left, "x"), (right, "y")))
-    met = x.join(y, "s").where((F.col("comp_x") != F.col("comp_y")) & _can("x", "y") & F.expr(condition))
+    fresh = ~F.arrays_overlap("before_x", "before_y")
+    met = x.join(y, "s").where((F.col("comp_x") != F.col("comp_y")) & _can("x", "y") & fresh & F.expr(condition))
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
 
 
@@ -223,46 +261,46 @@ def near_links(texts: DataFrame, rows: DataFrame) -> DataFrame:
     posts = postings(rows)
     sizes = rows.where("prefix IS NOT NULL").select("node", "n", "p", "cut_common", "cut").dropDuplicates(["node"])
     # prefix shingles without a posting aren't in any set whose prefix ends later
-    tops = posts.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(sizes, "node").select(
-        "node", (F.col("n") - F.col("p") + F.col("c")).alias("top"), F.struct("cut_common", "cut").alias("end")
-    )
-    posts = posts.join(stored(tops, "tops"), "node")
-    small, large = posts.where(F.col("size") <= SMALL), posts.where(F.col("size") > SMALL)
+    ends = sizes.select("node", "p", F.struct("cut_common", "cut").alias("end"))
+    posts = posts.join(ends, "node").withColumn("top", F.col("n") - F.col("p") + F.col("c"))
+    posts = stored(posts.withColumn("own", 1 - F.col("c") / F.col("p")).select("s", "size", *KEPT, "before", "own"), "postings")
     links = texts.sparkSession.createDataFrame([], "a long, b long")
-    labels = None
-    in_large = stored(large.groupBy("node").agg(F.count(F.lit(1)).alias("h")), "in_large")
-    if not in_large.isEmpty():
-        segs = fragments(texts, in_large.select("node"), rows)
+    labels, segs = None, None
+    large = posts.where(F.col("size") > 2).drop("size", "before")
+    for r in range(ROUNDS):
         # what has no shingles of its own, like the text that a group was copied from, is nearest to the others
-        own = in_large.join(sizes, "node").select("node", (1 - F.col("h") / F.col("p")).alias("own"))
-        for r in range(ROUNDS):
-            now = stored(_labelled(large.select("s", "node", "n", "top", "end").join(own, "node"), labels), "large")
-            order = F.struct("own", "node") if r == 0 else F.struct(F.xxhash64("node", F.lit(r)), "node")
-            centre = now.groupBy("s").agg(F.min(F.struct(order, "node", "n", "top", "end", "comp")).alias("z"))
-            centre = centre.select("s", *[F.col(f"z.{c}").alias(f"{c}_z") for c in ("node", "n", "top", "end", "comp")])
-            here = now.select("s", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "top", "end", "comp")])
-            met = here.join(centre, "s").where((F.col("comp_x") != F.col("comp_z")) & _can("x", "z"))
-            best = met.groupBy("node_x", "node_z").agg(F.count(F.lit(1)).alias("c")).groupBy("node_x").agg(F.max_by("node_z", F.struct("c", "node_z")).alias("a"))
-            found = similar(stored(best.select("a", F.col("node_x").alias("b")), "stars"), segs, sizes)
-            links = stored(links.union(found), "links")
-            labels = stored(components(links), "labels")
+        order = F.struct("own", "node") if r == 0 else F.struct(F.xxhash64("node", F.lit(r)), "node")
+        now = large if labels is None else _divided(_labelled(large.drop("comp"), labels))
+        large = now = stored(now if labels is not None else _labelled(now, None), "large")
+        centre = now.groupBy("s").agg(F.min(F.struct(order, *KEPT, "comp")).alias("z"))
+        centre = centre.select("s", *[F.col(f"z.{c}").alias(f"{c}_z") for c in (*KEPT, "comp")])
+        here = now.select("s", *[F.col(c).alias(f"{c}_x") for c in (*KEPT, "comp")])
+        met = here.join(centre, "s").where((F.col("comp_x") != F.col("comp_z")) & _can("x", "z"))
+        best = met.groupBy("node_x", "node_z").agg(F.count(F.lit(1)).alias("c")).groupBy("node_x").agg(F.max_by("node_z", F.struct("c", "node_z")).alias("a"))
+        stars = stored(best.select("a", F.col("node_x").alias("b")), "stars")
+        if stars.isEmpty():
+            break
+        segs = _with_fragments(segs, texts, stars, rows)
+        links = stored(links.union(similar(stars, segs, sizes)), "links")
+        labels = stored(components(links), "labels")
     # every pair of nodes of different components, once for each posting that has both
-    now = stored(_labelled(large.select("s", "node", "n", "top", "end"), labels), "large")
+    now = stored(_divided(_labelled(posts.drop("own"), labels)), "divided")
     main = now.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    one = stored(_labelled(small.select("s", "node", "n", "top", "end"), labels), "small")
-    now = now.join(main, "s")
-    odd = now.where("comp != main")
-    # in a long posting one of the two is outside its main component; if both are, they are taken in one order
-    met = _pairs(one, one, "node_x < node_y").union(_pairs(odd, now, "comp_y = main_y OR node_x < node_y"))
-    summed = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("v"))
-    ia, ib = (sizes.select(F.col("node").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("n", "p", "cut_common", "cut")]) for i in "ab")
-    known = summed.join(ia, "a").join(ib, "b")
+    now = stored(now.join(main, "s"), "divided")
+    # one of the two is outside the posting's main component; if both are, they are taken in one order
+    met = _pairs(now.where("comp != main"), now, "comp_y = main_y OR node_x < node_y")
+    met = stored(met.distinct(), "met")
+    both = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
+    prefix = posts.join(both, "node", "left_semi").groupBy("node").agg(F.collect_list("s").alias("posted"))
+    kinds = ("n", "p", "cut_common", "cut", "posted")
+    ia, ib = (sizes.join(prefix, "node").select(F.col("node").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in kinds]) for i in "ab")
+    known = met.join(ia, "a").join(ib, "b").withColumn("v", F.size(F.array_intersect("posted_a", "posted_b")))
     # of the set whose prefix ends first, all that isn't in the prefix may be shared, and no more
     a_first = F.struct("cut_common_a", "cut_a") <= F.struct("cut_common_b", "cut_b")
     most = F.col("v") + F.when(a_first, F.col("n_a") - F.col("p_a")).otherwise(F.col("n_b") - F.col("p_b"))
     most = F.least(most, "n_a", "n_b")
     pairs = stored(known.where(100 * most >= PERCENT * (F.col("n_a") + F.col("n_b") - most)).select("a", "b"), "pairs")
-    segs = fragments(texts, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), rows)
+    segs = _with_fragments(segs, texts, pairs, rows)
     return stored(links.union(similar(pairs, segs, sizes)), "links")
 
 
