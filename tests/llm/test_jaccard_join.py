@@ -103,3 +103,25 @@ def test_the_sample_decides_no_result(spark, monkeypatch):
         monkeypatch.setattr(jaccard_join, "COMMON", common)
         got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_groups(messy.table(spark, rows)).collect()]
         assert sorted(got, key=repr) == want
+
+
+def test_pairs_are_given_once(spark, monkeypatch):
+    rng = random.Random(3)
+    text = messy.words(rng, 200).split()
+    rows = []
+    for k in range(30):  # copies of one text, most pairs of them just too different to link
+        copy = list(text)
+        for at in rng.sample(range(200), 3):
+            copy[at] = f"w{rng.random()}"
+        rows.append((k, " ".join(copy), None, None, 0, "", k, "", ""))
+    given, pairs = [], jaccard_join._pairs
+
+    def counted(*args):
+        out = pairs(*args)
+        given.extend((r["a"], r["b"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_pairs", counted)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_groups(messy.table(spark, rows)).collect()]
+    assert sorted(got, key=repr) == brute([r[:2] for r in rows])[0]
+    assert given and len(given) <= 2 * len(set(given))
